@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import chat, mixing
+from gneiss.llm import bpe, chat, mixing, substrings
 from gneiss.llm.common import table
 
 
@@ -21,12 +21,32 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_docs(table(spark, sf_dir, "documents"), tokenizer_path(spark))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def tokenizer_path(spark: SparkSession) -> str:
+    """The tokenizer's file: spark.gneiss.tokenizer names one, else the public vocabulary package's."""
+    named = spark.conf.get("spark.gneiss.tokenizer", None)
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 #: The text of the conversation that op3 adds.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op7_bpe": op7_bpe,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
