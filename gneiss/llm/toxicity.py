@@ -140,13 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     """The model: features, weights, intercept."""
     named = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = named.where("y in (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(chosen), "doc_id").select("t", "y")
+    rows = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(chosen), "doc_id").select(F.lit("all").alias("task"), "t", "y")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         which, weights, bias = fit(rows["t"], rows["y"].to_numpy(np.int64), features)
         return pd.DataFrame({"feature": np.append(which, -1), "weight": np.append(weights, bias)})
 
-    model = rows.groupBy(F.lit(1)).applyInPandas(run, "feature long, weight double").orderBy("feature").toPandas()
+    model = rows.groupBy("task").applyInPandas(run, "feature long, weight double").orderBy("feature").toPandas()
     if not len(model):
         return np.empty(0, np.int64), np.empty(0), 0.0
     return model["feature"].to_numpy()[1:], model["weight"].to_numpy()[1:], float(model["weight"][0])
