@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, chat, mixing, simhash, substrings, toxicity
+from gneiss.llm import bpe, chat, media, mixing, simhash, substrings, toxicity
 from gneiss.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.sound_columns(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_docs(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
@@ -58,6 +62,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
+    "op5_media_columns": op5_media_columns,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
