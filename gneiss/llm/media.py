@@ -18,6 +18,7 @@ empty table gives no row. A row's result depends on its text alone.
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -56,7 +57,7 @@ def unsigned(id: int, value: int) -> bytes:
 
 
 def real(id: int, value: float) -> bytes:
-    return element(id, np.float64(value).astype(">f8").tobytes())
+    return element(id, struct.pack(">d", value))
 
 
 def lace(frames: list[memoryview | bytes], kind: int) -> bytes:
