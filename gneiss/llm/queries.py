@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, chat, media, mixing, simhash, substrings, toxicity
+from gneiss.llm import bpe, chat, media, mixing, simhash, substrings, topk, toxicity
 from gneiss.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.sound_columns(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_docs(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_media_columns": op5_media_columns,
+    "op6_topk": op6_topk,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
