@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, chat, media, mixing, simhash, substrings, topk, toxicity
+from gneiss.llm import bpe, chat, html_extract, media, mixing, simhash, substrings, topk, toxicity
 from gneiss.llm.common import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -65,6 +69,7 @@ def tokenizer_path(spark: SparkSession) -> str:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_media_columns": op5_media_columns,
