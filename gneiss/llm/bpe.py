@@ -83,13 +83,13 @@ def _pack_words(words: list[str]) -> bytes:
     return B.squeeze(pa.table({"w": pa.array(words, pa.string())}))
 
 
-def encode_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 4 << 20, each: int = 200_000) -> DataFrame:
-    """Columns ``keep`` (doc_id alone), n_tokens, ids (little-endian unsigned 32-bit) and decoded (the text that the ids give).
+def encode_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 4 << 20, each: int = 200_000, results: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """Columns ``keep`` (doc_id alone) and ``results`` among n_tokens, ids (little-endian unsigned 32-bit), decoded (the text that the ids give) and their digests.
 
     ``path``: the tokenizer's file, read on the driver. ``most``: bytes of text in a block. ``each``:
     distinct words, counted by block, that a bucket gets about.
     """
-    return _encoded(docs, path, keep, text, most, each, ("n_tokens", "ids", "decoded"))
+    return _encoded(docs, path, keep, text, most, each, results)
 
 
 def digest_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 4 << 20, each: int = 200_000) -> DataFrame:

@@ -15,19 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder all executors share and go on from the copy.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, by ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names the folder. Where it is unset, a local master gets a temporary
-    folder and a cluster a folder in its warehouse, which its executors share too.
+    Where that is unset, a local master gets a temporary folder and a cluster a folder in its
+    warehouse, which its executors share too.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at and sc.master.startswith("local[") or sc.master == "local":
-            at = at or tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    named = sc._jsc.sc().getCheckpointDir()
+    if not named.isEmpty():
+        return named.get()
+    at = sc.getConf().get("spark.checkpoint.dir")
+    if not at and sc.master.startswith(("local[", "local")) and not sc.master.startswith("local-cluster"):
+        at = tempfile.mkdtemp(prefix="checkpoints-")
+    sc.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the copy, with what made it forgotten."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, chat, html_extract, media, mixing, simhash, substrings, topk, toxicity
+from gneiss.llm import bpe, chat, html_extract, licenses, media, mixing, simhash, substrings, topk, toxicity
 from gneiss.llm.common import table
 
 
@@ -15,6 +15,13 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: how many licenses, and the best one with its coverage and place."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.get("licenses", F.lit(0))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), best["license"].alias("license"), best["coverage"].alias("coverage"), best["begin"].alias("begin"), best["end"].alias("end"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -70,6 +77,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
+    "op2_licenses": op2_licenses,
     "op3_chat_format": op3_chat_format,
     "op4_mix_sources": op4_mix_sources,
     "op5_media_columns": op5_media_columns,
