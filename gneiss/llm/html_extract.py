@@ -66,7 +66,7 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "sum", "tags")
+    __slots__ = ("attributes", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "sum", "tags", "top")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.attributes = name, parent, attributes
@@ -235,25 +235,18 @@ def measure(root: Node, body: Node) -> list[Node]:
         c, links = n.chars, max(1, n.link_chars)
         base = math.log(c / max(1, c - n.link_chars) * n.link_chars + share * c + math.e)
         n.density = c / n.tags * max(0.0, math.log(max(1e-9, c / links * n.tags / max(1, n.link_tags))) / math.log(max(base, 1.0001))) if c else 0.0
-    for n in nodes:
+    for n in reversed(nodes):
         n.sum = sum(c.density for c in n.children if isinstance(c, Node))
+        n.top = n  # the node of the largest density sum in the subtree, the first of equals
+        for c in n.children:
+            if isinstance(c, Node) and c.top.sum > n.top.sum:
+                n.top = c.top
     return nodes
 
 
-def best(node: Node) -> Node:
-    """The node of the largest density sum in a subtree, the first of equals."""
-    found, stack = node, [node]
-    while stack:
-        n = stack.pop()
-        if n.sum > found.sum:
-            found = n
-        stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-    return found
-
-
 def content(body: Node) -> list[Node]:
     """The subtrees that are content, in page order, none inside another."""
-    top = best(body)
+    top = body.top
     if top.sum <= 0:
         return [body]
     node: Node | None = top
@@ -273,22 +266,12 @@ def content(body: Node) -> list[Node]:
     while stack:
         n = stack.pop()
         if n.density >= least:
-            found = best(n)
+            found = n.top
             if found.sum > 0 or n.name in TEXTS:
                 marked.append(found)
             if found is not n:
                 stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
-    chosen = set(map(id, marked))
-    return [n for n in marked if not _above(n, chosen)]
-
-
-def _above(node: Node, chosen: set[int]) -> bool:
-    up = node.parent
-    while up:
-        if id(up) in chosen:
-            return True
-        up = up.parent
-    return False
+    return _outermost(body, marked)
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -302,8 +285,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             out.append(text)
         now.clear()
 
-    order = _page_order(nodes)
-    for node in order:
+    for node in nodes:
         part()
         stack: list[Node | str | None] = [node]
         while stack:
@@ -322,13 +304,9 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def _page_order(nodes: list[Node]) -> list[Node]:
-    if len(nodes) < 2:
-        return nodes
-    wanted = {id(n): n for n in nodes}
-    top = nodes[0]
-    while top.parent:
-        top = top.parent
+def _outermost(top: Node, nodes: list[Node]) -> list[Node]:
+    """``nodes`` in page order, without those inside others."""
+    wanted = set(map(id, nodes))
     out, stack = [], [top]
     while stack:
         n = stack.pop()

@@ -14,7 +14,7 @@ matches can't outnumber the words, with repeats, that text and template share.
 Whole texts are scanned in one pass without a shuffle; templates are a parameter of fixed size.
 
 Defined results: null or empty text has no license; several copies of a template in a text give the
-best, the first of equals; repeated rows have a row each; an empty table gives no row.
+best, of equals the tightest, then the first; repeated rows have a row each; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ class Template:
         yield first, last + 1
 
     def find(self, words: list[str], index: dict[str, list[int]], least: float) -> tuple[float, int, int] | None:
-        """Coverage, first word and the place after the last of the best copy."""
+        """Coverage, first word and the place after the last of the best copy, the tightest of equals."""
         need = least * len(self.words)
         if sum(min(n, len(index.get(w, ()))) for w, n in self.counts.items()) < need:
             return None
@@ -133,7 +133,7 @@ class Template:
             if hi - lo < need:
                 continue
             for got in self.copies(words, lo, hi, need):
-                if not found or got[0] > found[0]:
+                if not found or (got[0], got[1] - got[2]) > (found[0], found[1] - found[2]):
                     found = got
         return found
 
@@ -148,7 +148,7 @@ class Template:
 
 
 def scan(text: str | None, templates: dict[str, Template], least: float) -> list[tuple[str, float, int, int]]:
-    """Licenses in a text, best first: name, coverage, first character, the place after the last. One inside a better one's place is left out."""
+    """Licenses in a text, best first: name, coverage, first character, the place after the last. What is a better one again is left out."""
     text = text or ""
     present = set(WORD.findall(text.lower()))
     able = {name: t for name, t in templates.items() if t.words and sum(n for w, n in t.counts.items() if w in present) >= least * len(t.words)}
@@ -165,12 +165,18 @@ def scan(text: str | None, templates: dict[str, Template], least: float) -> list
     for name, t in able.items():
         got = t.find(words, index, least)
         if got:
-            out.append((name, got[0], spans[got[1]][0], spans[got[2] - 1][1]))
+            out.append((name, *got))
     best: list[tuple[str, float, int, int]] = []
     for x in sorted(out, key=lambda x: (-x[1], -len(templates[x[0]].words), x[0])):
-        if not any(b <= x[2] and x[3] <= e for _, _, b, e in best):
+        if not any(_same(templates[y[0]], y, templates[x[0]], x, least) for y in best):
             best.append(x)
-    return best
+    return [(name, coverage, spans[a][0], spans[b - 1][1]) for name, coverage, a, b in best]
+
+
+def _same(better: Template, y: tuple[str, float, int, int], template: Template, x: tuple[str, float, int, int], least: float) -> bool:
+    """Whether a find is a better one again: in its place, or a lesser match of a template that is much like the better's."""
+    inside = y[2] <= x[2] and x[3] <= y[3]
+    return inside or (x[1] < y[1] and len(align(template.words, better.words)) >= least * len(template.words))
 
 
 def scan_licenses(docs: DataFrame, keep: list[str] | None = None, text: str = "text", templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
