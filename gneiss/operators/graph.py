@@ -68,8 +68,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = No
     """vertices(id), edges(src, dst, weight), start(id, p) -> id, rank.
 
     Personalised, weighted; dangling mass goes where the start distribution says. Each round is one
-    join and one aggregation on ``src``; lineage is cut every few rounds; with a ``tolerance`` (a round's
-    total change per vertex) rounds end early, which costs one number to the driver a round.
+    join and one aggregation on ``src``; lineage is cut every few rounds. With a ``tolerance`` (a round's total
+    change per vertex) the walk ends at such a cut, for one number sent to the driver.
     """
     n = vertices.count()
     if not n:
@@ -89,10 +89,10 @@ def pagerank(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = No
         loose = state.agg(F.coalesce(F.sum(F.when(~F.col("links"), F.col("rank"))), F.lit(0.0)).alias("loose"))
         rank = DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("p")) + (1 - DAMPING) * F.col("p")
         state = state.withColumnRenamed("rank", "was").join(got, "id", "left").join(F.broadcast(loose)).select("id", "p", rank.alias("rank"), "links", "was")
-        if tolerance is not None or i % every == 0:
+        if i % every == 0:
             state = cut(state)
-        if tolerance is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * tolerance:
-            break
+            if tolerance is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * tolerance:
+                break
         state = state.drop("was")
     return state.select("id", "rank")
 
@@ -174,7 +174,7 @@ def back_edge_cycles(edges: DataFrame) -> DataFrame:
                     seen.add(step)
                     path.append(step)
                     stack.append((step, iter(out.get(step, ()))))
-        return pd.DataFrame({"cycle": [list(c) for c in sorted(found)]})
+        return pd.DataFrame({"cycle": pd.Series([list(c) for c in sorted(found)], dtype=object)})
 
     return edges.select("src", "dst").distinct().withColumn("graph", F.lit("all")).groupBy("graph").applyInPandas(walk, "cycle array<string>")
 

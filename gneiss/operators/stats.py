@@ -16,7 +16,7 @@ def module_distribution(modules: DataFrame, files: DataFrame) -> DataFrame:
     """modules(ord, module, tier), files(module, n_sigs) -> module, tier, file_count, sig_count. Files are summed before the join."""
     sums = files.groupBy("module").agg(F.count("*").alias("file_count"), F.sum("n_sigs").alias("sig_count"))
     zero = {"file_count": 0, "sig_count": 0}
-    return modules.join(sums, "module", "left").fillna(zero).select("ord", "module", "tier", "file_count", "sig_count").orderBy(F.desc("file_count"), "ord")
+    return modules.select("ord", "module", "tier").join(sums, "module", "left").fillna(zero).select("ord", "module", "tier", "file_count", "sig_count").orderBy(F.desc("file_count"), "ord")
 
 
 def tag_frequency(files: DataFrame) -> DataFrame:
