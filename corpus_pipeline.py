@@ -39,9 +39,9 @@ def one_of_each_id(docs: DataFrame) -> DataFrame:
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that a document with a smaller id says too, 13 and more in a row. Untouched texts stay as they are."""
-    done = substrings.remove_repeats(docs, keep=docs.columns)
-    cut = F.col("n_removed") > 0
-    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    done = substrings.remove_repeats(docs, keep=docs.columns, prefix="_dedup_")
+    cut, kept = F.col("_dedup_n_removed") > 0, F.col("_dedup_kept")
+    new = {"text": F.when(cut, kept).otherwise(F.col("text")), "n_chars": F.when(cut, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
     return done.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
 
 

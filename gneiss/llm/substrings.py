@@ -142,10 +142,11 @@ class Repeats:
         return np.split(~covered, self.p.starts[1:-1])
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS, prefix: str = "") -> DataFrame:
     """Columns ``keep`` (the id alone), n_words, n_removed, kept_sha256 and kept (the words that stay, joined by a space).
 
-    ``keep`` may name any columns but these four; with the text column among them it comes as it was.
+    ``prefix`` stands before the last four names, for tables that have such columns themselves. The text column
+    comes as it was, if ``keep`` names it.
     """
     keep = [id_column] if keep is None else keep
     used = list(dict.fromkeys([id_column, text, *keep]))
@@ -169,7 +170,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
         _, _, names, holder, _ = r.open_windows(B.told(right, PHRASE, r.names, buckets))
         return B.ask(left["block"][0].as_py(), names, r.p.ids, holder, buckets)
 
-    out = T.StructType([docs.select(*keep).schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
+    out = T.StructType([docs.select(*keep).schema[c] for c in keep] + [T.StructField(prefix + c, k) for c, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType()))])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = B.expand(left["payload"][0].as_py()) if left.num_rows else None
@@ -185,7 +186,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
             ("kept_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in said], pa.string())),
             ("kept", pa.array(said, pa.binary()).cast(pa.string())),
         ):
-            done = done.append_column(name, column)
+            done = done.append_column(prefix + name, column)
         return done
 
     phrases = cut(blocks.mapInArrow(ask_phrases, B.ASKED).groupBy("bucket").applyInArrow(B.answer_smaller(PHRASE), B.TOLD))
