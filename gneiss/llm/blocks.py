@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterat
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
         begin = 0
         for i, length in enumerate(lengths.tolist()):
             if size and size + length > most:
@@ -73,7 +74,7 @@ def pack(df: DataFrame, text: str = "text", most: int = 6 << 20) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in in_blocks(batches, text, most):
-            size = pa.compute.sum(pa.compute.binary_length(rows[text])).as_py() or 0
+            size = pc.sum(pc.binary_length(rows[text])).as_py() or 0
             yield pa.RecordBatch.from_pydict({"block": [block], "n_words": [size // 5], "payload": [squeeze(rows)]}, schema=_schema(BLOCKS))
 
     return df.mapInArrow(run, BLOCKS)
