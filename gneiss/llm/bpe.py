@@ -9,6 +9,9 @@ block once, and puts the pieces' bytes together by position; bytes that aren't U
 The vocabulary, of fixed size, is the only thing broadcast. Texts aren't shuffled: what moves is a
 number a word.
 
+Blocks are numbered by the order in which rows meet a task, so ``docs`` has to read the same each time, as a
+table does; cut lineage first where it may not.
+
 Defined results: null text is empty and has no ids; the special tokens' own strings in a text become
 their ids, as the library does by default; repeated rows have a row each; an empty table gives no row.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gneiss.llm import blocks as B
-from gneiss.llm.common import cut
 from gneiss.llm.substrings import _arrow
 
 #: Fixed value: the byte-level pattern of the public vocabulary.
@@ -45,6 +48,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(1)
+def unsettled() -> regex.Pattern:
+    """Characters that Unicode has assigned or moved since its version 3.2, or not yet: libraries may class them differently."""
+    old = unicodedata.ucd_3_2_0.category
+    moved = [c for c in range(0x80, 0x110000) if (k := unicodedata.category(x := chr(c))) != old(x) or k == "Cn"]
+    starts = [c for c, before in zip(moved, [0, *moved], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(moved, [*moved[1:], 0], strict=True) if after != c + 1]
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
 class Vocabulary:
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,6 +69,8 @@ class Vocabulary:
         letters = byte_letters()
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
+        self.letters = letters
+        self.settled: set[str] = set()
         self.pieces: dict[int, bytes] = {}
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.pieces[i] = piece.encode() if i in added else bytes(letters[c] for c in piece)
@@ -64,12 +79,27 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         if not self.split_special or not any(s in text for s in self.special):
-            return self.word.findall(text)
+            return self.plain_words(text)
         out: list[str] = []
         for part in self.split_special.split(text):
-            out += [part] if part in self.special else self.word.findall(part)
+            out += [part] if part in self.special else self.plain_words(part)
         return out
 
+    def plain_words(self, text: str) -> list[str]:
+        """By the pattern; texts with characters that not all versions of Unicode class alike are split by the library itself."""
+        if text.isascii() or self.is_settled(text):
+            return self.word.findall(text)
+        letters = self.letters
+        return [bytes(letters[c] for c in w).decode() for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def is_settled(self, text: str) -> bool:
+        """Looks each character up once: those found settled are remembered."""
+        new = set(text).difference(self.settled)
+        if new and unsettled().search("".join(new)):
+            return False
+        self.settled |= new
+        return True
+
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
@@ -83,24 +113,24 @@ def _pack_words(words: list[str]) -> bytes:
     return B.squeeze(pa.table({"w": pa.array(words, pa.string())}))
 
 
-def encode_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 4 << 20, each: int = 200_000, results: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 8 << 20, results: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """Columns ``keep`` (doc_id alone) and ``results`` among n_tokens, ids (little-endian unsigned 32-bit), decoded (the text that the ids give) and their digests.
 
-    ``path``: the tokenizer's file, read on the driver. ``most``: bytes of text in a block. ``each``:
-    distinct words, counted by block, that a bucket gets about.
+    ``path``: the tokenizer's file, read on the driver. ``most``: bytes of text in a block. Words are dealt
+    into as many buckets as a shuffle has partitions.
     """
-    return _encoded(docs, path, keep, text, most, each, results)
+    return _encoded(docs, path, keep, text, most, results)
 
 
-def digest_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 4 << 20, each: int = 200_000) -> DataFrame:
+def digest_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 8 << 20) -> DataFrame:
     """As ``encode_docs``, with digests of ids and of the decoded text in their place."""
-    return _encoded(docs, path, keep, text, most, each, ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return _encoded(docs, path, keep, text, most, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 RESULTS = {"n_tokens": T.LongType(), "ids": T.BinaryType(), "decoded": T.StringType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
 
 
-def _encoded(docs: DataFrame, path: str, keep: list[str] | None, text: str, most: int, each: int, results: tuple[str, ...]) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, keep: list[str] | None, text: str, most: int, results: tuple[str, ...]) -> DataFrame:
     keep = ["doc_id"] if keep is None else keep
     with open(path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -117,11 +147,13 @@ def _encoded(docs: DataFrame, path: str, keep: list[str] | None, text: str, most
                 words = v.words(t) if t else []
                 at.extend([place(w, len(seen)) for w in words])
                 sizes.append(len(words))
-            places = np.array([len(sizes), *sizes, *at] if len(at) < 1000 else np.concatenate(([len(sizes)], sizes, at)), np.uint32)
-            yield B.rows_of(CODED, block=[block], n_words=[len(seen)], payload=[B.squeeze(rows.select(keep).combine_chunks())], places=[_squeeze_places(places)], words=[_pack_words(list(seen))]).to_batches()[0]
+            words, at = _frequent_first(list(seen), np.array(at, np.int64))
+            places = np.concatenate(([len(sizes)], sizes, at)).astype(np.uint32)
+            yield B.rows_of(CODED, block=[block], n_words=[len(words)], payload=[B.squeeze(rows.select(keep).combine_chunks())], places=[B.squeeze_array(places)], words=[_pack_words(words)]).to_batches()[0]
 
-    blocks = cut(docs.select(*dict.fromkeys([text, *keep])).mapInArrow(split, CODED))
-    buckets = B.buckets_for(blocks, each)
+    # One shuffle of the blocks, which the questions and the answers' join both read: it is planned twice and run once.
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = docs.select(*dict.fromkeys([text, *keep])).mapInArrow(split, CODED).repartition(buckets, "block")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +187,7 @@ def _encoded(docs: DataFrame, path: str, keep: list[str] | None, text: str, most
             return pa.table({f.name: pa.array([], _arrow(f.dataType)) for f in out})
         v = vocabulary(spec.value)
         done = B.expand(left["payload"][0].as_py())
-        places = _expand_places(left["places"][0].as_py())
+        places = B.expand_array(left["places"][0].as_py(), np.uint32)
         n = int(places[0])
         lengths, at = places[1 : n + 1].astype(np.int64), places[n + 1 :]
         words = B.expand(left["words"][0].as_py())["w"].combine_chunks()
@@ -172,18 +204,17 @@ def _encoded(docs: DataFrame, path: str, keep: list[str] | None, text: str, most
         tokens = _gather(flat, starts, sizes, at)
         ends = np.concatenate(([0], np.cumsum(lengths)))
         token_ends = np.concatenate(([0], np.cumsum(sizes[at])))[ends].tolist()
-        order = at.tolist()
         cols: dict[str, list] = {c: [] for c in results}
         for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
             own = tokens[token_ends[i] : token_ends[i + 1]].astype("<u4").tobytes()
-            decoded = b"".join([text_of[j] for j in order[lo:hi]])
+            decoded = b"".join([text_of[j] for j in at[lo:hi].tolist()])
             for c in results:
                 cols[c].append(_result(c, own, decoded))
         for c in results:
             done = done.append_column(c, pa.array(cols[c], _arrow(RESULTS[c])))
         return done
 
-    asked = blocks.select("block", "words").mapInArrow(deal, B.ASKED)
+    asked = blocks.mapInArrow(deal, B.ASKED)
     answers = asked.groupBy("bucket").applyInArrow(encode, B.TOLD)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, out)
 
@@ -205,12 +236,12 @@ def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def _squeeze_places(places: np.ndarray) -> bytes:
-    return B.squeeze_array(places)
-
-
-def _expand_places(payload: bytes) -> np.ndarray:
-    return B.expand_array(payload, np.uint32)
+def _frequent_first(words: list[str], at: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words by falling count, and the places of the same words in that order: small numbers are common and pack well."""
+    order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+    rank = np.empty(len(words), np.int64)
+    rank[order] = np.arange(len(words))
+    return [words[i] for i in order.tolist()], rank[at]
 
 
 def _ragged(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
