@@ -7,7 +7,7 @@ words or names is dealt by value into buckets, answered there, and sent back to
 
 A bucket gets a name from each block once, however often the block's texts hold it, so frequent words
 and passages load no bucket more than the number of blocks. Everything is keyed by block or bucket and
-recomputable; blocks are checkpointed, because block numbers depend on how rows met in a task.
+recomputable, as long as the table reads the same again.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BLOCKS = "block long, n_words long, payload binary"
+BLOCKS = "block long, payload binary"
 ASKED = "bucket long, block long, payload binary"
 TOLD = "block long, kind int, bucket long, payload binary"
 
@@ -70,12 +69,11 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterat
 
 
 def pack(df: DataFrame, text: str = "text", most: int = 6 << 20) -> DataFrame:
-    """Rows of ``df`` as blocks (block, n_words, payload); n_words is an upper estimate from bytes."""
+    """Rows of ``df`` as blocks (block, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in in_blocks(batches, text, most):
-            size = pc.sum(pc.binary_length(rows[text])).as_py() or 0
-            yield pa.RecordBatch.from_pydict({"block": [block], "n_words": [size // 5], "payload": [squeeze(rows)]}, schema=_schema(BLOCKS))
+            yield rows_of(BLOCKS, block=[block], payload=[squeeze(rows)]).to_batches()[0]
 
     return df.mapInArrow(run, BLOCKS)
 
@@ -95,11 +93,6 @@ def bucket_bounds(names: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(names, edges), len(names))
 
 
-def buckets_for(blocks: DataFrame, each: int = 1_500_000) -> int:
-    total = blocks.agg(F.sum("n_words")).first()[0] or 0
-    return max(1, -(-total // each))
-
-
 def ask(block: int, names: np.ndarray, ids: np.ndarray, holder: np.ndarray, buckets: int) -> pa.Table:
     """A block's distinct names, sorted, and the smallest id that holds each: ids[holder]."""
     bounds = bucket_bounds(names, buckets)
@@ -128,8 +121,8 @@ def answer_smaller(kind: int):
 
     def run(rows: pa.Table) -> pa.Table:
         blocks, payloads = rows["block"].to_pylist(), rows["payload"].to_pylist()
-        if not blocks:
-            return rows_of(TOLD, block=[], kind=[], bucket=[], payload=[])
+        if not blocks or rows["bucket"][0].as_py() < 0:
+            return rows_of(TOLD, block=blocks, kind=[int.from_bytes(x[:4], "little") for x in payloads], bucket=[int.from_bytes(x[4:12], "little") for x in payloads], payload=[x[12:] for x in payloads])
         names, ids = map(list, zip(*map(asked, payloads), strict=True))
         sizes = [len(x) for x in names]
         every, held = np.concatenate(names), np.concatenate(ids)
@@ -145,6 +138,13 @@ def answer_smaller(kind: int):
     return run
 
 
+def memo(told: pa.Table, buckets: int) -> pa.Table:
+    """Answers that a block will want again, as questions that come back as they are: in buckets below 0, a few for each block."""
+    kinds, of, bits, blocks = (told[c].to_pylist() for c in ("kind", "bucket", "payload", "block"))
+    payloads = [k.to_bytes(4, "little") + b.to_bytes(8, "little") + x for k, b, x in zip(kinds, of, bits, strict=True)]
+    return rows_of(ASKED, bucket=[-1 - block % buckets for block in blocks], block=blocks, payload=payloads)
+
+
 def told(rows: pa.Table, kind: int, names: np.ndarray, buckets: int) -> np.ndarray:
     """The answers of ``kind`` for a block's sorted distinct names."""
     out = np.zeros(len(names), bool)

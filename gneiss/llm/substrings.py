@@ -13,6 +13,9 @@ rounds long repeats share high-level symbols, here called phrases.
    so nothing that a phrase settles is missing from the second round.
 3. Words under a repeated window go.
 
+Blocks are numbered by the order in which rows meet a task, so ``docs`` has to read the same each time, as a
+table does; cut lineage first where it may not. Names are dealt into as many buckets as a shuffle has partitions.
+
 Names of two rounds of 64 bits: for 10^10 distinct windows a false match has probability 3 in 1,000.
 
 Defined results: null text has no words; a null doc_id counts as larger than any other; rows that share
@@ -31,7 +34,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gneiss.llm import blocks as B
-from gneiss.llm.common import cut
 
 WINDOW, ROUNDS = 13, 14
 PHRASE, SPAN = 0, 1
@@ -150,9 +152,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
     """
     keep = [id_column] if keep is None else keep
     used = list(dict.fromkeys([id_column, text, *keep]))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = cut(B.pack(docs.select(*used), text).repartition(parts, "block"))
-    buckets = B.buckets_for(blocks)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One shuffle of the blocks, which all three steps read: it is planned three times and run once.
+    blocks = B.pack(docs.select(*used), text).repartition(buckets, "block")
 
     def opened(payload: bytes) -> Repeats:
         return Repeats(B.expand(payload), id_column, text, window, rounds)
@@ -168,7 +170,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
             return B.rows_of(B.ASKED, bucket=[], block=[], payload=[])
         r = opened(left["payload"][0].as_py())
         _, _, names, holder, _ = r.open_windows(B.told(right, PHRASE, r.names, buckets))
-        return B.ask(left["block"][0].as_py(), names, r.p.ids, holder, buckets)
+        block = left["block"][0].as_py()
+        return pa.concat_tables([B.ask(block, names, r.p.ids, holder, buckets), B.memo(right, buckets)])
 
     out = T.StructType([docs.select(*keep).schema[c] for c in keep] + [T.StructField(prefix + c, k) for c, k in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept", T.StringType()))])
 
@@ -189,10 +192,10 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, id_column: st
             done = done.append_column(prefix + name, column)
         return done
 
-    phrases = cut(blocks.mapInArrow(ask_phrases, B.ASKED).groupBy("bucket").applyInArrow(B.answer_smaller(PHRASE), B.TOLD))
     by_block = blocks.groupBy("block")
+    phrases = blocks.mapInArrow(ask_phrases, B.ASKED).groupBy("bucket").applyInArrow(B.answer_smaller(PHRASE), B.TOLD)
     windows = by_block.cogroup(phrases.groupBy("block")).applyInArrow(ask_windows, B.ASKED)
-    answers = phrases.unionByName(windows.groupBy("bucket").applyInArrow(B.answer_smaller(SPAN), B.TOLD))
+    answers = windows.groupBy("bucket").applyInArrow(B.answer_smaller(SPAN), B.TOLD)
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(finish, out)
 
 
