@@ -24,8 +24,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Documents without an id stay."""
-    groups = simhash.group_near(docs)
+    """One document of each group of near-duplicates (0.8 of their five-word shingles or more alike): that with the smallest doc_id. Documents without an id stay."""
+    groups = simhash.group_alike(docs)
     out = groups.where("doc_id <> component_id").select("doc_id").distinct()
     ranked = docs.join(out, "doc_id", "left_anti")
     return one_of_each_id(ranked).select(*docs.columns)

@@ -162,6 +162,40 @@ def test_anchors_cover():
         assert set(ax[wx == i]) & set(ay[wy == i])
 
 
+def edited(words, n, r):
+    """``words`` with ``n`` of them, far from each other, changed."""
+    out = list(words)
+    for i in range(n):
+        out[10 + i * (len(out) // (n + 1))] = f"new{r.random()}"
+    return " ".join(out)
+
+
+def test_alike_texts_are_linked_and_others_not(spark):
+    r = random.Random(4)
+    texts = {}
+    for i in range(120):
+        base = [f"w{r.randrange(5000)}" for _ in range(200)]
+        texts[3 * i], texts[3 * i + 1], texts[3 * i + 2] = " ".join(base), edited(base, 2, r), edited(base, 8, r)
+    texts |= {9000: "Short", 9001: "short", 9002: "", 9003: None, 9004: "a b c d e f", 9005: "a b c d e g"}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in texts.items()}
+    like = {(a, b) for a in texts for b in texts if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))}
+    assert (0, 1) in like and (0, 2) not in like and (9000, 9001) in like and (9002, 9003) in like and (9004, 9005) not in like
+    got = {x["doc_id"]: x["component_id"] for x in simhash.group_alike(frame(spark, texts)).collect()}
+    near = {x["doc_id"]: x["component_id"] for x in simhash.group_near(frame(spark, texts)).collect()}
+    assert sum(near[a] == near[b] for a, b in like) < 0.5 * len(like)
+    assert sum(got[a] == got[b] for a, b in like) >= 0.95 * len(like)
+    assert {(a, b) for a in got for b in got if a < b and got[a] == got[b]} <= like
+
+
+def test_tiles_compare_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 8)
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = {i: edited(base, 1, r) for i in range(60)}
+    assert {x["component_id"] for x in simhash.group_alike(frame(spark, texts)).collect()} == {0}
+    assert simhash.group_alike(frame(spark, {})).collect() == []
+
+
 def test_near_takes_empty_tables(spark):
     assert simhash.group_near(frame(spark, {})).collect() == []
 
