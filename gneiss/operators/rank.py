@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
+from gneiss.plans.lineage import cut
 
 # File names and path marks and what they add.
 CORE_NAMES = "cli.py main.py processor.py engine.py core.py trimmer.py runner.py indexer.py parser.py".split()
@@ -106,13 +107,20 @@ def module_order(modules: DataFrame) -> DataFrame:
     return modules.orderBy(F.when(F.lower("tier") == "core", 0).otherwise(1), testish.cast("int"), F.desc("core_score"), "module")
 
 
-def symbol_scores(ranked: DataFrame, order: list[Column], rate: float = 0.95) -> DataFrame:
-    """Ranked tags (path, ...) -> path, score: the sum of rate^position.
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with their ``place`` in the order, from 0: sorted in ranges, and each range begins where those before it end."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    # One row a range, whatever the rows.
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+
 
-    Positions count per file's share of the order; the sum is a partial aggregation.
-    """
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return ranked.withColumn("place", place).groupBy("path").agg(F.sum(F.pow(F.lit(rate), F.col("place"))).alias("score"))
+def symbol_scores(ranked: DataFrame, order: list[Column], rate: float = 0.95) -> DataFrame:
+    """Ranked tags (path, ...) -> path, score: the sum of rate^position over all tags."""
+    return numbered(ranked, order).groupBy("path").agg(F.sum(F.pow(F.lit(rate), F.col("place"))).alias("score"))
 
 
 def snippet_tags(tags: DataFrame, mentioned: list[str], most: int = 2) -> DataFrame:

@@ -331,8 +331,7 @@ def snippet_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def symbol_scores(spark: SparkSession, sf: str) -> DataFrame:
-    few = C.signatures(spark, sf).orderBy(F.desc("name"), "path", "line").limit(200)
-    return rank.symbol_scores(few, [F.desc("name"), F.asc("path"), F.asc("line")]).withColumn("score", F.round("score", 9))
+    return rank.symbol_scores(C.signatures(spark, sf), [F.desc("name"), F.asc("path"), F.asc("line")]).withColumn("score", F.round("score", 9))
 
 
 @query
