@@ -400,8 +400,8 @@ def asof_parent(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def suffix_join(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = C.files(spark, sf).where("ord % 50 = 8").select(P.name(F.col("path")).alias("suffix")).unionByName(spark.createDataFrame([("core/engine_20.py",)], "suffix string"))
-    return deps.suffix_join(wanted, C.files(spark, sf).select("path"))
+    wanted = C.files(spark, sf).select(P.name(F.col("path")).alias("suffix")).unionByName(spark.createDataFrame([("core/engine_20.py",)], "suffix string"))
+    return deps.suffix_join(wanted.distinct(), C.files(spark, sf).select("path"))
 
 
 @query

@@ -40,3 +40,10 @@ def test_symbol_scores_take_all_signatures(spark, sf):
         want[p] = want.get(p, 0) + 0.95**place
     got = {x["path"]: x["score"] for x in rows(spark, sf, "symbol_scores")}
     assert len(want) == 240 and got == {p: pytest.approx(s, abs=2e-9) for p, s in want.items()}
+
+
+def test_suffix_join_asks_for_all_names(spark, sf):
+    paths = [path(k) for k in range(240)]
+    wanted = {p.rsplit("/", 1)[-1] for p in paths} | {"core/engine_20.py"}
+    want = sorted((w, p) for w in wanted for p in paths if p == w or p.endswith("/" + w))
+    assert sorted((x["suffix"], x["path"]) for x in rows(spark, sf, "suffix_join")) == want and len(want) > 240
