@@ -421,7 +421,7 @@ def reference_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(200).select("id")
+    return C.table(spark, sf, "events").select(F.col("user_id").alias("id")).where("id is not null").distinct()
 
 
 @query
@@ -433,7 +433,7 @@ def pagerank(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pagerank_personalized(spark: SparkSession, sf: str) -> DataFrame:
     start = graph.focus_start(vertices(spark, sf), [3, 5], [7])
-    ranks = graph.pagerank(vertices(spark, sf), C.user_edges(spark, sf).where("weight > 1"), start, rounds=10)
+    ranks = graph.pagerank(vertices(spark, sf), C.user_edges(spark, sf), start, rounds=10)
     return ranks.select("id", F.round("rank", 9).alias("rank"))
 
 
@@ -450,7 +450,7 @@ def graph_rank_blend(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tiered_rank(spark: SparkSession, sf: str) -> DataFrame:
     start = graph.focus_start(vertices(spark, sf), [3, 5], [7])
-    ranks = graph.pagerank(vertices(spark, sf), C.user_edges(spark, sf).where("weight > 1"), start, rounds=10)
+    ranks = graph.pagerank(vertices(spark, sf), C.user_edges(spark, sf), start, rounds=10)
     priors = scores_of_users(spark, sf).select("id", F.col("score").alias("prior"))
     tiers = graph.tiered(ranks, start.select("id"), priors, 0.004)
     return tiers.select("id", F.round("rank", 7).alias("rank"), "tier")
@@ -463,7 +463,7 @@ def graph_density(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.neighbourhood(C.user_edges(spark, sf).where("weight > 1"), 3, vertices(spark, sf).select("id", (F.col("id") * 7 % 31).alias("weight")))
+    return graph.neighbourhood(C.user_edges(spark, sf), 3, vertices(spark, sf).select("id", (F.col("id") * 7 % 31).alias("weight")))
 
 
 @query

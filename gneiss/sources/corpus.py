@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gneiss.operators.rank import numbered
+
 #: Paths by order key modulo their number; {k} is the key.
 SHAPES = [
     "tests/unit/test_{k}.py", "docs/guide/{k}.md", "cli/cli_{k}.py", "config/{k}.toml", "vendor/lib/{k}.js", "src/api/routes_{k}.ts",
@@ -80,11 +82,10 @@ def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted edges: an event's user to the user of the next event, users modulo 200. src, dst, weight."""
-    from pyspark.sql import Window
-
-    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 200).alias("user"), F.floor(F.col("event_id") / 1000).alias("part"))
-    # Neighbours are taken within stretches of 1,000 events, so no task sorts all of them.
-    following = F.lead("user").over(Window.partitionBy("part").orderBy("event_id"))
-    pairs = events.select(F.col("user").alias("src"), following.alias("dst")).where("dst is not null and src <> dst")
+    """Weighted edges: an event's user to the user of the next event. src, dst, weight."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("user"))
+    # Numbered by ranges, so no task sorts all of them.
+    placed = numbered(events, [F.asc("event_id"), F.asc("user")])
+    following = placed.select((F.col("place") - 1).alias("place"), F.col("user").alias("dst"))
+    pairs = placed.select("place", F.col("user").alias("src")).join(following, "place").where("src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
