@@ -304,7 +304,7 @@ def batch_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def heuristic_rank(spark: SparkSession, sf: str) -> DataFrame:
-    return rank.heuristic(C.files(spark, sf), ["src/core/engine_8.py"], ["cli/cli_2.py"]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "path").limit(100)
+    return rank.heuristic(C.files(spark, sf), ["src/core/engine_8.py"], ["cli/cli_2.py"]).withColumn("score", F.round("score", 6))
 
 
 @query

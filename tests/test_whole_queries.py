@@ -82,3 +82,9 @@ def test_graphs_have_all_users_and_all_edges(spark, sf):
     top = max(even.values())
     assert {x["id"]: x["score"] for x in rows(spark, sf, "graph_rank_blend")} == {i: pytest.approx(0.4 * x / top + 0.6 / (1 + i % 17), abs=2e-7) for i, x in even.items()}
     assert {x["id"]: x["tier"] for x in rows(spark, sf, "tiered_rank")} == {i: 1 if i in (3, 5, 7) else 2 if x > 0.004 else 3 for i, x in focus.items()}
+
+
+def test_heuristic_rank_keeps_all_files(spark, sf):
+    got = {x["path"]: x["score"] for x in rows(spark, sf, "heuristic_rank")}
+    assert set(got) == {path(k) for k in range(240)}
+    assert got["src/core/engine_8.py"] == 50 * 2 * 1.5 and got["docs/guide/1.md"] == 0.3 * 0.4
