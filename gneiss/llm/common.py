@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word, as a Java or RE2 pattern: anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,6 +43,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release() -> None:
+    """Give what a task has freed back to the system: Python workers live on from task to task and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def derived(rows: DataFrame, keep: list[str], given: str | Column, added: dict[str, str], make: Callable[[], Callable[[list], list[list]]], at_once: int = 500) -> DataFrame:
+    """Columns ``keep`` of ``rows`` as they are, then columns ``added`` (name to type).
+
+    ``make`` is called once a task and gives a function from some values of ``given`` (an expression, or one of
+    ``keep``, which isn't sent twice then) to the added columns.
+    Kept columns stay in Arrow: pandas would turn a batch's whole numbers into doubles where one of them is
+    null. They are known by place, so their names may be any. ``at_once`` rows are made into objects at a time.
+    """
+    kept = rows.select(*keep).schema.fields
+    kinds = [f.dataType for f in kept] + [T._parse_datatype_string(k) for k in added.values()]
+    names = [f"c{i}" for i in range(len(kinds))]
+    new = [to_arrow_type(k) for k in kinds[len(kept) :]]
+    own = given in keep if isinstance(given, str) else False
+    at = keep.index(given) if own else len(kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, at_once):
+                part = batch.slice(begin, at_once)
+                columns = made(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array(c, k) for c, k in zip(columns, new, strict=True))], names=names)
+        del made
+        release()
+
+    chosen = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=False)), *([] if own else [(F.col(given) if isinstance(given, str) else given).alias("given")]))
+    out = chosen.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
+    return out.toDF(*(f.name for f in kept), *added)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

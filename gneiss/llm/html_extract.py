@@ -24,12 +24,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from gneiss.llm.common import derived
 
 #: Elements of the HTML standard by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -335,15 +334,9 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, keep: list[str] | None = None, html: str = "html") -> DataFrame:
     """Columns ``keep`` (page_id and url), text and n_chars."""
-    keep = ["page_id", "url"] if keep is None else keep
-    schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [main_text(h) for h in b.iloc[:, -1]]
-            out = b.iloc[:, :-1].copy()
-            out["text"] = texts
-            out["n_chars"] = [len(t) for t in texts]
-            yield out
-
-    return pages.select(*keep, F.col(html)).mapInPandas(run, schema)
+
+    def made(pages: list) -> list[list]:
+        texts = [main_text(h) for h in pages]
+        return [texts, [len(t) for t in texts]]
+
+    return derived(pages, ["page_id", "url"] if keep is None else keep, html, {"text": "string", "n_chars": "long"}, lambda: made, 100)

@@ -22,11 +22,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from gneiss.llm.common import derived
 
 WORD = re.compile(r"[^\W_]+")
 LEAST = 0.8
@@ -183,13 +182,9 @@ def scan_licenses(docs: DataFrame, keep: list[str] | None = None, text: str = "t
     """Columns ``keep`` (doc_id), licenses array<struct<license, coverage, begin, end>>, best first, places in characters."""
     keep = ["doc_id"] if keep is None else keep
     known = {name: Template(t) for name, t in (TEMPLATES if templates is None else templates).items()}
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema = f"{kinds}, licenses array<struct<license: string, coverage: double, begin: long, end: long>>"
+    kind = "array<struct<license: string, coverage: double, begin: long, end: long>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b.iloc[:, :-1].copy()
-            out["licenses"] = [[dict(zip(("license", "coverage", "begin", "end"), x, strict=True)) for x in scan(t, known, least)] for t in b.iloc[:, -1]]
-            yield out
+    def found(texts: list) -> list[list]:
+        return [[[dict(zip(("license", "coverage", "begin", "end"), x, strict=True)) for x in scan(t, known, least)] for t in texts]]
 
-    return docs.select(*keep, F.col(text)).mapInPandas(run, schema)
+    return derived(docs, keep, text, {"licenses": kind}, lambda: found)

@@ -23,10 +23,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import derived
+
 #: Element ids of the Matroska specification (RFC 9559).
 EBML, VOID, CRC32, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, TAGS, CHAPTERS, ATTACHMENTS = 0x1A45DFA3, 0xEC, 0xBF, 0x18538067, 0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x1254C367, 0x1043A770, 0x1941A469
 EBML_VERSION, EBML_READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
@@ -300,37 +301,29 @@ def feature(payload: bytes, table: list, cues: list, tracks: dict) -> str:
 
 def sound_columns(docs: DataFrame, id_column: str = "doc_id", text: str = "text", with_media: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (and the file, ``media``)."""
-    kind = docs.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for raw in b["raw"]:
-                raw = bytes(raw) if raw is not None else b""
-                media = store(padded(raw))
-                table, cues, tracks = packets(media)
-                view = memoryview(media)
-                payload = b"".join([view[lo:hi] for _, _, lo, hi, _ in table])
-                rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, table, cues, tracks), *[media] * with_media))
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * with_media])
-            out.insert(0, id_column, b[id_column].to_numpy())
-            yield out
-
-    return docs.select(id_column, F.col(text).cast("binary").alias("raw")).mapInPandas(run, schema)
+    added = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+
+    def stored(texts: list) -> list[list]:
+        rows = []
+        for raw in texts:
+            raw = raw or b""
+            media = store(padded(raw))
+            table, cues, tracks = packets(media)
+            view = memoryview(media)
+            payload = b"".join([view[lo:hi] for _, _, lo, hi, _ in table])
+            rows.append((len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, table, cues, tracks), *[media] * with_media))
+        return [*map(list, zip(*rows, strict=True))]
+
+    return derived(docs, [id_column], F.col(text).cast("binary"), added | ({"media": "binary"} if with_media else {}), lambda: stored)
 
 
 def packet_tables(media: DataFrame, id_column: str = "doc_id", column: str = "media") -> DataFrame:
     """Files in a binary column -> a row a packet: id, packet, track, timestamp_ns, begin, end, key."""
-    kind = media.schema[id_column].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, file in zip(b["id"], b["file"], strict=True):
-                table, _, _ = packets(bytes(file) if file is not None else b"")
-                out = pd.DataFrame(table, columns=["track", "timestamp_ns", "begin", "end", "key"])
-                out.insert(0, "packet", range(len(out)))
-                out.insert(0, id_column, key)
-                yield out
-
-    return media.select(F.col(id_column).alias("id"), F.col(column).alias("file")).mapInPandas(run, f"{id_column} {kind}, packet long, track long, timestamp_ns long, begin long, end long, key boolean")
+    kind = "array<struct<track: long, timestamp_ns: long, begin: long, end: long, key: boolean>>"
+    fields = ("track", "timestamp_ns", "begin", "end", "key")
+
+    def parsed(files: list) -> list[list]:
+        return [[[dict(zip(fields, x, strict=True)) for x in packets(file or b"")[0]] for file in files]]
+
+    tables = derived(media, [id_column], F.col(column), {"packets": kind}, lambda: parsed, 50)
+    return tables.toDF("id", "packets").select(F.col("id").alias(id_column), F.posexplode("packets").alias("packet", "p")).select(id_column, F.col("packet").cast("long").alias("packet"), "p.*")

@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import derived, release
+
 SIZES = (3, 4, 5, 6)
 BITS = 22
 WORDS = re.compile(r"\w+")
@@ -144,31 +146,30 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         which, weights, bias = fit(rows["t"], rows["y"].to_numpy(np.int64), features)
+        release()
         return pd.DataFrame({"feature": np.append(which, -1), "weight": np.append(weights, bias)})
 
-    model = rows.groupBy("task").applyInPandas(run, "feature long, weight double").orderBy("feature").toPandas()
+    # Sorted here: a sort by Spark would run the fit once more for its sample.
+    model = rows.groupBy("task").applyInPandas(run, "feature long, weight double").toPandas().sort_values("feature")
     if not len(model):
         return np.empty(0, np.int64), np.empty(0), 0.0
-    return model["feature"].to_numpy()[1:], model["weight"].to_numpy()[1:], float(model["weight"][0])
+    return model["feature"].to_numpy()[1:], model["weight"].to_numpy()[1:], float(model["weight"].iloc[0])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``, from 0 to 1; a column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop(name).schema.add(name, "double")
-    columns = schema.fieldNames()
-
-    def run(batches):
-        import pyarrow as pa
 
+    def make() -> Callable[[list], list[list]]:
         which, weights, bias = sent.value
         of = np.full(1 << BITS, -1, np.int32)
         of[which] = np.arange(len(which))
         grams = Grams(of)
-        for batch in batches:
-            z = np.array([weights[grams.text(t)].sum() + bias for t in batch.column(batch.schema.get_field_index(text)).to_pylist()])
-            scores = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            had = [c for c in columns if c != name]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in had), pa.array(scores, pa.float64())], names=columns)
 
-    return docs.mapInArrow(run, schema)
+        def scored(texts: list) -> list[list]:
+            z = np.array([weights[grams.text(t)].sum() + bias for t in texts])
+            return [1 / (1 + np.exp(-np.clip(z, -500, 500)))]
+
+        return scored
+
+    return derived(docs, [c for c in docs.columns if c != name], text, {name: "double"}, make)

@@ -148,8 +148,35 @@ def test_dense_groups_give_a_forest():
     fp = np.unique(np.uint64(0b1111) << np.arange(0, 50, dtype=np.uint64) % 50)
     fp = np.unique(np.concatenate([fp ^ np.uint64(k) for k in range(16)]))
     assert len(fp) > simhash.DENSE
-    a, b = simhash.links(np.zeros(len(fp), np.int64), fp)
-    assert len(a) < len(fp) and all((int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(a, b, strict=True))
+    found = [(int(fp[x]), int(fp[y])) for a, b in simhash.links(np.zeros(len(fp), np.int64), [fp]) for x, y in zip(a, b, strict=True)]
+    assert len(found) < len(fp) and all((x ^ y).bit_count() <= 4 for x, y in found)
+    want, names = grouped([int(x) for x in fp]), grouped_by(found, [int(x) for x in fp])
+    assert len(set(zip(want, names, strict=True))) == len(set(want)) == len(set(names))
+
+
+def grouped_by(pairs, nodes):
+    group = {x: x for x in nodes}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in pairs:
+        group[find(a)] = find(b)
+    return [find(x) for x in nodes]
+
+
+def test_forests_reach_what_only_a_few_link():
+    """A ball of near fingerprints, and a chain that leaves it: the fewer are compared with the more."""
+    r = np.random.default_rng(3)
+    ball = np.uint64(0) ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 40, (2, 700), dtype=np.uint64), axis=0)
+    chain = np.array([(1 << k) - 1 for k in range(3, 64, 3)], np.uint64)
+    far = r.integers(0, 1 << 63, 50, dtype=np.uint64)
+    fp = r.permutation(np.unique(np.concatenate([ball, chain, far])))
+    found = [(int(fp[x]), int(fp[y])) for a, b in simhash.links(np.zeros(len(fp), np.int64), [fp]) for x, y in zip(a, b, strict=True)]
+    want, names = grouped([int(x) for x in fp]), grouped_by(found, [int(x) for x in fp])
+    assert len(set(zip(want, names, strict=True))) == len(set(want)) == len(set(names))
 
 
 def test_anchors_cover():
@@ -158,6 +185,7 @@ def test_anchors_cover():
     y = x ^ (1 << r.integers(0, 21, 500))
     wx, ax = simhash.anchors(x, 21)
     wy, ay = simhash.anchors(y, 21)
+    assert all(len(simhash.anchors(z, 21, 0)[1]) == 500 for z in (x, y))
     for i in range(500):
         assert set(ax[wx == i]) & set(ay[wy == i])
 
