@@ -23,6 +23,7 @@ import hashlib
 import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +31,18 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gneiss.llm import blocks as B
-from gneiss.llm.substrings import _arrow
+from gneiss.llm.common import release
 
+#: The kind of question that a block asks about its words.
+WORDS = 0
 #: Fixed value: the byte-level pattern of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CODED = "block long, n_words long, payload binary, places binary, words binary"
-
 
 def byte_letters() -> dict[str, int]:
     """Letters by which byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on."""
@@ -109,15 +112,11 @@ def vocabulary(spec: str) -> Vocabulary:
     return Vocabulary(spec)
 
 
-def _pack_words(words: list[str]) -> bytes:
-    return B.squeeze(pa.table({"w": pa.array(words, pa.string())}))
-
-
 def encode_docs(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text", most: int = 8 << 20, results: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """Columns ``keep`` (doc_id alone) and ``results`` among n_tokens, ids (little-endian unsigned 32-bit), decoded (the text that the ids give) and their digests.
 
     ``path``: the tokenizer's file, read on the driver. ``most``: bytes of text in a block. Words are dealt
-    into as many buckets as a shuffle has partitions.
+    into as many buckets as the bytes of all texts need.
     """
     return _encoded(docs, path, keep, text, most, results)
 
@@ -136,87 +135,93 @@ def _encoded(docs: DataFrame, path: str, keep: list[str] | None, text: str, most
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     out = T.StructType([docs.select(*keep).schema[c] for c in keep] + [T.StructField(c, RESULTS[c]) for c in results])
 
+    buckets = B.buckets_for(docs, text)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(spec.value)
         for block, rows in B.in_blocks(batches, text, most):
             seen: dict[str, int] = {}
             place = seen.setdefault
-            at: list[int] = []
-            sizes = []
+            at, sizes = array("i"), []
             for t in rows[text].to_pylist():
                 words = v.words(t) if t else []
                 at.extend([place(w, len(seen)) for w in words])
                 sizes.append(len(words))
-            words, at = _frequent_first(list(seen), np.array(at, np.int64))
-            places = np.concatenate(([len(sizes)], sizes, at)).astype(np.uint32)
-            yield B.rows_of(CODED, block=[block], n_words=[len(words)], payload=[B.squeeze(rows.select(keep).combine_chunks())], places=[B.squeeze_array(places)], words=[_pack_words(words)]).to_batches()[0]
-
-    # One shuffle of the blocks, which the questions and the answers' join both read: it is planned twice and run once.
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select(*dict.fromkeys([text, *keep])).mapInArrow(split, CODED).repartition(buckets, "block")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, packed in zip(batch["block"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                words = B.expand(packed)["w"].combine_chunks()
-                to = _bucket_of(words, buckets)
-                rows: dict[str, list] = {"bucket": [], "block": [], "payload": []}
-                for b in np.unique(to).tolist():
-                    for k, x in zip(rows, (b, block, B.squeeze(pa.table({"w": words.filter(pa.array(to == b))}))), strict=True):
-                        rows[k].append(x)
-                yield from B.rows_of(B.ASKED, **rows).to_batches()
-
-    def encode(rows: pa.Table) -> pa.Table:
+            words, local = B.frequent_first(list(seen), np.frombuffer(at, np.int32) if at else np.empty(0, np.int32))
+            places = np.concatenate(([len(sizes)], sizes, local)).astype(np.uint32)
+            table = pa.array(words, pa.string())
+            yield from B.block_row(block, buckets, B.squeeze(rows.select(keep).combine_chunks()), B.squeeze_array(places), B.squeeze(pa.table({"w": table}))).to_batches()
+            to = _bucket_of(table, buckets)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(buckets + 1)).tolist()
+            asked: dict[str, list] = {"bucket": [], "block": [], "kind": [], "payload": []}
+            for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if lo < hi:
+                    for k, x in zip(asked, (b, block, WORDS, B.squeeze(pa.table({"w": table.take(pa.array(order[lo:hi]))}))), strict=True):
+                        asked[k].append(x)
+            yield from B.rows_of(B.ASKED, **asked).to_batches()
+        release()
+
+    def encode(_kind: int, payloads: list[bytes]) -> list[bytes]:
         v = vocabulary(spec.value)
-        lists = [B.expand(p)["w"].combine_chunks() for p in rows["payload"].to_pylist()]
+        lists = [B.expand(p)["w"].combine_chunks() for p in payloads]
         coded = pa.chunked_array(lists, pa.string()).combine_chunks().dictionary_encode()
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         words = coded.dictionary.to_pylist()
-        ids = [x for i in range(0, len(words), 10_000) for x in v.encode(words[i : i + 10_000])]
+        ids = [np.array(x, np.uint32) for i in range(0, len(words), 10_000) for x in v.encode(words[i : i + 10_000])]
         flat, starts, sizes = _ragged(ids)
         which = coded.indices.to_numpy(zero_copy_only=False)
-        payloads, begin = [], 0
+        out, begin = [], 0
         for words_of in lists:
             own = which[begin : begin + len(words_of)]
             begin += len(words_of)
-            payloads.append(zstandard.compress(np.concatenate(([len(own)], sizes[own], _gather(flat, starts, sizes, own))).astype(np.uint32).tobytes(), 1))
-        return B.rows_of(B.TOLD, block=rows["block"].to_pylist(), kind=[0] * len(payloads), bucket=rows["bucket"].to_pylist(), payload=payloads)
+            out.append(zstandard.compress(np.concatenate(([len(own)], sizes[own], _gather(flat, starts, sizes, own))).astype(np.uint32).tobytes(), 1))
+        return out
+
+    def answer(rows: pa.Table) -> pa.Table:
+        return B.answers(rows, (WORDS,), buckets, encode)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({f.name: pa.array([], _arrow(f.dataType)) for f in out})
+        done = [pa.table({f"c{i}": pa.array([], to_arrow_type(f.dataType)) for i, f in enumerate(out)})]
         v = vocabulary(spec.value)
-        done = B.expand(left["payload"][0].as_py())
-        places = B.expand_array(left["places"][0].as_py(), np.uint32)
-        n = int(places[0])
-        lengths, at = places[1 : n + 1].astype(np.int64), places[n + 1 :]
-        words = B.expand(left["words"][0].as_py())["w"].combine_chunks()
-        to = _bucket_of(words, buckets)
-        ids: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
-        for b, payload in zip(right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True):
-            got = np.frombuffer(zstandard.decompress(payload), np.uint32)
-            k = int(got[0])
-            for i, x in zip(np.flatnonzero(to == b).tolist(), np.split(got[k + 1 :], np.cumsum(got[1:k])), strict=True):
-                ids[i] = x
-        flat, starts, sizes = _ragged(ids)
-        piece = v.pieces
-        text_of = [b"".join([piece[i] for i in x.tolist()]) for x in ids]
-        tokens = _gather(flat, starts, sizes, at)
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        token_ends = np.concatenate(([0], np.cumsum(sizes[at])))[ends].tolist()
-        cols: dict[str, list] = {c: [] for c in results}
-        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            own = tokens[token_ends[i] : token_ends[i + 1]].astype("<u4").tobytes()
-            decoded = b"".join([text_of[j] for j in at[lo:hi].tolist()])
-            for c in results:
-                cols[c].append(_result(c, own, decoded))
+        for _, (rows, places, words), told in B.blocks_of(left, right):
+            columns = [*B.expand(rows).columns, *_joined(v, B.expand_array(places, np.uint32), B.expand(words)["w"].combine_chunks(), told, buckets, results)]
+            done.append(pa.table({f"c{i}": pa.chunked_array(c.chunks if isinstance(c, pa.ChunkedArray) else [c], to_arrow_type(f.dataType)) for i, (c, f) in enumerate(zip(columns, out, strict=True))}))
+        release()
+        return pa.concat_tables(done).rename_columns([f.name for f in out])
+
+    # Blocks and their words are dealt in one shuffle, planned twice and run once.
+    first = B.dealt(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys([text, *keep]))).mapInArrow(split, B.ASKED), buckets)
+    told = B.dealt(first.groupBy("bucket").applyInArrow(answer, B.TOLD), buckets, "home")
+    return first.groupBy("bucket").cogroup(told.groupBy("home")).applyInArrow(join, out)
+
+
+def _joined(v: Vocabulary, places: np.ndarray, words: pa.Array, told: list[tuple[int, int, bytes]], buckets: int, results: tuple[str, ...]) -> list[pa.Array]:
+    """A block's results: ids joined back by position, pieces by id."""
+    n = int(places[0])
+    lengths, at = places[1 : n + 1].astype(np.int64), places[n + 1 :]
+    to = _bucket_of(words, buckets)
+    order = np.argsort(to, kind="stable")
+    ends = np.searchsorted(to[order], np.arange(buckets + 1))
+    ids: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+    for _, b, payload in told:
+        got = np.frombuffer(zstandard.decompress(payload), np.uint32)
+        k = int(got[0])
+        for i, x in zip(order[ends[b] : ends[b + 1]].tolist(), np.split(got[k + 1 :], np.cumsum(got[1:k])), strict=True):
+            ids[i] = x
+    flat, starts, sizes = _ragged(ids)
+    piece = v.pieces
+    text_of = [b"".join([piece[i] for i in x.tolist()]) for x in ids]
+    tokens = _gather(flat, starts, sizes, at)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    token_ends = np.concatenate(([0], np.cumsum(sizes[at])))[ends].tolist()
+    cols: dict[str, list] = {c: [] for c in results}
+    for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        own = tokens[token_ends[i] : token_ends[i + 1]].astype("<u4").tobytes()
+        decoded = b"".join([text_of[j] for j in at[lo:hi].tolist()])
         for c in results:
-            done = done.append_column(c, pa.array(cols[c], _arrow(RESULTS[c])))
-        return done
-
-    asked = blocks.mapInArrow(deal, B.ASKED)
-    answers = asked.groupBy("bucket").applyInArrow(encode, B.TOLD)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, out)
+            cols[c].append(_result(c, own, decoded))
+    return [pa.array(cols[c], to_arrow_type(RESULTS[c])) for c in results]
 
 
 def _result(name: str, ids: bytes, decoded: bytes):
@@ -236,14 +241,6 @@ def _bucket_of(words: pa.Array, buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def _frequent_first(words: list[str], at: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Words by falling count, and the places of the same words in that order: small numbers are common and pack well."""
-    order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
-    rank = np.empty(len(words), np.int64)
-    rank[order] = np.arange(len(words))
-    return [words[i] for i in order.tolist()], rank[at]
-
-
 def _ragged(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if len(lists) else np.empty(0, np.uint32)

@@ -82,18 +82,97 @@ def test_repeats_keep_other_columns_and_take_empty_tables(spark):
     assert substrings.remove_repeats(df.limit(0)).collect() == []
 
 
-def test_equal_parts_have_equal_phrases():
+def parsed(texts):
     import pyarrow as pa
 
+    return substrings.parse(pa.table({"doc_id": list(texts), "text": list(texts.values())}), "doc_id", "text")[0]
+
+
+def test_equal_parts_have_equal_phrases():
     r = random.Random(3)
     long = [str(r.randrange(50)) for _ in range(3000)]
-    rows = pa.table({"doc_id": [1, 2], "text": ["x y " + " ".join(long), " ".join(long) + " z"]})
-    p = substrings.Parsed(rows, "doc_id", "text")
-    names, at, _ = p.phrases(8, 13)
+    p = parsed({1: "x y " + " ".join(long), 2: " ".join(long) + " z"})
+    _, (names, at, _) = p.recompress(8, 13, 3)
     a, b = (set(names[p.doc[at] == d].tolist()) for d in (0, 1))
     assert len(a & b) > 0.8 * max(len(a), len(b))
 
 
+def test_a_symbol_stands_wherever_its_context_does():
+    """The ground for leaving windows out: what holds a symbol's context again holds the symbol again, in its place."""
+    texts = corpus(200, 8) | {5000 + k: " ".join("ab"[i * k % 7 % 2] for i in range(60)) for k in range(20)}
+    p = parsed(texts)
+    (names, at, low, high), _ = p.recompress(14, 13, 2)
+    said = [p.words[i] for i in p.local.tolist()]
+    places, made = {}, {}
+    for name, a, lo, hi in zip(names.tolist(), at.tolist(), low.tolist(), high.tolist(), strict=True):
+        assert 0 <= lo <= a < hi <= len(said) and hi - lo <= 13 and p.doc[lo] == p.doc[hi - 1]
+        made.setdefault(lo, set()).add((name, a - lo, hi - lo))
+    for width in {hi - lo for lo, hi in zip(low.tolist(), high.tolist(), strict=True)}:
+        for lo in range(len(said) - width + 1):
+            if p.doc[lo] == p.doc[lo + width - 1]:
+                places.setdefault(tuple(said[lo : lo + width]), []).append(lo)
+    again = 0
+    for lo, symbols in made.items():
+        for name, offset, width in symbols:
+            same = places[tuple(said[lo : lo + width])]
+            again += len(same) > 1
+            assert all((name, offset, width) in made.get(x, ()) for x in same)
+    assert again > 1000
+
+
+def test_few_windows_are_asked_for_themselves():
+    """A text of its own asks for few windows, one that repeats another for those around its ends."""
+    r = random.Random(5)
+    own = {i: " ".join(str(r.randrange(4000)) for _ in range(4000)) for i in range(4)}
+    p = parsed(own)
+    symbols, phrases = p.recompress(14, 13, 3)
+    s, f = substrings.Asked(p, *symbols[:2]), substrings.Asked(p, *phrases[:2], p.check_of(*phrases[1:]))
+    import pyarrow as pa
+
+    block = substrings.Block([memoryview(x) for x in substrings.Block.parts(pa.table({"doc_id": list(own)}), p, symbols, s, phrases, f, 5)], 13)
+    repeated, is_open = block.settle([])
+    assert not repeated.any() and is_open.sum() < 0.2 * len(p.local)
+
+
+def test_names_that_collide_are_told_apart_by_their_checks(spark, monkeypatch):
+    """All words of one name: all windows of one name, and all phrases that have one shape. Checks decide."""
+    real = substrings.word_names
+    texts = corpus(40, 6)
+    for lost in (lambda n: np.zeros_like(n), lambda n: n % np.uint64(3)):
+        monkeypatch.setattr(substrings, "word_names", lambda words, lost=lost: (lost(real(words)[0]), real(words)[1]))
+        rows = parsed(texts)
+        (_, at, low, high), phrases = rows.recompress(14, 13, 3)
+        names, checks = rows.windows(rows.inside(13), 13)
+        said = [rows.words[i] for i in rows.local.tolist()]
+        by = {}
+        for i, n, c in zip(rows.inside(13).tolist(), names.tolist(), checks.tolist(), strict=True):
+            by.setdefault((n, c), set()).add(tuple(said[i : i + 13]))
+        assert len(set(names.tolist())) < len(by) and all(len(x) == 1 for x in by.values())
+        by = {}
+        for n, c, i, k in zip(phrases[0].tolist(), rows.check_of(*phrases[1:]).tolist(), phrases[1].tolist(), phrases[2].tolist(), strict=True):
+            by.setdefault((n, c), set()).add(tuple(said[i : i + k]))
+        assert all(len(x) == 1 for x in by.values())
+        asked = substrings.Asked(rows, names, rows.inside(13), checks)
+        assert len(asked.names) == len({tuple(said[i : i + 13]) for i in rows.inside(13).tolist()})
+
+
+def test_buckets_tell_colliding_names_apart():
+    from gneiss.llm import blocks
+
+    def ask(block, checks, ids):
+        names = np.zeros(len(checks), np.uint64)
+        return blocks.ask(blocks.SPAN, block, names, np.array(ids, np.int64), np.arange(len(ids)), 1, checks=np.array(checks, np.uint64))["payload"].to_pylist()
+
+    answers = blocks.held_elsewhere(blocks.SPAN, [*ask(1, [1, 2, 3], [10, 10, 10]), *ask(2, [2, 4], [5, 5])])
+    assert [np.unpackbits(np.frombuffer(a, np.uint8))[:3].tolist() for a in answers] == [[0, 1, 0], [0, 0, 0]]
+
+
+def test_repeats_in_many_small_blocks_and_buckets(spark):
+    texts = list(corpus(120, 12).items()) + [(10_001, None), (10_002, ""), ((1 << 60) + 1, "same " * 40), ((1 << 60) + 2, "same " * 40)]
+    got = substrings.remove_repeats(frame(spark, texts).repartition(3), block_bytes=2_000, bucket_bytes=1_500).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == repeats(texts)
+
+
 # Near copies
 
 
