@@ -1,29 +1,35 @@
 """HTML main text by composite text density.
 
 A page becomes a tree (start tags that imply end tags, void elements, raw text of scripts and styles,
-unclosed ends of cut-off pages). What is no article by its kind goes first: scripts, styles, menus, page
-headers and footers, sidebars, notices, adverts, forms, reader comments, known by element, role or the
-words of class and id. Over the rest each node has C characters, T tags, and LC, LT of them in links;
+unclosed ends of cut-off pages). Elements that hold no article by their kind go first: scripts, styles, menus,
+footers, sidebars, dialogs, forms. So do those whose role, or a whole word of whose class or id, says that they are
+a page's header, notices, adverts or reader comments (see ``says``), unless the page's text is in them. Over the
+rest each node has C characters, T tags, and LC, LT of them in links;
 
     density = C / T * log base ln(C / notLC * LC + LCb / Cb * C + e) of (C / LC * T / LT)
 
 where b is the body, and zero counts stand as 1 (composite text density; Sun, Song and Liao, 2011). A
-node's density sum adds those of its children. The subtree of the largest sum is found; the smallest
-density on its path to the body is the threshold; the tree is walked down from the body through nodes that
-reach the threshold, and at each the subtree of the largest sum below it is content. If the winner
-stands in an ``article`` or ``main``, that element is the unit and is kept whole.
+node's density sum adds those of its children. The subtree of the largest sum wins, and the smallest
+density on its path to the body is the threshold.
+
+The winner grows to the element around it as long as what that adds isn't made of links for the most part and
+is a third as dense as the threshold; inside an ``article`` or ``main``, or where paragraphs and the like are all
+that is added, the first will do. It stops growing at an ``article`` or ``main``. Elsewhere on the page, each node that reaches the threshold gives its subtree of the largest sum.
+Articles beside a winning article and headings above the winner count as its parts.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed
-and joined in page order by one space. Nothing is capped.
+and joined in page order by one space. Nothing is capped. Work is linear in a page's length.
 
 Defined results: null or empty html gives an empty text; a page without mark-up is one block; repeated
-rows have a row each; an empty table gives no row. No shuffle: one pass over the pages.
+rows have a row each; an empty table gives no row; null ids and other columns come back as they are. No shuffle:
+one pass over the pages.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -44,19 +50,27 @@ TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption"
 #: Elements that hold no article text, wherever they stand.
 NEVER = frozenset("script style head title noscript template iframe object embed applet svg math canvas audio video select button textarea input datalist dialog nav menu aside footer noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id that say what a node is for.
+#: Words of class and id that say what a node is for, and words that may stand beside them.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored sponsors promo promoted promotion promotions "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sitenav topnav subnav "
     "footer foot colophon copyright sidebar sidebars aside rail "
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay paywall disclaimer "
     "newsletter subscribe subscription signup login signin register searchform searchbox "
-    "comment comments commentlist respond reply replies disqus discussion "
+    "comment comments commentlist respond reply replies disqus "
     "share sharing social related recommended recommendations teaser widget widgets toolbar skiplink".split()
 )
-TITLED = frozenset("header masthead topbar".split())
+BESIDE = frozenset(
+    "site page main content wrapper wrap container box block bar area list section item items holder inner outer top bottom left right primary secondary "
+    "global local mobile desktop fixed sticky unit slot panel post posts article articles user users reader readers link links button buttons icon icons "
+    "title heading text body form msg message policy center row col column group footer header small large wide js the and in on of by".split()
+)
+#: What a page's header is called; where an article's begins is called so too, but with other words.
+TITLED, TITLED_BESIDE = frozenset("header masthead topbar".split()), frozenset("site global top main wrapper container inner bar outer".split())
 SAFE = frozenset("html body main".split())
-COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNITS = frozenset("article main".split())
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*?)(/?)(>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
@@ -65,18 +79,68 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "sum", "tags", "top")
+    __slots__ = ("attributes", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "size", "sum", "tags", "top", "unit")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.attributes = name, parent, attributes
         self.children: list[Node | str] = []
 
 
+class Open:
+    """The open elements, and by name how deep they lie: no tag has to walk up the tree."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.inline = [1]  # at each depth: where the run of inline elements that ends there begins
+
+    def push(self, node: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.depths.setdefault(node.name, []).append(depth)
+        self.inline.append(min(self.inline[-1], depth) if node.name in INLINE else depth + 1)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().name].pop()
+            self.inline.pop()
+
+    def deepest(self, names: frozenset[str]) -> int:
+        return max((d[-1] for n in names if (d := self.depths.get(n))), default=0)
+
+    def close(self, name: str) -> None:
+        """An end tag; one that matches nothing open, or only beyond a table or article, is left out."""
+        at = self.depths.get(name)
+        if at and (name in ENDS_ALL or self.deepest(BARRIERS) <= at[-1]):
+            self.cut(at[-1])
+
+    def begin(self, name: str) -> None:
+        """Leave the open paragraph, heading, list item, row or cell that a start tag ends."""
+        if name in PARAGRAPH_ENDS:
+            under = self.inline[-1] - 1
+            if self.stack[under].name == "p":
+                self.cut(under)
+            elif name in HEADINGS and self.stack[-1].name in HEADINGS:
+                self.cut(len(self.stack) - 1)
+        if name in CLOSES:
+            ends, within = CLOSES[name]
+            least = self.deepest(within)
+            found = [d[i] for n in ends if (d := self.depths.get(n)) and (i := bisect_right(d, least)) < len(d)]
+            if found:
+                self.cut(min(found))
+
+
+BARRIERS = frozenset("table article main body html".split())
+ENDS_ALL = BARRIERS | {"div", "section"}
+
+
 def parse(html: str) -> Node:
     """The tree under a root of name ``#root``. Texts are raw: references are decoded later."""
-    root = here = Node("#root", None)
+    root = Node("#root", None)
+    opened = Open(root)
     at, end = 0, len(html)
     while at < end:
+        here = opened.stack[-1]
         m = TOKEN.search(html, at)
         if not m:
             here.children.append(html[at:])
@@ -90,68 +154,37 @@ def parse(html: str) -> Node:
             continue
         name = m[3].lower()
         if m[2]:
-            here = close(here, name)
+            opened.close(name)
             continue
-        here = open_for(here, name)
+        opened.begin(name)
+        here = opened.stack[-1]
         node = Node(name, here, m[4])
         here.children.append(node)
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
             node.children.append(html[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-        elif name not in VOID and not (m[5] and _inside(here, "svg math")):
-            here = node
+        elif name not in VOID and not (m[5] and (opened.depths.get("svg") or opened.depths.get("math"))):
+            opened.push(node)
     return root
 
 
-def _inside(node: Node | None, names: str) -> bool:
-    wanted = names.split()
-    while node:
-        if node.name in wanted:
-            return True
-        node = node.parent
-    return False
-
-
-def close(here: Node, name: str) -> Node:
-    """Where parsing goes on after an end tag; one that matches nothing open is left out."""
-    node: Node | None = here
-    while node and node.name != name:
-        if node.name in ("table", "article", "main", "body", "html") and name not in ("table", "article", "main", "body", "html", "div", "section"):
-            return here
-        node = node.parent
-    return node.parent if node and node.parent else here
-
-
-def open_for(here: Node, name: str) -> Node:
-    """The parent of a new element: an open paragraph, list item, row or cell that its start tag ends is left."""
-    if name in PARAGRAPH_ENDS:
-        node: Node | None = here
-        while node and (node.name in INLINE or node.name == "p"):
-            if node.name == "p":
-                return node.parent or here
-            node = node.parent
-        if name[0] == "h" and name[1:].isdigit() and here.name[0] == "h" and here.name[1:].isdigit():
-            return here.parent or here
-    if name in CLOSES:
-        ends, within = CLOSES[name]
-        node, out = here, here
-        while node and node.name not in within and node.parent:
-            if node.name in ends:
-                out = node.parent
-            node = node.parent
-        return out
-    return here
-
-
 def attributes(node: Node) -> dict[str, str]:
     return {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
 
 
-def is_noise(node: Node, in_article: bool) -> bool:
+def says(said: str, words: frozenset[str], beside: frozenset[str]) -> bool:
+    """Whether one of the words of a class or id, as a whole, is of ``words``: all its parts are, but for some of ``beside``."""
+    for token in said.split():
+        parts = [p.lower() for p in WORDS.findall(token)]
+        if any(p in words for p in parts) and all(p in words or p in beside for p in parts):
+            return True
+    return False
+
+
+def hinted(node: Node, in_article: bool) -> bool:
+    """Whether a node says that it holds no article."""
     name = node.name
-    if name in NEVER:
-        return True
     if name in SAFE or name == "#root":
         return False
     if name == "header":
@@ -161,66 +194,54 @@ def is_noise(node: Node, in_article: bool) -> bool:
     got = attributes(node)
     if got.get("role", "").lower() in ROLES and name != "form":
         return True
-    said = f"{got.get('class', '')} {got.get('id', '')}"
-    words = {w.lower() for w in WORDS.findall(said)}
+    said = got.get("class", "")
+    if name not in TEXTS and name not in INLINE:  # headings and the like have ids after what they say
+        said += " " + got.get("id", "")
     if name == "article":
-        return bool(words & COMMENT_WORDS)
-    if words & NOISE:
-        return not ({"no", "without", "has", "with"} & words and name in ("section", "div") and any(c for c in node.children if isinstance(c, Node) and c.name in ("article", "main")))
-    return bool(words & TITLED) and not in_article
+        return says(said, COMMENT_WORDS, BESIDE)
+    return says(said, NOISE, BESIDE) or (not in_article and says(said, TITLED, TITLED_BESIDE))
+
+
+def in_order(root: Node) -> list[Node]:
+    """All nodes, parents before their children."""
+    nodes = [root]
+    for n in nodes:
+        nodes.extend(c for c in n.children if isinstance(c, Node))
+    return nodes
 
 
 def clean(root: Node) -> None:
-    """Take out what is no article by its kind. A form stays if it holds an article or most of the page's text."""
-    whole = len(SPACE.sub(" ", raw_text(root)))
+    """Take out what is no article by its kind. What a form, or a node that says so, holds stays if an article or main is in it, or, on pages without these, most of the text."""
+    nodes = in_order(root)
+    for n in reversed(nodes):
+        n.size = 0 if n.name in NEVER else sum(len(SPACE.sub(" ", c)) if isinstance(c, str) else c.size for c in n.children)
+        n.unit = n.name in UNITS or any(c.unit for c in n.children if isinstance(c, Node))
     stack = [(root, False)]
     while stack:
         node, in_article = stack.pop()
-        in_article = in_article or node.name in ("article", "main")
+        in_article = in_article or node.name in UNITS
         kept: list[Node | str] = []
         for c in node.children:
             if isinstance(c, str):
                 kept.append(c)
-            elif c.name == "form":
-                if has(c, ("article", "main")) or 2 * len(SPACE.sub(" ", raw_text(c))) > whole:
-                    kept.append(c)
-                    stack.append((c, in_article))
-            elif not is_noise(c, in_article) or (c.name not in NEVER and has(c, ("main",))):
+                continue
+            out = c.name in NEVER
+            if not out and (c.name == "form" or hinted(c, in_article)):
+                inside = c.unit and c.name not in UNITS
+                out = not inside and (root.unit or 2 * c.size <= root.size)
+            if not out:
                 kept.append(c)
                 stack.append((c, in_article))
             elif c.name not in INLINE:
-                kept.append(Node("hr", node))  # the texts at either side are blocks of their own
+                kept.append(Node("#gap", node))  # the texts at either side are blocks of their own
         node.children = kept
 
 
-def raw_text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        n = stack.pop()
-        if isinstance(n, str):
-            out.append(n)
-        elif n.name not in NEVER or n is node:
-            stack.extend(reversed(n.children))
-    return "".join(out)
-
-
-def has(node: Node, names: tuple[str, ...]) -> bool:
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if n.name in names:
-            return True
-        stack.extend(c for c in n.children if isinstance(c, Node))
-    return False
-
-
 def measure(root: Node, body: Node) -> list[Node]:
     """Counts, densities and density sums of all nodes, which are returned parents first."""
-    nodes = [root]
-    for n in nodes:
-        nodes.extend(c for c in n.children if isinstance(c, Node))
+    nodes = in_order(root)
     for n in reversed(nodes):
-        n.chars, n.tags, n.link_chars, n.link_tags = sum(len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str)), 1, 0, 0
+        n.chars, n.tags, n.link_chars, n.link_tags = sum(len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str)), int(n.name != "#gap"), 0, 0
         for c in n.children:
             if isinstance(c, Node):
                 n.chars += c.chars
@@ -231,9 +252,7 @@ def measure(root: Node, body: Node) -> list[Node]:
             n.link_chars, n.link_tags = n.chars, n.tags
     share = body.link_chars / max(1, body.chars)
     for n in nodes:
-        c, links = n.chars, max(1, n.link_chars)
-        base = math.log(c / max(1, c - n.link_chars) * n.link_chars + share * c + math.e)
-        n.density = c / n.tags * max(0.0, math.log(max(1e-9, c / links * n.tags / max(1, n.link_tags))) / math.log(max(base, 1.0001))) if c else 0.0
+        n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in reversed(nodes):
         n.sum = sum(c.density for c in n.children if isinstance(c, Node))
         n.top = n  # the node of the largest density sum in the subtree, the first of equals
@@ -243,33 +262,57 @@ def measure(root: Node, body: Node) -> list[Node]:
     return nodes
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density; ``share``: of the body's characters, those in links."""
+    if not chars:
+        return 0.0
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / max(1, tags) * max(0.0, math.log(max(1e-9, chars / max(1, link_chars) * max(1, tags) / max(1, link_tags))) / math.log(max(base, 1.0001)))
+
+
+def grown(node: Node, body: Node, least: float) -> Node:
+    """The winner with what is around it, as long as that is text rather than links, and not thin where no article or main says it belongs."""
+    around, inside = node.parent, False
+    while around and around is not body and not inside:
+        inside, around = around.name in UNITS, around.parent
+    share = body.link_chars / max(1, body.chars)
+    while node.name not in UNITS and node is not body and node.parent and node.parent is not body:
+        p = node.parent
+        rest = p.chars - node.chars, p.tags - node.tags, p.link_chars - node.link_chars, p.link_tags - node.link_tags
+        beside = all(c is node or c.name in TEXTS or c.name == "#gap" for c in p.children if isinstance(c, Node))
+        if rest[0] and (2 * rest[2] > rest[0] or not (inside or beside or 3 * density(*rest, share) >= least)):
+            break
+        node = p
+    return node
+
+
 def content(body: Node) -> list[Node]:
     """The subtrees that are content, in page order, none inside another."""
     top = body.top
     if top.sum <= 0:
         return [body]
-    node: Node | None = top
-    least, unit = top.density, None
-    while node and node is not body:
-        if node.name in ("article", "main"):
-            unit = node
+    path, node = [top], top
+    while node is not body and node.parent:
         node = node.parent
-        least = min(least, node.density) if node else least
-    if unit:
-        if unit.name == "article":  # articles side by side are one page's text
-            peers = [c for c in unit.parent.children if isinstance(c, Node) and c.name == "article"] if unit.parent else []
-            return peers or [unit]
-        return [unit]
-    marked: list[Node] = []
+        path.append(node)
+    least = min(n.density for n in path)
+    winner = grown(top, body, least)
+    marked, above = [winner], {id(n) for n in path}
+    if winner is not body and winner.parent:
+        if winner.name == "article":  # articles side by side are one page's text
+            marked += [c for c in winner.parent.children if isinstance(c, Node) and c.name == "article" and 2 * c.link_chars <= c.chars]
+        else:
+            marked += [c for n in path[path.index(winner) + 1 :] for c in n.children if isinstance(c, Node) and c.name in HEADINGS and 2 * c.link_chars <= c.chars]
     stack = [body]
     while stack:
         n = stack.pop()
-        if n.density >= least:
-            found = n.top
-            if found.sum > 0 or n.name in TEXTS:
-                marked.append(found)
-            if found is not n:
-                stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+        if n is winner:
+            continue
+        if id(n) not in above and n.density >= least and n.chars and (n.top.sum > 0 or n.name in TEXTS):
+            marked.append(n.top)
+            if n.top is n:
+                continue
+        stack.extend(c for c in n.children if isinstance(c, Node))
     return _outermost(body, marked)
 
 

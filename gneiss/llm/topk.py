@@ -1,22 +1,22 @@
 """Exact top-k by inner product with an impact-ordered, score-at-a-time index.
 
 Components are whole numbers, floor(256 x). A vector's component has an impact, its size; impacts are
-quantised to powers of two, and an index block keeps its postings (component, vector, value) in segments
-of one quantised impact, largest first. A block of queries goes through a block's segments in that
-order and adds value * query to the accumulators of all its queries. What a vector has in the segments
-to come can add |query| * |rest of the vector| at the most (Cauchy and Schwarz), so after each segment a
-query has a proven floor for its k-th score (accumulator less that much) and drops the vectors whose
-accumulator plus that much lies below it. A block's walk stops when the vectors still possible are few,
-or the segments are done, and the possible members alone are scored exactly.
-
-Vectors are dealt into blocks by hash of their id, queries into blocks likewise, and each block of
-queries meets each block of the index, in blocks; every meeting gives k rows a query, of which the
-best k stay.
+quantised to powers of two, and an index block keeps its postings (vector, component, value) in segments
+of one quantised impact, largest first, and nothing else: vectors are put together from postings. A block of
+queries goes through a block's segments in that order and adds value * query to the accumulators. What a
+vector has in the segments to come can add |query| * |rest of the vector| at the most (Cauchy and Schwarz), so
+after each segment a query has a proven floor for its k-th score, the k-th largest accumulator less that much,
+and drops the vectors whose accumulator plus that much lies below it. A query is done when few vectors are
+possible, which alone are scored exactly; vectors that no query needs any more leave the segments to come.
+
+Vectors are dealt into blocks by hash of their id, once. Queries, 512 in a row, are sent to each block, as
+every query has to meet every vector; every meeting gives k rows a query, of which the best k stay.
 
 Defined results: vectors that are null or hold null, NaN or infinity take no part; a shorter vector
 counts as padded with 0, so an empty one scores 0; rows that repeat an id and vector count once;
 a query's own rows are those with its id; fewer candidates than k give fewer rows; an empty table gives
-none; a null id takes no part. Scores beyond 64 bits are cut to the range of a long.
+none; a null id takes no part; other columns, whatever their names, are left out. Scores beyond 64 bits are
+cut to the range of a long.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import cut
+from gneiss.llm.blocks import expand_array, joined, parted, squeeze_array
+from gneiss.llm.common import cut, release
 
 SCALE = 256
-BLOCK, QUERIES = 8_192, 512
-INDEX = "block long, dim long, ids binary, vectors binary, segments array<struct<impact: long, vec: binary, dim: binary, value: binary>>"
+BLOCK, QUERIES = 4_096, 512
 FEW = 64
 EXACT = float(1 << 53)
 
@@ -66,86 +66,132 @@ def _distinct(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[new], rows[new]
 
 
-def build(rows: pd.DataFrame) -> pd.DataFrame:
-    """One index block of its rows: vectors sorted by id, and postings in segments by quantised impact."""
-    ids, x = _distinct(rows["id"].to_numpy(np.int64), _matrix(rows["v"]))
-    vec, dim = np.nonzero(x)
-    value = x[vec, dim]
-    impact = np.floor(np.log2(np.abs(value))).astype(np.int64) if len(value) else np.empty(0, np.int64)
-    segments = []
-    for level in np.unique(impact)[::-1].tolist():
-        of = impact == level
-        segments.append({"impact": level, "vec": vec[of].astype(np.int32).tobytes(), "dim": dim[of].astype(np.int32).tobytes(), "value": value[of].tobytes()})
-    return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "dim": [x.shape[1]], "ids": [ids.tobytes()], "vectors": [x.tobytes()], "segments": [segments]})
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, segments: list, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its place and the ids and scores of its k best in the block, ties to smaller ids."""
-    n, dim = vectors.shape
-    wide = max(dim, queries.shape[1])
-    if queries.shape[1] < wide:
-        queries = np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
-    if dim < wide:
-        vectors = np.pad(vectors, ((0, 0), (0, wide - dim)))
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in doubles, in the narrowest type that holds them."""
+    most = np.abs(x).max(initial=0.0)
+    kind = next((k for k in (np.int16, np.int32) if most <= np.iinfo(k).max), np.float64)
+    return np.dtype(kind).char.encode() + squeeze_array(x.astype(kind))
+
+
+def _unpacked(payload: memoryview) -> np.ndarray:
+    return expand_array(payload[1:], np.dtype(chr(payload[0])).type).astype(np.float64)
+
+
+class Index:
+    """A block: ids in order, and segments of postings by falling impact, each by component and vector."""
+
+    def __init__(self, payload: bytes):
+        ids, shape, *segments = parted(payload)
+        self.ids = np.frombuffer(ids, np.int64)
+        self.dim = int(np.frombuffer(shape, np.int64)[0])
+        self.segments = [(expand_array(v, np.uint32), expand_array(d, np.uint32), _unpacked(x)) for v, d, x in zip(*[iter(segments)] * 3, strict=True)]
+
+    @staticmethod
+    def build(ids: np.ndarray, x: np.ndarray) -> bytes:
+        dim, vec = np.nonzero(x.T)
+        value = x[vec, dim]
+        impact = np.frexp(value)[1] if len(value) else np.empty(0, np.int64)
+        parts = [ids.tobytes(), np.array([x.shape[1]], np.int64).tobytes()]
+        for level in np.unique(impact)[::-1].tolist():
+            of = impact == level
+            parts += [squeeze_array(vec[of].astype(np.uint32)), squeeze_array(dim[of].astype(np.uint32)), _packed(value[of])]
+        return joined(*parts)
+
+    def vectors(self, wide: int) -> np.ndarray:
+        out = np.zeros((len(self.ids), wide))
+        for vec, dim, value in self.segments:
+            out[vec, dim] = value
+        return out
+
+
+def search(who: np.ndarray, queries: np.ndarray, index: Index, k: int, read: list | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its place and the ids and scores of its k best in the block, ties to smaller ids. ``read``, if given, gets the number of accumulations of each segment."""
+    wide = max(index.dim, queries.shape[1])
+    queries = np.pad(queries, ((0, 0), (0, wide - queries.shape[1])))
+    vectors, ids = index.vectors(wide), index.ids
+    squares = np.square(vectors).sum(axis=1)
     sizes = np.linalg.norm(queries, axis=1)
-    acc = np.zeros((len(queries), n))
-    rest = np.square(vectors).sum(axis=1)
-    floor = np.full(len(queries), -np.inf)
-    own = ids[None, :] == query_ids[:, None]
-    for segment in segments:
-        vec, at, value = np.frombuffer(segment["vec"], np.int32), np.frombuffer(segment["dim"], np.int32), np.frombuffer(segment["value"], np.float64)
-        plane = np.zeros((n, wide))
-        plane[vec, at] = value
-        acc += queries @ plane.T
-        rest = np.maximum(rest - np.bincount(vec, value * value, n), 0)
-        more = np.sqrt(rest).max(initial=0.0) * sizes
-        # Rounding of doubles is far below one unit unless scores near 2**53; then nothing is proven early.
-        slack = 1 + 1e-9 * sizes * np.sqrt(np.square(vectors).sum(axis=1).max(initial=0.0))
-        if n > k:
-            seen = np.where(own, -np.inf, acc)
-            floor = np.maximum(floor, np.partition(seen, n - k, axis=1)[:, n - k] - more - slack)
-            if ((seen + more[:, None] + slack[:, None]) >= floor[:, None]).sum() <= FEW * len(queries):
-                break
-    else:
-        more = np.zeros(len(queries))
-        slack = 1 + 1e-9 * sizes * np.sqrt(np.square(vectors).sum(axis=1).max(initial=0.0))
+    # Rounding of doubles is far below one unit unless scores near 2**53; then nothing is proven early.
+    slack = 1 + 1e-9 * sizes * np.sqrt(squares.max(initial=0.0))
     big = (np.abs(queries).max(initial=0.0) * np.abs(vectors).max(initial=0.0) * max(wide, 1)) >= EXACT
-    for i in range(len(queries)):
-        possible = np.flatnonzero(~own[i] & (acc[i] + more[i] + slack[i] >= floor[i]))
+
+    def exact(q: int, possible: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
         if big:
-            q = [int(x) for x in queries[i]]
-            score = np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(q, vectors[j], strict=True)))) for j in possible], np.int64)
+            own = [int(x) for x in queries[q]]
+            score = np.array([max(-(2**63), min(2**63 - 1, sum(a * int(b) for a, b in zip(own, vectors[j], strict=True)))) for j in possible], np.int64)
         else:
-            score = (vectors[possible] @ queries[i]).astype(np.int64)
+            score = (vectors[possible] @ queries[q]).astype(np.int64)
         best = np.lexsort((ids[possible], ~score))[:k]
-        yield i, ids[possible][best], score[best]
+        return q, ids[possible][best], score[best]
+
+    active, rows = np.arange(len(queries)), np.arange(len(ids))
+    acc = np.zeros((len(active), len(rows)))
+    floor = np.full(len(queries), -np.inf)
+    place = rows.copy()  # of each vector among those still needed, -1 for the others
+    for vec, dim, value in index.segments if not big else ():
+        at = place[vec]
+        in_use = at >= 0
+        plane = np.zeros((len(rows), wide))
+        plane[at[in_use], dim[in_use]] = value[in_use]
+        acc += queries[active] @ plane.T
+        if read is not None:
+            read.append(len(active) * int(in_use.sum()))
+        squares = np.maximum(squares - np.bincount(vec, value * value, len(ids)), 0)
+        may_add = sizes[active][:, None] * np.sqrt(squares[rows])[None, :] + slack[active][:, None]
+        seen = np.where(ids[rows][None, :] == who[active][:, None], -np.inf, acc)
+        if len(rows) > k:
+            low = seen - may_add
+            floor[active] = np.maximum(floor[active], np.partition(low, len(rows) - k, axis=1)[:, len(rows) - k])
+        possible = (seen + may_add >= floor[active][:, None]) & (seen > -np.inf)
+        done = possible.sum(axis=1) <= FEW
+        for i in np.flatnonzero(done).tolist():
+            yield exact(int(active[i]), rows[possible[i]])
+        needed = possible[~done].any(axis=0)
+        active, acc, rows = active[~done], acc[~done][:, needed], rows[needed]
+        place = np.full(len(ids), -1)
+        place[rows] = np.arange(len(rows))
+        if not len(active):
+            return
+    for q in active.tolist():
+        yield exact(q, rows[ids[rows] != who[q]])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
     """Each query's k best of all other vectors: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
     rows, asked = whole(vectors, id_column, vector), whole(queries, id_column, vector)
     n_blocks = max(1, -(-rows.count() // block))
-    n_queries = max(1, -(-asked.count() // query_block))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = cut(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))).groupBy("block").applyInPandas(build, INDEX))
-    sides = asked.withColumn("side", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_queries))).groupBy("side").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-    met = index.withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_queries - 1).cast("long")))).repartition(max(parts, n_blocks), "block", "side").join(sides, "side")
+    n_sides = max(1, -(-asked.count() // query_block))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x = _distinct(rows["id"].to_numpy(np.int64), _matrix(rows["v"]))
+        return pd.DataFrame({"block": [int(rows["block"].iloc[0])], "index": [Index.build(ids, x)]})
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x = _distinct(rows["id"].to_numpy(np.int64), _matrix(rows["v"]))
+        return pd.DataFrame({"asked": [joined(ids.tobytes(), np.array(x.shape, np.int64).tobytes(), _packed(x.ravel()))]})
+
+    index = cut(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").applyInPandas(build, "block int, index binary"))
+    sides = cut(asked.withColumn("side", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_sides))).groupBy("side").applyInPandas(pack, "asked binary"))
+    sent = sides.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    # A block of the index lies in one place, and what is asked comes to it. No join by broadcast: both sides grow.
+    met = index.repartitionById(n_blocks, "block").hint("shuffle_hash").join(sent.repartitionById(n_blocks, "block"), "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, own = None, None
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids = np.frombuffer(row.ids, np.int64)
-                x = np.frombuffer(row.vectors, np.float64).reshape(len(ids), row.dim)
-                who = np.array([a["id"] for a in row.asked], np.int64)
-                who, q = _distinct(who, _matrix(pd.Series([a["v"] for a in row.asked])))
-                found: dict[str, list] = {"query_id": [], "at": [], "vec_id": [], "score": []}
-                for i, best, score in search(who, q, ids, x, list(row.segments), k):
-                    for c, values in zip(found, ([who[i]] * len(best), [i] * len(best), best, score), strict=True):
-                        found[c].extend(values)
-                yield pd.DataFrame({"query_id": np.array(found["query_id"], np.int64), "vector": np.array(found["at"], np.int64), "vec_id": np.array(found["vec_id"], np.int64), "score": np.array(found["score"], np.int64)})
-
-    found = met.mapInPandas(run, "query_id long, vector long, vec_id long, score long")
+                if row.block != last:
+                    last, own = row.block, Index(row.index)
+                ids, shape, x = parted(row.asked)
+                who, q = np.frombuffer(ids, np.int64), _unpacked(x).reshape(np.frombuffer(shape, np.int64))
+                found: list[list[np.ndarray]] = [[], [], [], []]
+                for i, best, score in search(who, q, own, k):
+                    for c, values in zip(found, (np.full(len(best), who[i]), np.full(len(best), i), best, score), strict=True):
+                        c.append(values)
+                yield pd.DataFrame({c: np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for c, x in zip(("query_id", "vector", "vec_id", "score"), found, strict=True)})
+        release()
+
+    found = met.select("block", "index", "asked").mapInPandas(run, "query_id long, vector long, vec_id long, score long")
     # A query id with several vectors has a list for each: ``vector`` tells them apart.
     order = Window.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -46,6 +46,125 @@ def test_densest_part_wins_without_any_names():
     assert html_extract.main_text(html) == f"Head {LONG} {LONG}"
 
 
+def test_class_words_count_as_a_whole():
+    html = f"<body><article><p class='ad-hoc share-price'>{LONG}</p><div class=social-history><p>{LONG}</p></div><h2 id=comments>Head</h2><p class=ad-slot-3>Buy</p><div class='adBox'>Now</div><div class='social-share'>Tell</div></article></body>"
+    assert html_extract.main_text(html) == f"{LONG} {LONG} Head"
+
+
+def naive(node, share=None):
+    """(characters, tags, those in links, own density and density sum of each node in order): by the definition, nothing shared."""
+    import math
+
+    def texts(n):
+        return [html_extract.SPACE.sub(" ", c).strip() for c in n.children if isinstance(c, str)]
+
+    def count(n, linked=False):
+        linked = linked or n.name == "a"
+        c, t = sum(map(len, texts(n))), 1
+        lc, lt = (c, t) if linked else (0, 0)
+        for k in n.children:
+            if isinstance(k, html_extract.Node):
+                got = count(k, linked)
+                c, t, lc, lt = c + got[0], t + got[1], lc + got[2], lt + got[3]
+        return c, t, lc, lt
+
+    c, t, lc, lt = count(node)
+    share = lc / max(1, c) if share is None else share
+    if not c:
+        own = 0.0
+    else:
+        base = math.log(max(math.log(c / max(1, c - lc) * lc + share * c + math.e), 1.0001))
+        own = c / t * max(0.0, math.log(max(1e-9, c / max(1, lc) * t / max(1, lt))) / base)
+    below = [naive(k, share) for k in node.children if isinstance(k, html_extract.Node)]
+    return [(c, t, lc, own, sum(b[0][3] for b in below)), *[x for b in below for x in b]]
+
+
+def test_densities_match_the_definition():
+    r = random.Random(8)
+
+    def tree(depth):
+        bits = []
+        for _ in range(r.randint(0, 4)):
+            kind = r.random()
+            if kind < 0.4:
+                bits.append(" ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, 12))))
+            elif depth:
+                name = r.choice(["div", "span", "a", "section"])
+                bits.append(f"<{name}>{tree(depth - 1)}</{name}>")
+        return "".join(bits)
+
+    def preorder(n):
+        yield n
+        for c in n.children:
+            if isinstance(c, html_extract.Node):
+                yield from preorder(c)
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{tree(5)}</body>")
+        (body,) = root.children
+        html_extract.measure(root, body)
+        got = [(n.chars, n.tags, n.link_chars, n.density, n.sum) for n in preorder(body)]
+        want = naive(body)
+        assert [x[:3] for x in got] == [x[:3] for x in want]
+        assert np.allclose([x[3:] for x in got], [x[3:] for x in want])
+        assert body.top.sum == max(x[4] for x in got)
+
+
+def test_density_decides_without_article_elements():
+    r = random.Random(9)
+
+    def words(n):
+        return " ".join("x" * r.randint(2, 9) for _ in range(n))
+
+    for _ in range(40):
+        parts = [words(r.randint(12, 60)) for _ in range(r.randint(3, 9))]
+        menu = "".join(f"<li><a href=x>{words(1)}</a></li>" for _ in range(r.randint(4, 12)))
+        beside = "".join(f"<p><a href=x>{words(3)}</a></p>" for _ in range(5))
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        html = f"<body><div><ul>{menu}</ul></div><div><div><h1>Head of it</h1>{body}</div></div><div>{beside}</div><div><a href=x>{words(2)}</a> {words(3)}</div></body>"
+        assert html_extract.main_text(html) == " ".join(["Head of it", *parts])
+
+
+def test_broken_deep_pages_take_linear_time():
+    import time
+
+    def took(html):
+        began = time.process_time()
+        html_extract.main_text(html)
+        return time.process_time() - began
+
+    for make in (lambda n: "<form>" * n + "x", lambda n: "<div>" * n + "</span>" * n, lambda n: "<div class=ad>" * n + "<main>x</main>", lambda n: "<li><ul>" * n + "<b>" * n + "<li></li>" * n, lambda n: "<p><b>" * n):
+        assert took(make(40_000)) < 8 * max(took(make(10_000)), 0.05)
+
+
+BIG = [2**53 + 1, 2**53 + 3, -(2**63), 2**63 - 1]
+
+
+def test_ids_of_any_size_beside_nulls(spark):
+    from gneiss.llm import simhash, substrings, toxicity
+
+    rows = [(i, f"<p>{n} words of a text of its own</p>", "u") for n, i in enumerate([*BIG, None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string").coalesce(1)
+    want = sorted(map(str, [*BIG, None]))
+    pages = df.withColumnRenamed("doc_id", "page_id").withColumnRenamed("text", "html")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {
+        "html": html_extract.extract(pages).select("page_id"),
+        "licenses": licenses.scan_licenses(df).select("doc_id"),
+        "media": media.sound_columns(df).select("doc_id"),
+        "prints": simhash.group_near(df).select("doc_id"),
+        "alike": simhash.group_alike(df).select("doc_id"),
+        "repeats": substrings.remove_repeats(df).select("doc_id"),
+        "scores": toxicity.score(df, toxicity.train(df, none)).select("doc_id"),
+    }
+    for name, ids in got.items():
+        assert sorted(str(r[0]) for r in ids.collect()) == want, name
+    own = {r["doc_id"]: r["component_id"] for r in simhash.group_near(df).collect()}
+    assert all(own[i] in (*BIG, None) for i in own)
+    named = df.withColumn("doc_id", df.doc_id.cast("string"))
+    assert sorted(str(r["doc_id"]) for r in simhash.group_near(named).collect()) == want
+
+
 def test_pages_of_any_kind(spark):
     rows = [(1, "u", None, "x"), (2, "u", "", "x"), (None, None, "<p>a</p>", "x"), (3, "u", "<p>a</p>", "x"), (3, "u", "<p>a</p>", "x"), (4, "u", "<div>" * 20_000 + "deep" + "<p>x" * 3000, "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -114,6 +233,27 @@ def test_sound_columns_and_packet_tables(spark):
     assert media.sound_columns(df.limit(0)).collect() == []
 
 
+def test_rows_match_a_second_writing_of_the_contract(spark):
+    """Row by row from the text alone, and the payload from the stored file by a search for its frames."""
+    r = random.Random(3)
+    texts = {i: "".join(r.choice("aé😀 \n") for _ in range(r.choice([0, 1, 63, 64, 65, 5000, 40_000]))) for i in range(30)} | {99: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for row in media.sound_columns(df, with_media=True).collect():
+        raw = (texts[row["doc_id"]] or "").encode()
+        payload = raw + bytes((-len(raw) % 64) or (0 if raw else 64))
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert row["tail_crc32"] == zlib.crc32(payload[-64:])
+        file = bytes(row["media"])
+        assert (row["media_bytes"], row["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        at = 0
+        for i in range(0, len(payload), 4096):  # packets lie in the file in order
+            at = file.index(payload[i : i + 4096], at) + len(payload[i : i + 4096])
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        said = dict(p.rsplit(" ", 1) for p in row["feature"].split("; ")[1:])
+        assert abs(float(said["mean"]) - x.mean()) < 1e-5 and abs(float(said["rms"]) - np.sqrt(((x - 128) ** 2).mean())) < 1e-3
+        assert int(said["crossings"]) == int(((x[1:] < 128) != (x[:-1] < 128)).sum()) and abs(float(said["seconds"]) - len(payload) / 8000) < 1e-6
+
+
 # Licenses
 
 
@@ -160,6 +300,29 @@ def test_changed_words_lower_coverage_and_strangers_have_none():
     assert licenses.scan("permission to use the software is hereby granted " * 5, KNOWN, 0.8) == []
 
 
+def test_scans_find_what_is_planted_and_nothing_else():
+    """Texts with known templates in known places; what else is found has its coverage by the best alignment there is."""
+    r = random.Random(11)
+    names = sorted(licenses.TEMPLATES)
+    filler = "thing maker of house to run over green and tree a".split()
+    for _ in range(25):
+        chosen = r.sample(names, r.randint(0, 2))
+        text, places = " ".join(r.choice(filler) for _ in range(r.randint(1, 60))), {}
+        for n in chosen:
+            places[n] = len(text) + 1
+            text += " " + licenses.TEMPLATES[n] + " " + " ".join(r.choice(filler) for _ in range(r.randint(30, 60)))
+        found = {f[0]: f for f in licenses.scan(text, KNOWN, 0.8)}
+        words = licenses.words_of(text)
+        for n, (_, coverage, begin, end) in found.items():
+            assert 0.8 <= coverage <= lcs(KNOWN[n].words, words) / len(KNOWN[n].words) and 0 <= begin < end <= len(text)
+        for n in chosen:
+            inside = [f for f in found.values() if f[2] <= places[n] + 40 and f[3] >= places[n] + len(licenses.TEMPLATES[n]) - 40]
+            assert n in found and found[n][1] == 1.0 or inside, (n, found)
+        for n in names:
+            if n not in found and lcs(KNOWN[n].words, words) < 0.8 * len(KNOWN[n].words):
+                assert n not in chosen
+
+
 def test_license_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Hi. Released under the MIT License. Bye.", "x"), (3, "İ Released under the MIT License.", "x"), (None, "Licensed under CC BY-NC 4.0. " * 2000, "x")], "doc_id long, text string, licenses string")
     rows = licenses.scan_licenses(df).collect()
@@ -210,16 +373,22 @@ def test_walk_stops_early_on_proof():
     r = np.random.default_rng(6)
     x = np.floor(r.normal(0, 3, (2000, 16)))
     x[7] = 1000
-    frame = {"id": np.arange(2000), "v": list(x), "block": np.zeros(2000, int)}
-    import pandas as pd
-
-    index = topk.build(pd.DataFrame(frame)).iloc[0]
-    seen = []
-
-    def watched():
-        for s in index["segments"]:
-            seen.append(s["impact"])
-            yield s
-
-    (hit,) = topk.search(np.array([-1]), np.full((1, 16), 50.0), np.arange(2000), x, watched(), 1)
-    assert hit[1].tolist() == [7] and hit[2].tolist() == [50 * 16_000] and len(seen) < len(index["segments"])
+    index = topk.Index(topk.Index.build(np.arange(2000), x))
+    read = []
+    (hit,) = topk.search(np.array([-1]), np.full((1, 16), 50.0), index, 1, read)
+    assert hit[1].tolist() == [7] and hit[2].tolist() == [50 * 16_000] and len(read) < len(index.segments)
+
+
+def test_later_segments_are_read_for_fewer_vectors():
+    """Vectors of many lengths: those that can't be among the best leave, and results stay exact."""
+    r = np.random.default_rng(7)
+    x = np.floor(r.normal(0, 40, (3000, 24)) * r.lognormal(0, 1, (3000, 1)))
+    queries = np.floor(r.normal(0, 40, (9, 24)))
+    index = topk.Index(topk.Index.build(np.arange(3000), x))
+    assert np.array_equal(index.vectors(24), x)
+    read = []
+    for q, ids, scores in topk.search(np.arange(-9, 0), queries, index, 5, read):
+        every = x @ queries[q]
+        best = np.lexsort((np.arange(3000), -every))[:5]
+        assert ids.tolist() == best.tolist() and scores.tolist() == every[best].tolist()
+    assert sum(read) < 0.8 * 9 * np.count_nonzero(x)

@@ -371,6 +371,47 @@ def test_classifier_learns_and_scores(spark):
     assert {x["doc_id"] for x in docs.where(toxicity.held_out(docs.doc_id)).collect()} == set(out)
 
 
+def test_scores_match_a_naive_writing(spark):
+    """Features, log-count ratios and the best weights, written down again plainly; the fit has to be the optimum."""
+    import math
+    import re
+
+    r = random.Random(6)
+    words = [f"{a}{b}" for a in "tion ed re st ing".split() for b in "an er st".split()]
+    rows = [(i, " ".join(r.choice([*words, *(["grob", "vlas"] if i % 4 == 0 else [])]) for _ in range(20))) for i in range(150)] + [(900, None)]
+    labels = {i: int(i % 4 == 0) for i, _ in rows if i < 140}
+
+    def grams(text):
+        out = set()
+        for w in set(re.findall(r"\w+", (text or "").lower())):
+            w = f" {w} "
+            out |= {zlib.crc32(w[k : k + n].encode()) % (1 << 22) for n in (3, 4, 5, 6) for k in range(len(w) - n + 1)}
+        return out
+
+    own = [(grams(t), labels[i]) for i, t in rows if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    pos, neg = sum(y for _, y in own), sum(1 - y for _, y in own)
+    ratio = {}
+    for g in set().union(*(x for x, _ in own)):
+        p, q = sum(g in x for x, y in own if y), sum(g in x for x, y in own if not y)
+        a = math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2))
+        error = math.sqrt(1 / (p + 1) - 1 / (pos + 2) + 1 / (q + 1) - 1 / (neg + 2))
+        if p + q >= 4 and abs(a) / error >= 4:
+            ratio[g] = a
+    docs = frame(spark, rows)
+    which, weights, bias = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    assert set(which.tolist()) == set(ratio) and len(ratio) > 5
+    w = dict(zip(which.tolist(), weights.tolist(), strict=True))
+    slope = {g: 0.3 * w[g] / ratio[g] for g in ratio}
+    for x, y in own:
+        p = 1 / (1 + math.exp(-bias - sum(w.get(g, 0) for g in x)))
+        for g in x & set(ratio):
+            slope[g] += ratio[g] * (p - y)
+    assert max(map(abs, slope.values())) < 0.05
+    texts = dict(rows)
+    for got in toxicity.score(docs, (which, weights, bias)).collect():
+        assert got["score"] == pytest.approx(1 / (1 + math.exp(-bias - sum(w.get(g, 0) for g in grams(texts[got["doc_id"]])))))
+
+
 def test_classifier_without_labels_and_empty_texts(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = frame(spark, [(1, None), (2, ""), (None, "x"), (3, "y" * 100_000)])
