@@ -378,8 +378,8 @@ def test_scores_match_a_naive_writing(spark):
 
     r = random.Random(6)
     words = [f"{a}{b}" for a in "tion ed re st ing".split() for b in "an er st".split()]
-    rows = [(i, " ".join(r.choice([*words, *(["grob", "vlas"] if i % 4 == 0 else [])]) for _ in range(20))) for i in range(150)] + [(900, None)]
-    labels = {i: int(i % 4 == 0) for i, _ in rows if i < 140}
+    rows = [(i, " ".join(r.choice([*words, *(["grob", "vlas"] if i % 4 == 0 else [])]) for _ in range(20))) for i in range(400)] + [(900, None)]
+    labels = {i: int(i % 4 == 0) for i, _ in rows if i < 380}
 
     def grams(text):
         out = set()
