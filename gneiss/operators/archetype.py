@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
@@ -16,6 +16,45 @@ KINDS = [
     ("library", 10, r"(^|/)(lib|src|pkg|include)/"),
 ]
 
+# What top directories are called and hold, words in their names, and what else they are by archetype.
+ARCHETYPES = "monorepo service library frontend infra generic".split()
+DIRECTORIES = {
+    "src": "Primary application/source code", "lib": "Reusable library source code", "app": "Application entry code", "apps": "Multiple application packages",
+    "services": "Service packages", "packages": "Shared packages/modules", "modules": "Feature modules", "tests": "Automated tests and validation suites",
+    "test": "Automated tests and validation suites", "docs": "Documentation and references", "scripts": "Developer/CI automation scripts",
+    "tools": "Engineering tooling and utilities", "configs": "Configuration templates and profiles", "config": "Configuration templates and profiles",
+    "infra": "Infrastructure and deployment assets", "deploy": "Deployment definitions", "gateway": "Request gateway/edge logic", "web": "Web frontend assets",
+    "frontend": "Frontend application code", "backend": "Backend service code", "abstract_class": "Abstract interfaces and shared base classes",
+    "problem_solvers": "Problem-specific solver implementations", "meta_coding": "Meta-programming and code-generation pipeline",
+    "algebraic_solver": "Numerical/algebraic solver implementations", "visualization": "Visualization, plotting, and report utilities",
+}
+DIRECTORY_WORDS = [
+    ("solver solvers engine", "Problem-solving and algorithm execution components"),
+    ("meta codegen generator compiler transform", "Meta-programming and code transformation components"),
+    ("visual plot chart render", "Visualization and presentation components"),
+    ("abstract base interface", "Abstract contracts and foundational components"),
+    ("algebra numeric linear math", "Numerical and mathematical computation components"),
+    ("model network nn", "Model definitions and runtime components"),
+    ("data dataset loader", "Data processing and loading components"),
+]
+OTHERWISE = {"monorepo": "Workspace project/package", "service": "Service component", "frontend": "Frontend component/module", "infra": "Infrastructure component", "library": "Library component"}
+
+
+def normal(value: str | None) -> str:
+    """A known archetype, however it is spelled; generic otherwise."""
+    value = (value or "").strip().lower()
+    return value if value in ARCHETYPES else "generic"
+
+
+def described(directory: Column, archetype: str) -> Column:
+    """What a top directory holds: by its name, by a word in it, by the archetype."""
+    low = F.lower(directory)
+    out = F.try_element_at(F.create_map(*[F.lit(x) for kv in DIRECTORIES.items() for x in kv]), low)
+    worded = F
+    for words, said in DIRECTORY_WORDS:
+        worded = worded.when(low.rlike("|".join(words.split())), said)
+    return F.coalesce(out, worded.otherwise(OTHERWISE.get(normal(archetype), "Workspace module")))
+
 
 def counts(files: DataFrame) -> DataFrame:
     """files(path) -> one row: projects (top directories of 8 files and a marker) and a count for each kind."""

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import ordered
+
 CHUNK = 10_000
 
 
 def stop_at_overflow(rows: DataFrame, order: Iterable[Column], cost: str, budget: int, by: list[str] | None = None) -> DataFrame:
-    """The longest run of rows from the first on that fits: a running sum, with ``used`` and ``nth``."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    ran = rows.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(w))
-    return ran.where(F.col("used") <= budget)
+    """The longest run of rows from the first on that fits: a running sum, with ``used`` and ``nth``. Summed in ranges of the order, however large a group is."""
+    return ordered.running(rows, by or [], list(order), cost).where(F.col("used") <= budget)
+
+
+def capped(rows: DataFrame, order: Iterable[Column], cost: str, budget: int, cap: int) -> DataFrame:
+    """The first ``cap`` rows, up to the first that doesn't fit: with ``used`` and ``nth``. What is summed is the distributed top ``cap``."""
+    w = Window.orderBy(*order)
+    first = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
+    return first.withColumn("used", F.sum(cost).over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
 
 
 def skip_overflow(rows: DataFrame, key: str, order: list[tuple[str, bool]], cost: str, budget: int, chunk: int = CHUNK) -> DataFrame:
@@ -27,7 +35,7 @@ def skip_overflow(rows: DataFrame, key: str, order: list[tuple[str, bool]], cost
     """
     spark = rows.sparkSession
     names = [n for n, _ in order]
-    slim = rows.select(*dict.fromkeys([*names, key, cost]))
+    slim = rows.select(*(c for c in dict.fromkeys([*names, key]) if c != cost), F.greatest(F.coalesce(F.col(cost), F.lit(1)), F.lit(1)).alias(cost))
     sort = [F.desc(n) if down else F.asc(n) for n, down in order]
     taken: list[tuple] = []
     left, last = budget, None
@@ -74,21 +82,30 @@ def hybrid_key(score: Column, cost: Column) -> Column:
 
 
 def batches(rows: DataFrame, group: str, order: str, size: str, most_rows: int = 32, most_size: int = 8_000) -> DataFrame:
-    """rows -> with ``batch``: next-fit batches by count and size within each group, as a fold over the group's sizes.
+    """rows -> group, order, size and ``batch``: next-fit batches by count and size within each group.
 
-    A group is one request queue (a module's files), read as an array of (order, size).
+    Which batch a row opens depends on all before it, so a queue is walked in order; but the walk holds three
+    numbers, not the queue: rows stream through it sorted, and no group is gathered.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        full = (a["n"] > 0) & ((a["n"] >= most_rows) | (a["used"] + x["s"] > most_size))
-        b = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(b.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(a["used"] + x["s"]).alias("used"), F.concat(a["out"], F.array(b)).alias("out"))
-
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    folded = listed.withColumn("b", F.aggregate("items", start, step)["out"])
-    return folded.select(group, F.explode(F.arrays_zip("items", "b")).alias("z")).select(group, F.col("z.items.o").alias(order), F.col("z.items.s").alias(size), F.col("z.b").alias("batch"))
+    slim = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    schema = slim.schema.add("batch", "integer")
+
+    def walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, batch, n, used = object(), 0, 0, 0
+        for part in parts:
+            out = []
+            for g, s in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                s = s or 0
+                if g != now:
+                    now, batch, n, used = g, 0, 0, 0
+                if n and (n >= most_rows or used + s > most_size):
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + s
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int32())], names=["g", "o", "s", "batch"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slim.repartition(parts, "g").sortWithinPartitions("g", "o").mapInArrow(walk, schema).toDF(group, order, size, "batch")
 
 
 def role_budgets(budget: int, present: set[str]) -> dict[str, int]:

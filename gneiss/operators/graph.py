@@ -19,7 +19,7 @@ def module_dependencies(edges: DataFrame, top: int = 10, samples: int = 5) -> Da
     """edges(src, dst, src_file, dst_file) -> src, dst, weight, files: the ``top`` targets of each source.
 
     Weight counts distinct pairs of files. Pairs are made distinct first, so counting is by partial sums;
-    samples are the smallest pairs, kept as a bounded list per edge.
+    samples are the smallest pairs: each task passes on the first of an edge alone (a window's group limit).
     """
     pairs = edges.where("src <> dst").select("src", "dst", "src_file", "dst_file").distinct()
     few = Window.partitionBy("src", "dst").orderBy("src_file", "dst_file")
@@ -32,10 +32,15 @@ def module_dependencies(edges: DataFrame, top: int = 10, samples: int = 5) -> Da
 
 
 def call_dependencies(edges: DataFrame, samples: int = 5) -> DataFrame:
-    """edges(caller, callee, line) -> caller, callee, weight, lines: the first lines of the calls."""
-    few = Window.partitionBy("caller", "callee").orderBy("line")
-    ranked = edges.where("caller <> callee").withColumn("nth", F.row_number().over(few))
-    return ranked.groupBy("caller", "callee").agg(F.count("*").alias("weight"), F.array_sort(F.collect_list(F.when(F.col("nth") <= samples, F.col("line")))).alias("lines"))
+    """edges(caller, callee, line) -> caller, callee, weight, lines: the first lines of the calls.
+
+    Calls are counted by partial sums; each task passes on the first lines of a pair alone (a window's group limit).
+    """
+    calls = edges.where("caller <> callee")
+    weights = calls.groupBy("caller", "callee").agg(F.count("*").alias("weight"))
+    few = calls.withColumn("nth", F.row_number().over(Window.partitionBy("caller", "callee").orderBy("line"))).where(F.col("nth") <= samples)
+    lines = few.groupBy("caller", "callee").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return weights.join(lines, ["caller", "callee"], "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{edges.schema['line'].dataType.simpleString()}>")))
 
 
 def edge_weight(name: Column, references: Column, definitions: Column, mentioned: list[str], chat: Column) -> Column:
@@ -141,12 +146,15 @@ def subgraph(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.join(members.select(F.col("id").alias("src")), "src", "left_semi").join(members.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
-def back_edge_cycles(edges: DataFrame) -> DataFrame:
+def back_edge_cycles(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
     """cycle array<string> of a depth-first walk's back edges, each from its smallest member, distinct.
 
-    For graphs of modules: tens of vertices by design, in one group. Which cycles are found depends on the walk's order
-    (vertices and edges ascending); ``cycles_within`` finds all of bounded length.
+    For graphs of modules, in one group: more than ``most`` edges are an error. Which cycles are found depends on the walk's order
+    (vertices and edges ascending); ``cycles_within`` finds all of bounded length on graphs of any size.
     """
+    pairs = edges.select("src", "dst").distinct()
+    if pairs.limit(most + 1).count() > most:
+        raise ValueError(f"a depth-first walk takes {most} edges at the most; cycles_within takes any graph")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list[str]] = {}
@@ -157,26 +165,29 @@ def back_edge_cycles(edges: DataFrame) -> DataFrame:
         found: set[tuple[str, ...]] = set()
         for root in sorted({*rows["src"], *rows["dst"]}):
             path: list[str] = []
+            on_path: dict[str, int] = {}
             stack = [(root, iter(out.get(root, ())))] if root not in seen else []
             if stack:
                 seen.add(root)
+                on_path[root] = 0
                 path.append(root)
             while stack:
                 step = next(stack[-1][1], None)
                 if step is None:
                     stack.pop()
-                    path.pop()
-                elif step in path:
-                    ring = path[path.index(step) :]
+                    del on_path[path.pop()]
+                elif step in on_path:
+                    ring = path[on_path[step] :]
                     low = ring.index(min(ring))
                     found.add((*ring[low:], *ring[:low]))
                 elif step not in seen:
                     seen.add(step)
+                    on_path[step] = len(path)
                     path.append(step)
                     stack.append((step, iter(out.get(step, ()))))
         return pd.DataFrame({"cycle": pd.Series([list(c) for c in sorted(found)], dtype=object)})
 
-    return edges.select("src", "dst").distinct().withColumn("graph", F.lit("all")).groupBy("graph").applyInPandas(walk, "cycle array<string>")
+    return pairs.withColumn("graph", F.lit("all")).groupBy("graph").applyInPandas(walk, "cycle array<string>")
 
 
 def cycles_within(edges: DataFrame, longest: int = 3) -> DataFrame:

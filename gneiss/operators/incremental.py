@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import text as T
@@ -45,8 +45,17 @@ def reuse(now: DataFrame, cache: DataFrame, compute: Callable[[DataFrame], DataF
 
 
 def input_hash(rows: DataFrame, parts: list[str], by: list[str] | None = None) -> DataFrame:
-    """One hash of a group's lines, whatever their order: each line is hashed where it stands, and what is collected is digests."""
+    """One hash of a group's lines, whatever their order: a tree of hashes.
+
+    Each line is hashed where it stands; digests are hashed together, sorted, by their first four digits, and those 65,536
+    in turn. So what is gathered is a 65,536th of a group's digests, then a hash for each of these.
+    """
     kinds = dict(rows.dtypes)
     told = [F.array_join(F.array_sort(p), ",") if kinds[p].startswith("array") else F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]
-    lines = rows.withColumn("_line", F.sha2(F.concat_ws("|", *told), 256))
-    return lines.groupBy(*(by or [])).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256).substr(1, 16).alias("hash"))
+    lines = rows.select(*(by or []), F.sha2(F.concat_ws("|", *told), 256).alias("_line"))
+
+    def joined(column: str) -> Column:
+        return F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "\n"), 256)
+
+    leaves = lines.groupBy(*(by or []), F.substring("_line", 1, 4).alias("_leaf")).agg(joined("_line").alias("_hash"))
+    return leaves.withColumn("_hash", F.concat("_leaf", "_hash")).groupBy(*(by or [])).agg(joined("_hash").substr(1, 16).alias("hash"))

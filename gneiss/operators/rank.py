@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
-from gneiss.plans.lineage import cut
+from gneiss.operators.ordered import numbered
 
 # File names and path marks and what they add.
 CORE_NAMES = "cli.py main.py processor.py engine.py core.py trimmer.py runner.py indexer.py parser.py".split()
@@ -102,20 +102,10 @@ def entry_files(files: DataFrame, reasons: dict[str, str] | None = None) -> Data
 
 
 def module_order(modules: DataFrame) -> DataFrame:
-    """modules(module, desc, tier, core_score): core ones first, tests behind, then by score."""
+    """modules(module, desc, tier, core_score) with ``nth``: core ones first, tests behind, then by score. A window over modules alone."""
     testish = F.contains(F.lower("module"), F.lit("test")) | F.lower(F.coalesce("desc", F.lit(""))).rlike("test|benchmark")
-    return modules.orderBy(F.when(F.lower("tier") == "core", 0).otherwise(1), testish.cast("int"), F.desc("core_score"), "module")
-
-
-def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` with their ``place`` in the order, from 0: sorted in ranges, and each range begins where those before it end."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    dealt = cut(dealt.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"))
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row a range, whatever the rows.
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return dealt.join(F.broadcast(before), "_part").withColumn("place", F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+    order = Window.orderBy(F.when(F.lower("tier") == "core", 0).otherwise(1), testish.cast("int"), F.desc("core_score"), "module")
+    return modules.withColumn("nth", F.row_number().over(order))
 
 
 def symbol_scores(ranked: DataFrame, order: list[Column], rate: float = 0.95) -> DataFrame:
@@ -123,6 +113,14 @@ def symbol_scores(ranked: DataFrame, order: list[Column], rate: float = 0.95) ->
     return numbered(ranked, order).groupBy("path").agg(F.sum(F.pow(F.lit(rate), F.col("place"))).alias("score"))
 
 
+def symbol_blend(files: DataFrame, symbols: DataFrame, priors: DataFrame) -> DataFrame:
+    """files(path), symbols(path, score), priors(path, score) -> path, score: 0.6 of the symbols' and 0.4 of the prior score, each scaled by its largest."""
+    top = symbols.agg(F.max("score").alias("a")).join(priors.agg(F.max("score").alias("b")))
+    met = files.select("path").join(symbols.select("path", F.col("score").alias("s")), "path", "left").join(priors.select("path", F.col("score").alias("p")), "path", "left").join(F.broadcast(top))
+    part = [F.coalesce(F.col(x) / F.nullif(F.coalesce(F.col(m), F.lit(1.0)), F.lit(0.0)), F.lit(0.0)) for x, m in (("s", "a"), ("p", "b"))]
+    return met.select("path", (0.6 * part[0] + 0.4 * part[1]).alias("score"))
+
+
 def snippet_tags(tags: DataFrame, mentioned: list[str], most: int = 2) -> DataFrame:
     """tags(path, name, line): the ``most`` best of each file: mentioned, then public, then first."""
     said = F.col("name").isin(mentioned) if mentioned else F.lit(False)
@@ -137,5 +135,5 @@ def navigation_tier(score: Column) -> Column:
 def cascade(coarse: DataFrame, fine: DataFrame, focus: DataFrame, wide: int = 50, most: int = 20) -> DataFrame:
     """coarse(path, score), fine(path, score), focus(path) -> path, score, tier: the best ``wide`` and the focus, ranked finely."""
     first = coarse.orderBy(F.desc("score"), "path").limit(wide).select("path").unionByName(focus.select("path")).distinct()
-    best = fine.join(F.broadcast(first), "path", "left_semi").orderBy(F.desc("score"), "path").limit(most)
+    best = fine.join(first, "path", "left_semi").orderBy(F.desc("score"), "path").limit(most)
     return best.select("path", "score", navigation_tier(F.col("score")).alias("tier"))

@@ -45,15 +45,21 @@ def from_listing(lines: DataFrame) -> DataFrame:
 
 
 def tree_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Node tables -> id, type, name, change: removed, added, and modified (in both, but with other children)."""
+    """Node tables -> id, type, name, change: removed, added, and modified (in both, but with other children).
 
-    def summed(n: DataFrame, tag: str) -> DataFrame:
-        children = n.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.array_sort(F.collect_set("id")).alias(f"{tag}_children"))
-        return n.select("id", F.col("type").alias(f"{tag}_type"), F.col("name").alias(f"{tag}_name")).join(children, "id", "left")
+    Children are compared pair by pair: a directory that has a child in one tree alone is another one. No
+    directory's children are gathered.
+    """
+
+    def pairs(n: DataFrame, tag: str) -> DataFrame:
+        return n.where("parent_id is not null").select("parent_id", "id").distinct().withColumn(tag, F.lit(True))
 
-    met = summed(old, "old").join(summed(new, "new"), "id", "full_outer")
-    changed = ~F.col("old_children").eqNullSafe(F.col("new_children"))
-    change = F.when(F.col("new_type").isNull(), "removed").when(F.col("old_type").isNull(), "added").when(changed, "modified")
+    other = pairs(old, "was").join(pairs(new, "is"), ["parent_id", "id"], "full_outer").where("was is null or is is null")
+    other = other.select(F.col("parent_id").alias("id")).distinct().withColumn("other", F.lit(True))
+    a = old.select("id", F.col("type").alias("old_type"), F.col("name").alias("old_name"))
+    b = new.select("id", F.col("type").alias("new_type"), F.col("name").alias("new_name"))
+    met = a.join(b, "id", "full_outer").join(other, "id", "left")
+    change = F.when(F.col("new_type").isNull(), "removed").when(F.col("old_type").isNull(), "added").when(F.col("other"), "modified")
     return met.withColumn("change", change).where("change is not null").select("id", F.coalesce("new_type", "old_type").alias("type"), F.coalesce("new_name", "old_name").alias("name"), "change")
 
 

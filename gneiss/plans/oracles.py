@@ -6,6 +6,7 @@ import math
 
 from gneiss.functions import paths as P
 from gneiss.functions import roles as R
+from gneiss.operators import archetype as A
 from gneiss.operators import mentions, rank, rules, viz
 from gneiss.sources import corpus as C
 
@@ -237,7 +238,7 @@ HEURISTIC = " * ".join(
         factor("starts_with(path, 'plans/') or starts_with(path, 'docs/')", 0.4),
     ]
 )
-O["heuristic_rank"] = f"with {FILES} select path, round({HEURISTIC}, 6) as score from files order by score desc, path limit 100"
+O["heuristic_rank"] = f"with {FILES} select path, round({HEURISTIC}, 6) as score from files"
 KEY_BONUS = cases([(f"{LOW} = '{k}'", str(v)) for k, v in rank.KEY_FILES.items()], "0")
 MARKED = " or ".join(f"contains(lower(path), '{m}')" for m in rank.PATH_MARKS)
 SOURCE_SCORE = f"""(case when contains(lower(path), '/src/') or starts_with(lower(path), 'src/') then 6.0 else 0 end + case when {MARKED} then 3.0 else 0 end + {KEY_BONUS} + case when contains({LOW}, 'config') then 2.0 else 0 end
@@ -247,7 +248,7 @@ O["test_rank"] = f"with {ROLED} select path, n_sigs from roled where role = 'tes
 ENTRY_REASON = cases([(f"{NAME} = 'app_6.js'", "'web start'"), (f"contains({LOW}, 'cli')", "'CLI entry point'")], "''")
 O["entry_rank"] = f"with {ROLED}, e as (select path, {ENTRY_REASON} as reason, case when {NAME} = 'app_6.js' then 5 else {ENTRY_POINTS} end as points, ord % 7 / 10 as own from roled where role <> 'test') select path, reason, round(points * 10 + own, 6) as score from e where points > 0"
 O["snippet_tags"] = f"with {SIGS}, r as (select path, name, line, row_number() over (partition by path order by case when name in ('fn_1', 'fn_10') then 0 else 1 end, case when starts_with(name, '_') then 1 else 0 end, line, name) as nth from sigs) select * from r where nth <= 2"
-O["symbol_scores"] = f"with {SIGS}, r as (select path, row_number() over (order by name desc, path, line) - 1 as place from sigs order by name desc, path, line limit 200) select path, round(sum(pow(0.95, place)), 9) as score from r group by path"
+O["symbol_scores"] = f"with {SIGS}, r as (select path, row_number() over (order by name desc, path, line) - 1 as place from sigs) select path, round(sum(pow(0.95, place)), 9) as score from r group by path"
 O["rank_cascade"] = f"""with {FILES}, h as (select path, ord, {HEURISTIC.replace("path = 'src/core/engine_8.py'", "false").replace("path = 'cli/cli_2.py'", "false")} as s from files),
 first as (select path from (select path from h order by s desc, path limit 50) union select path from h where ord in (1, 2, 3)), f as (select path, round(1 / (1 + ord % 89), 6) as score from h where path in (select path from first))
 select path, score, case when score > 0.5 then 1 when score > 0.2 then 2 else 3 end as tier from f order by score desc, path limit 20"""
@@ -259,23 +260,31 @@ EDGES = "edges as (select sn.n_name as src, cn.n_name as dst, 's' || l_suppkey a
 TOP10 = f"{EDGES}, pairs as (select distinct src, dst, src_file, dst_file from edges where src <> dst), w as (select src, dst, count(*) as weight from pairs group by all), ranked as (select *, row_number() over (partition by src order by weight desc, dst) as rank from w)"
 O["module_deps_top10"] = f"""with {TOP10}, f as (select src, dst, string_agg(src_file || '>' || dst_file, ',' order by nth) as files from (select *, row_number() over (partition by src, dst order by src_file, dst_file) as nth from pairs) where nth <= 5 group by all)
 select src, dst, weight, rank, files from ranked join f using (src, dst) where rank <= 10"""
-O["call_edges"] = f"with {EDGES}, r as (select src as caller, dst as callee, line, row_number() over (partition by src, dst order by line) as nth from edges where src <> dst) select caller, callee, count(*) as weight, string_agg(line, ',' order by line) filter (where nth <= 5) as lines from r group by all"
+O["module_calls"] = f"with {EDGES}, r as (select src as caller, dst as callee, line, row_number() over (partition by src, dst order by line) as nth from edges where src <> dst) select caller, callee, count(*) as weight, string_agg(line, ',' order by line) filter (where nth <= 5) as lines from r group by all"
+O["symbol_tables"] = f"with {SIGS} select name, coalesce(string_agg(distinct path, ',' order by path) filter (where kind = 'A'), '') as definitions, count(*) filter (where kind = 'N') as references from sigs group by name"
 O["fan_in"] = f"with {IMPORTS} select dst as path, count(*) as fan_in from imports group by 1"
-O["fan_out"] = f"with {EDGES} select src, count(distinct dst) as n from edges where src <> dst group by 1 having count(distinct dst) >= 6"
+O["fan_out"] = f"with {TOP10} select src as subject, 'info' as severity, count(*) as n from ranked where rank <= 10 group by src having count(*) >= 6"
 SPANS = "ev as (select 'u' || (user_id % 50) as path, event_id, cast(hour(ts) * 3600 + minute(ts) * 60 + second(ts) as bigint) as line from events)"
 O["enclosing_interval"] = f"""with {SPANS}, s as (select path, cast(event_id as varchar) as name, line as start, line + 60 + event_id % 1000 as stop from ev where event_id % 5 = 0),
 m as (select e.path, e.event_id, e.line, s.name, row_number() over (partition by e.event_id order by s.start, s.stop desc, s.name) as r from ev e join s on s.path = e.path and e.line between s.start and s.stop where e.event_id % 5 <> 0)
 select path, event_id, line, name as enclosing from m where r = 1"""
+O["call_edges"] = f"""with {SPANS}, s as (select path, cast(event_id as varchar) as name, line as start, line + 60 + event_id % 1000 as stop from ev where event_id % 5 = 0),
+d as (select distinct 'f' || (event_id // 7 % 40) as name, path as def_path from ev where event_id % 5 = 0),
+m as (select e.path, e.event_id, e.line, s.name as around, row_number() over (partition by e.event_id order by s.start, s.stop desc, s.name) as r from ev e join s on s.path = e.path and e.line between s.start and s.stop where e.event_id % 5 <> 0),
+c as (select path || ':' || around as caller, def_path || ':' || name as callee, line from m join d on d.name = 'f' || (event_id // 7 % 40) where r = 1),
+n as (select *, row_number() over (partition by caller, callee order by line) as nth from c where caller <> callee)
+select caller, callee, count(*) as weight, string_agg(line, ',' order by line) filter (where nth <= 5) as lines from n group by all"""
 O["asof_parent"] = f"""with {SPANS}, c as (select path, event_id, line from ev where event_id % 7 = 0),
 m as (select e.event_id, c.event_id as parent, row_number() over (partition by e.event_id order by c.line desc, c.event_id) as r from ev e join c on c.path = e.path and c.line < e.line where e.event_id % 7 <> 0)
 select e.event_id as ord, coalesce('n' || m.parent, '') as parent from ev e left join m on m.event_id = e.event_id and m.r = 1"""
-O["suffix_join"] = f"with {FILES}, w as (select {NAME} as suffix from files where ord % 50 = 8 union all select 'core/engine_20.py') select suffix, path from w join files on path = suffix or ends_with(path, '/' || suffix)"
+O["suffix_join"] = f"""with {FILES} select {NAME} as suffix, path from files
+union all select 'core/engine_20.py', path from files where path = 'core/engine_20.py' or ends_with(path, '/core/engine_20.py')"""
 O["cross_module_edges"] = f"with {IMPORTS} select src_module, dst_module, src_module <> dst_module as crosses, count(*) as n from imports group by all"
 O["reference_edges"] = f"""with {SIGS}, d as (select name, path from sigs where kind = 'A'), r as (select name, path as src, count(*) as n from sigs where kind = 'N' group by all), c as (select name, count(*) as defs from d group by 1)
 select src, d.path as dst, round(sum(case when name = 'fn_7' then 10.0::double else 1 end * case when length(name) >= 8 then 10.0::double else 1 end * case when defs > 5 then 0.1::double else 1 end * case when src = 'src/core/engine_8.py' then 50.0::double else 1 end * sqrt(n)), 6) as weight
 from r join c using (name) join d using (name) where src <> d.path group by all"""
 
-USERS = "ue as (select src, dst, cast(count(*) as double) as weight from (select user_id % 200 as src, lead(user_id % 200) over (partition by event_id // 1000 order by event_id) as dst from events) where dst is not null and src <> dst group by all), v as (select range as id from range(200))"
+USERS = "ue as (select src, dst, cast(count(*) as double) as weight from (select user_id as src, lead(user_id) over (order by event_id, user_id) as dst from events) where dst is not null and src <> dst group by all), v as (select distinct user_id as id from events where user_id is not null)"
 
 
 def ranked(edges: str, start: str, rounds: int = 10) -> str:
@@ -287,18 +296,33 @@ r{i} as materialized (select r.id, r.p, r.links, 0.85 * (coalesce(got, 0) + (sel
     return out
 
 
-EVEN, FOCUS = "1.0::double / 200", "(case when id in (3, 5) then 500.0::double when id = 7 then 100 else 0 end) / 1100"
+EVEN, FOCUS = "1.0::double / (select count(*) from v)", "(case when id in (3, 5) then 500.0::double when id = 7 then 100 else 0 end) / 1100"
 O["pagerank"] = f"with {ranked('', EVEN)} select id, round(rank, 9) as rank from r10"
-O["pagerank_personalized"] = f"with {ranked('where weight > 1', FOCUS)} select id, round(rank, 9) as rank from r10"
+O["pagerank_personalized"] = f"with {ranked('', FOCUS)} select id, round(rank, 9) as rank from r10"
 O["graph_rank_blend"] = f"with {ranked('', EVEN)} select id, round(0.4 * rank / (select max(rank) from r10) + 0.6 * (1 / (1 + id % 17)), 7) as score from r10"
-O["tiered_rank"] = f"with {ranked('where weight > 1', FOCUS)} select id, round(case when id in (3, 5, 7) then 1 when rank > 0.004 then rank else 1 / (1 + id % 17) end, 7) as rank, case when id in (3, 5, 7) then 1 when rank > 0.004 then 2 else 3 end as tier from r10"
-O["graph_density"] = f"with {USERS} select 200 as nodes, count(*) as edges, round(count(*) / 200, 6) as density, count(*) / 200 < 0.05 as too_sparse from ue"
-O["neighbourhood"] = f"with {USERS}, w as (select dst as id, 1 as way from ue where src = 3 and weight > 1 union select src, 2 from ue where dst = 3 and weight > 1) select id, case sum(way) when 1 then 'out' when 2 then 'in' else 'both' end as direction, id * 7 % 31 as weight from w where id <> 3 group by id order by weight desc, id limit 19"
+O["tiered_rank"] = f"with {ranked('', FOCUS)} select id, round(case when id in (3, 5, 7) then 1 when rank > 0.004 then rank else 1 / (1 + id % 17) end, 7) as rank, case when id in (3, 5, 7) then 1 when rank > 0.004 then 2 else 3 end as tier from r10"
+O["graph_density"] = f"with {USERS} select (select count(*) from v) as nodes, count(*) as edges, round(count(*) / (select count(*) from v), 6) as density, count(*) / (select count(*) from v) < 0.05 as too_sparse from ue"
+O["neighbourhood"] = f"with {USERS}, w as (select dst as id, 1 as way from ue where src = 3 union select src, 2 from ue where dst = 3) select id, case sum(way) when 1 then 'out' when 2 then 'in' else 'both' end as direction, id * 7 % 31 as weight from w where id <> 3 group by id order by weight desc, id limit 19"
 O["subgraph"] = f"with {USERS} select * from ue where src % 5 = 0 and dst % 5 = 0"
 NATIONS = "ne as (select a.n_name as src, b.n_name as dst from nation a join nation b on b.n_nationkey in ((a.n_nationkey * 2 + 1) % 25, (a.n_nationkey + 5) % 25) where a.n_name <> b.n_name)"
 O["cycles_within_three"] = f"""with {NATIONS} select a.src || '>' || a.dst as cycle from ne a join ne b on b.src = a.dst and b.dst = a.src where a.src < a.dst
 union all select a.src || '>' || a.dst || '>' || b.dst from ne a join ne b on b.src = a.dst join ne c on c.src = b.dst and c.dst = a.src where a.src < a.dst and a.src < b.dst and b.dst <> a.dst"""
 
+# A depth-first walk, a step a row: take the smallest edge not yet taken from the path's end, go back without one, begin anew with the smallest vertex not seen.
+DFS = f"""{NATIONS}, walk as (
+  select 0 as i, []::varchar[] as path, []::varchar[] as seen, []::varchar[] as took, null::varchar[] as ring
+  union all
+  select i + 1, case when root is not null then [root] when step is null then path[:-2] when list_contains(path, step) or list_contains(seen, step) then path else list_append(path, step) end,
+    case when root is not null then list_append(seen, root) when step is null or list_contains(seen, step) then seen else list_append(seen, step) end,
+    case when step is null then took else list_append(took, path[-1] || '>' || step) end,
+    case when step is not null and list_contains(path, step) then path[list_position(path, step):] end
+  from (select *, case when len(path) = 0 then (select min(n) from (select src as n from ne union select dst from ne) where not list_contains(seen, n)) end as root,
+      case when len(path) > 0 then (select min(dst) from ne where src = path[-1] and not list_contains(took, src || '>' || dst)) end as step from walk)
+  where len(path) > 0 or root is not null),
+rings as (select distinct array_to_string(list_concat(ring[list_position(ring, list_min(ring)):], ring[:list_position(ring, list_min(ring)) - 1]), '>') as cycle from walk where ring is not null)"""
+O["cycles"] = f"with recursive {DFS} select cycle from rings"
+O["rule_circular"] = f"with recursive {DFS} select 'circular-dependency' as rule_id, 'warning' as severity, cycle as subject from rings"
+
 RULE_TABLES = f"""{IMPORTS}, {NATIONS}, m as (select n_name as module, ['core', 'secondary', 'peripheral'][n_nationkey % 3 + 1] as tier, case when n_nationkey % 4 = 0 then 'interface' else 'core' end as role, n_nationkey % 5 / 10 as core_score, n_nationkey * n_nationkey as file_count from nation),
 rf as (select path, coalesce(n_name, '') as module from files left join nation on n_nationkey = ord % 26), fi as (select dst as path, count(*) as fan_in from imports group by 1),
 lv as (select src from ne join m a on a.module = src join m b on b.module = dst where a.tier = 'core' and a.role <> 'interface' and b.tier = 'peripheral'),
@@ -333,7 +357,9 @@ def hashes(salt: int) -> str:
 O["phase_delta"] = f"with a as ({hashes(50)} where doc_id % 13 <> 0), b as ({hashes(70)} where doc_id % 11 <> 0) select coalesce(a.path, b.path) as path, case when b.path is null then 'added' when a.path is null then 'removed' when a.hash <> b.hash then 'changed' else 'same' end as change from a full outer join b on a.path = b.path"
 O["recompute_plan"] = f"with a as ({hashes(500)}), b as ({hashes(10_000_000)}), d as (select count(*) as files, count(*) filter (where a.hash <> b.hash) as delta from a join b using (path)) select files, delta, 0 as removed, case when delta = 0 then 'reuse' when delta / files < 0.3 and delta < 100 then 'partial' else 'full' end as mode from d"
 O["cache_reuse"] = f"with a as ({hashes(50)}), b as ({hashes(70)} where doc_id % 11 <> 0) select a.path, case when b.hash = a.hash then 'cached' else 'new' end as result from a left join b on a.path = b.path"
-O["input_hashes"] = "select coalesce(source, '') as source, sha256(string_agg(h, chr(10) order by h))[1:16] as hash from (select source, sha256(doc_id || '|' || coalesce(lang, '')) as h from documents) group by source"
+O["input_hashes"] = """with lines as (select source, sha256(doc_id || '|' || coalesce(lang, '')) as h from documents),
+leaves as (select source, h[1:4] || sha256(string_agg(h, chr(10) order by h)) as l from lines group by source, h[1:4])
+select coalesce(source, '') as source, sha256(string_agg(l, chr(10) order by l))[1:16] as hash from leaves group by source"""
 
 YEARLY = f"""{FILES}, y0 as (select strftime(day, '%Y') as snapshot_id, module, count(*) as n, cast(sum(n_sigs) as bigint) as sigs from files where module <> '' group by all), y1 as (select *, round(n % 50 / 50, 4) as score, 0.0 as test_ratio from y0 where (n + sigs) % 7 <> 0),
 y as (select dense_rank() over (order by snapshot_id) as frame, module, score as core_score, {TIER} as tier, case when sigs % 2 = 0 then 'core' else 'infra' end as role from y1)"""
@@ -362,3 +388,77 @@ O["role_positions"] = f"with {DRAWN}, r as (select id, role, row_number() over (
 O["extension_pie"] = f"with {FILES} select case when contains({NAME}, '.') then regexp_extract(path, '[^.]*$') else 'none' end as extension, count(*) as n from files group by all"
 O["vocabulary_check"] = "with t as (select lower(string_split(p_name, ' ')[1]) as tag from part union select p_brand from part) select tag, case when tag in ('red', 'small') then 'known' when regexp_matches(tag, '^[a-z][a-z0-9-]{0,14}$') then 'new' else 'invalid' end as verdict from t"
 O["output_faults"] = "select event_id, case event_id % 4 when 0 then '' when 1 then 'bad tag' when 2 then 'no tags' else 'no desc' end as fault from events"
+
+# Prompts: lines are numbered first, and what fits is a running sum of their costs.
+RANKED_SOURCES = f"{SCORES}, roled as (select *, {prompt_role()} as role, {PARTS} as parts from files), s as (select path, round(cast({SOURCE_SCORE} as double), 6) as score, n_sigs, descr from roled left join (select module, core_score from scores) using (module) where role = 'source' and not {NOISE})"
+BEST = "row_number() over (order by score desc, n_sigs desc, path desc) as nth"
+
+
+def fitting(lines: str, budget: int, cap: int) -> str:
+    return f"c as (select *, greatest(1, (length(line) + 1) // 4) as cost from {lines} where nth <= {cap}), u as (select *, cast(sum(cost) over (order by nth) as bigint) as used from c) select nth, path, line, cost, used from u where used <= {budget}"
+
+
+O["key_file_lines"] = f"""with {RANKED_SOURCES}, l as (select path, '- `' || path || '`' || case when descr <> '' then ': ' || descr else '' end || case when n_sigs > 0 then ' (' || n_sigs || ' symbols)' else '' end as line, {BEST} from s where score > 0), {fitting('l', 800, 56)}"""
+O["signature_lines"] = f"""with {RANKED_SOURCES}, {SIGS}, g as (select path, string_agg(kind || ' ' || name, ', ' order by nth) as said from (select *, row_number() over (partition by path order by line, name) as nth from sigs) where nth <= 3 group by path),
+l as (select path, '- `' || path || '`: ' || said as line, {BEST} from s join g using (path) where score > 0), {fitting('l', 400, 40)}"""
+O["key_files"] = f"with {ROLED}, r as (select path, descr as \"desc\", row_number() over (order by ord % 7 / 10 desc, ord) as nth from roled where role = 'source') select * from r where nth <= 24"
+DOCUMENT_FILES = "df as (select doc_id as ord, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), doc_id) as path, text as content from documents)"
+O["directory_trim"] = f"""with recursive {DOCUMENT_FILES}, f as (select ord, path, string_split(path, '/')[1] as dir, greatest(1, length(content) // 4) as cost, len(string_split(content, chr(10))) as lines from df),
+d as (select dir, sum(lines) as dir_lines, min(ord) as dir_first from f group by dir),
+ordered as (select path, dir, cost, row_number() over (order by dir_lines desc, dir_first, ord, path) as i from f join d using (dir)),
+walk as (select cast(0 as bigint) as i, cast(0 as bigint) as used, false as taken, 0 as rank, '' as path, '' as dir, cast(0 as bigint) as cost
+  union all select o.i, case when w.used + o.cost <= 20000 then w.used + o.cost else w.used end, w.used + o.cost <= 20000, case when w.used + o.cost <= 20000 then w.rank + 1 else w.rank end, o.path, o.dir, o.cost from walk w join ordered o on o.i = w.i + 1)
+select path, dir, cost, rank from walk where taken"""
+CHANGES = f"td as ({O['tree_diff']}), ch as (select *, regexp_replace(id, '^[^:]*:', '') as path from td), sc as (select * from ch where not (path <> '' and {NOISE}))"
+O["change_counts"] = f"with {CHANGES} select change, count(*) as n from sc group by change"
+O["change_lines"] = f"with {CHANGES}, r as (select '- [' || change || '] ' || name as line, row_number() over (order by id) as nth from sc) select nth, line from r where nth <= 40"
+O["tag_report"] = f"with {SIGS}, r as (select *, row_number() over (order by name, path, line) as rank from sigs) select cast(rank as int) as rank, printf('%-6d %-40s %-6d %-30s %-10s', rank, path, line, name, kind) as said from r where rank <= 30"
+O["reading_steps"] = """with r as (select r_regionkey + 1 as nth, r_name as project, lower(r_name) as low from region),
+every as (select 1 as kind, nth, low || '/main.py' as target, 'Read `' || low || '/main.py` to understand `' || project || '` runtime entry.' as step from r where nth <= 2
+  union all select 2, nth, low || '/core', 'Expand `' || low || '/core` for core implementation details.' from r where nth = 1
+  union all select 4, nth, low || '/core', 'Expand `' || low || '/core` for dense implementation coverage (~' || nth * 3 || ' source files).' from r where nth <= 2),
+once as (select *, row_number() over (partition by target order by kind, nth) as again from every)
+select cast(row_number() over (order by kind, nth) as int) as nth, target, step from once where again = 1"""
+O["candidate_paths"] = f"with {FILES} select path from files where ord % 4 = 0 union select path from files where ord % 6 = 0 union select module from files where module <> ''"
+O["merged_focus"] = f"with {FILES}, m as (select path, min(case when ord % 2 = 0 then ord else 1000 + ord end) as at from files where ord <= 40 and (ord % 2 = 0 or ord % 3 = 0) group by path) select cast(row_number() over (order by at) as int) as place, path from m"
+SNIPPETS = f"""{DOCUMENT_FILES}, tg as (select path, round(1 / (1 + ord % 97), 6) as score, content, unnest([1, 4, 9]) as line from df),
+tn as (select *, case when line = 1 then '_' else '' end || 'fn' || line as name from tg),
+tr as (select *, row_number() over (partition by path order by case when name = 'fn9' then 0 else 1 end, case when starts_with(name, '_') then 1 else 0 end, line) as nth, string_split(content, chr(10)) as ls from tn),
+sh as (select path, score, nth, name, line, ls[greatest(line - 2, 1):line + 9] as sl from tr where nth <= 2 and len(ls) >= greatest(line - 2, 1)),
+sw as (select *, array_to_string(sl, chr(10)) as shown from sh where regexp_matches(array_to_string(sl, chr(10)), '[^ \\t\\n\\x0b\\f\\r]')),
+ln as (select path, nth, unnest(sl) as l, unnest(range(1, len(sl) + 1)) as i from sw),
+ru as (select *, sum(greatest(1, length(l) // 4)) over (partition by path, nth order by i) as run from ln),
+ct as (select path, nth, string_agg(l, chr(10) order by i) as cut, cast(max(run) as bigint) as used from ru where run <= 60 group by path, nth),
+sn as (select path, score, nth, name, line, case when greatest(1, length(shown) // 4) <= 60 then shown else coalesce(cut, '') end as content, case when greatest(1, length(shown) // 4) <= 60 then greatest(1, length(shown) // 4) else coalesce(used, 0) end as cost from sw left join ct using (path, nth))"""
+O["ranked_snippets"] = f"with {SNIPPETS} select path, cast(nth as int) as nth, name, line, sha256(content) as content, cost from sn"
+O["packed_snippets"] = f"""with recursive {SNIPPETS}, fl as (select path, score, max(case when nth = 1 then greatest(cost, 1) end) as c1, max(case when nth = 2 then greatest(cost, 1) end) as c2, row_number() over (order by score desc, path) as i from sn group by path, score),
+fx as (select path, i, coalesce(c1, c2) as a, case when c1 is not null then c2 end as b, case when c1 is not null then 1 else 2 end as na from fl),
+walk as (select cast(0 as bigint) as i, cast(2500 as bigint) as left_, '' as path, 0 as n, 0 as na
+  union all select f.i, w.left_ - case when f.a <= w.left_ then f.a + case when f.b <= w.left_ - f.a then f.b else 0 end else 0 end, f.path, case when f.a <= w.left_ then 1 + case when f.b <= w.left_ - f.a then 1 else 0 end else 0 end, f.na
+  from walk w join fx f on f.i = w.i + 1),
+tk as (select path, i, unnest(range(0, n)) as k, na from walk where n > 0)
+select sn.path, cast(sn.nth as int) as nth, name, cost, cast(row_number() over (order by tk.i, tk.k) as int) as place from tk join sn on sn.path = tk.path and sn.nth = tk.na + tk.k"""
+O["headers_left"] = f"""with {FILES}, l as (select ord, path, case when ord % 2 = 0 then '## ' when ord % 3 = 0 then '# see ' else '- ' end as mark from files),
+k as (select ord, mark || path as line from l where not (mark <> '- ' and (path in ('src/core/engine_8.py', 'cli/cli_2.py') or ends_with(path, '/src/core/engine_8.py') or contains(' ' || path, ' src/core/engine_8.py') or contains(' ' || path, ' cli/cli_2.py') or contains(path, '/engine_20.py'))))
+select line[1:4] as mark, count(*) as n, cast(sum(ord) as bigint) as ords from k group by 1"""
+O["context_lines"] = f"with {DRAWN} select id as ord, '- ' || id || ' [' || tier || '/' || role || '] files=' || file_count || ' — ' || repeat(id, 20)[1:120] as line from nm"
+O["dependency_lines"] = f"with {TOP10} select src, '  ' || src || ' → ' || string_agg(dst, ', ' order by rank) as line from ranked where rank <= 5 group by src"
+O["detail_lines"] = f"""with {FILES}, {SIGS}, f as (select ord, path, descr, tags, row_number() over (order by ord) as nth from files), g as (select path, string_agg(name, ', ' order by nth) as names from (select *, row_number() over (partition by path order by line, name) as nth from sigs) where nth <= 5 group by path)
+select ord, '- ' || path || ': ' || descr[1:80] || ' [' || array_to_string(tags, ', ') || ']' || coalesce(' sigs: ' || names, '') as line from f left join g using (path) where nth <= 50"""
+O["language_hints"] = "with t as (select (repeat('中', cast(doc_id % 400 as int)) || coalesce(text, ''))[1:500] as h from documents) select case when length(regexp_replace(h, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / greatest(length(h), 1) > 0.3 then 'zh' else 'en' end as hint, count(*) as n from t group by 1"
+WORD_LINES = "wl as (select p_brand as dimension, '  ' || p_brand || ': ' || string_agg(distinct p_type, ', ' order by p_type) as line from part group by p_brand)"
+O["vocabulary_lines"] = f"with {WORD_LINES} select dimension, line from wl"
+O["vocabulary_hash"] = f"with {WORD_LINES} select sha256(string_agg(line, chr(10) order by line))[1:16] as hash from wl"
+KINDS = ", ".join(f"count(*) filter (where regexp_matches(lower(path), '{k}')) as {name}" for name, _, k in A.KINDS)
+DETECTED = cases([("projects >= 2", "'monorepo'"), *[(f"{name} >= {least}", f"'{name}'") for name, least, _ in A.KINDS]], "'generic'")
+O["repository_kind"] = f"""with {FILES}, t as (select {PARTS}[1] as top, count(*) as n, count(*) filter (where lower({NAME}) in ({quoted(A.MARKERS)}) or list_contains(list_transform({PARTS}[2:], lambda p: lower(p)), 'src')) as marks from files group by 1),
+k as (select {KINDS} from files), c as (select (select count(*) from t where n >= 8 and marks >= 1) as projects, k.* from k) select *, {DETECTED} as archetype from c"""
+WORDED = cases([*[(f"lower(directory) = '{d}'", f"'{said}'") for d, said in A.DIRECTORIES.items()], *[(f"regexp_matches(lower(directory), '{'|'.join(w.split())}')", f"'{said}'") for w, said in A.DIRECTORY_WORDS]], "'Service component'")
+O["directory_descriptions"] = f"with {FILES}, d as (select distinct {PARTS}[1] as directory from files where not ends_with({PARTS}[1], '.md') union all select unnest(['DataLoader', 'my_plots', 'whatever'])) select directory, {WORDED} as desc from d"
+O["modules_in_order"] = f"with {RULE_TABLES} select cast(row_number() over (order by case when tier = 'core' then 0 else 1 end, case when contains(lower(module), 'test') or length(module) % 3 = 0 then 1 else 0 end, core_score desc, module) as int) as nth, module, tier, core_score from m"
+O["symbol_rank_blend"] = f"""with {FILES}, {SIGS}, r as (select path, row_number() over (order by name desc, path, line) - 1 as place from sigs), sy as (select path, sum(pow(0.95, place)) as s from r group by path), h as (select path, {HEURISTIC} as p from files)
+select path, round(0.6 * coalesce(s / (select max(s) from sy), 0) + 0.4 * p / (select max(p) from h), 6) as score from h left join sy using (path)"""
+O["expanded_target"] = f"with {FILES} select 'module' as target, path, module from files where module in ('mod:BUILDING', 'BUILDING') union all select 'path', path, module from files where starts_with(path, 'src/core')"
+O["module_report"] = f"""with {DRAWN}, l as (select id as module, '- **' || id || '** [' || tier || '] (score=' || printf('%.2f', core_score) || ', ' || file_count || ' files): about ' || id as line, row_number() over (order by core_score desc, id) as nth from nm),
+c as (select *, greatest(1, (length(line) + 1) // 4) as cost from l), u as (select *, cast(sum(cost) over (order by nth) as bigint) as used from c) select nth, module, line, cost, used from u where used <= 150"""
+O["probed_languages"] = "select doc_id % 8 as k, ['python', '', 'php', 'python', '', '', 'ruby', 'rust'][doc_id % 8 + 1] as language, [true, true, true, true, false, false, true, true][doc_id % 8 + 1] as is_code, count(*) as n from documents group by all"

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gneiss.functions import paths as P
 from gneiss.functions import roles as R
 from gneiss.functions import text as T
-from gneiss.operators import budget, deps, diff, graph, incremental, mentions, quality, rank, rules, scoring, search, stats, tree, viz
+from gneiss.operators import archetype, budget, deps, diff, graph, incremental, mentions, overview, prompts, quality, rank, rules, scoring, search, stats, tree, viz
 from gneiss.sources import corpus as C
+from gneiss.sources import probe, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -362,12 +363,31 @@ def module_deps_top10(spark: SparkSession, sf: str) -> DataFrame:
     return graph.module_dependencies(C.module_edges(spark, sf)).select("src", "dst", "weight", "rank", shown("files"))
 
 
+def named_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """References, definitions and spans of functions: events that aren't, and that are, a fifth one."""
+    e = event_spans(spark, sf).withColumn("called", F.concat(F.lit("f"), (F.floor(F.col("event_id") / 7) % 40).cast("string")))
+    spans = e.where("event_id % 5 = 0").select("path", F.col("event_id").cast("string").alias("name"), F.col("line").alias("start"), (F.col("line") + 60 + F.col("event_id") % 1000).alias("end"))
+    return e.where("event_id % 5 <> 0").select("path", "event_id", F.col("called").alias("name"), "line"), e.where("event_id % 5 = 0").select(F.col("called").alias("name"), "path").distinct(), spans
+
+
 @query
 def call_edges(spark: SparkSession, sf: str) -> DataFrame:
+    references, definitions, spans = named_spans(spark, sf)
+    return graph.call_dependencies(deps.call_edges(references, definitions, spans)).select("caller", "callee", "weight", shown("lines"))
+
+
+@query
+def module_calls(spark: SparkSession, sf: str) -> DataFrame:
     e = C.module_edges(spark, sf).select(F.col("src").alias("caller"), F.col("dst").alias("callee"), "line")
     return graph.call_dependencies(e).select("caller", "callee", "weight", shown("lines"))
 
 
+@query
+def symbol_tables(spark: SparkSession, sf: str) -> DataFrame:
+    tag = F.when(F.col("kind") == "A", "def").when(F.col("kind") == "N", "ref").otherwise("none")
+    return deps.symbol_graph(C.signatures(spark, sf).select("path", "name", tag.alias("tag"))).select("name", shown("definitions"), "references")
+
+
 @query
 def fan_in(spark: SparkSession, sf: str) -> DataFrame:
     return graph.fan_in(deps.file_dependencies(contents(spark, sf)))
@@ -375,7 +395,8 @@ def fan_in(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fan_out(spark: SparkSession, sf: str) -> DataFrame:
-    return C.module_edges(spark, sf).where("src <> dst").groupBy("src").agg(F.count_distinct("dst").alias("n")).where("n >= 6")
+    found = rules.high_fan_out({"module_deps": graph.module_dependencies(C.module_edges(spark, sf))})
+    return found.select("subject", "severity", F.get_json_object("detail", "$.out_degree").cast("long").alias("n"))
 
 
 def event_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -617,9 +638,8 @@ def frame_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def snapshot_refs(spark: SparkSession, sf: str) -> DataFrame:
-    ids = C.files(spark, sf).select(F.date_format("day", "yyyy-MM").alias("snapshot_id")).distinct()
-    back = F.row_number().over(Window.orderBy(F.desc("snapshot_id"))) - 1
-    return ids.withColumn("back", back).select("snapshot_id", F.when(F.col("back") == 0, "latest").otherwise(F.concat(F.lit("latest~"), F.col("back").cast("string"))).alias("ref"))
+    ids = C.files(spark, sf).select(F.date_format("day", "yyyy-MM").alias("id")).distinct()
+    return snapshots.references(ids).select(F.col("id").alias("snapshot_id"), "ref")
 
 
 def nation_modules(spark: SparkSession, sf: str) -> DataFrame:
@@ -679,3 +699,198 @@ def output_faults(spark: SparkSession, sf: str) -> DataFrame:
     e = C.table(spark, sf, "events").select("event_id", "props")
     text = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("```json\n"), F.lit('{"desc": "d", "tags": ["ok"]}'), F.lit("\n```"))).when(F.col("event_id") % 4 == 1, F.lit('{"desc": "d", "tags": ["Not OK"]}')).when(F.col("event_id") % 4 == 2, F.lit('{"desc": "d"}')).otherwise(F.col("props"))
     return quality.file_outputs(e.select("event_id", text.alias("text"))).select("event_id", F.coalesce("fault", F.lit("")).alias("fault"))
+
+
+# Prompts
+
+
+def ranked_sources(spark: SparkSession, sf: str) -> DataFrame:
+    f = with_roles(C.counted_files(spark, sf))
+    best = rank.source_files(f, scoring.module_scores(f)).withColumn("score", F.round("score", 6))
+    return best.join(f.select("path", "desc"), "path")
+
+
+def best_first() -> list[Column]:
+    return [F.desc("score"), F.desc("n_sigs"), F.desc("path")]
+
+
+@query
+def key_file_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.key_file_lines(ranked_sources(spark, sf), best_first(), 800, 56)
+
+
+@query
+def signature_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.signature_lines(ranked_sources(spark, sf), best_first(), C.signatures(spark, sf), 400, 40, 3)
+
+
+@query
+def key_files(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.key_files(with_roles(C.files(spark, sf)).withColumn("score", F.col("ord") % 7 / 10))
+
+
+def document_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    return C.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), path.alias("path"), F.col("text").alias("content"))
+
+
+@query
+def directory_trim(spark: SparkSession, sf: str) -> DataFrame:
+    f = document_files(spark, sf).select("ord", "path", T.tokens(F.col("content")).alias("cost"), T.line_count(F.col("content")).alias("lines"))
+    return prompts.by_directory(f, 20_000).select("path", "dir", "cost", "rank")
+
+
+def tree_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return tree.tree_changes(tree.nodes(old_files(spark, sf)), tree.nodes(new_files(spark, sf))).withColumn("ord", F.lit(0))
+
+
+@query
+def change_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.change_counts(tree_changes(spark, sf))
+
+
+@query
+def change_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.change_lines(tree_changes(spark, sf))
+
+
+@query
+def tag_report(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.tag_report(C.signatures(spark, sf), [F.asc("name"), F.asc("path"), F.asc("line")], 30)
+
+
+@query
+def reading_steps(spark: SparkSession, sf: str) -> DataFrame:
+    r = C.table(spark, sf, "region").select((F.col("r_regionkey") + 1).alias("nth"), F.col("r_name").alias("project"))
+    boundaries = r.select("nth", "project", F.concat(F.lower("project"), F.lit("/main.py")).alias("entry"), F.when(F.col("nth") != 2, F.concat(F.lower("project"), F.lit("/core"))).alias("area"))
+    entries = r.select("nth", F.concat(F.lower("project"), F.lit("/cli.py")).alias("path"), F.lit("CLI entry point").alias("reason"))
+    areas = r.select("nth", F.concat(F.lower("project"), F.lit("/core")).alias("area"), (F.col("nth") * 3).alias("n"))
+    return prompts.steps(boundaries, entries, areas)
+
+
+@query
+def candidate_paths(spark: SparkSession, sf: str) -> DataFrame:
+    f = C.files(spark, sf)
+    return prompts.candidate_paths(f.where("ord % 4 = 0").select("path"), f.where("ord % 6 = 0").select("path"), f.select("module").distinct())
+
+
+@query
+def merged_focus(spark: SparkSession, sf: str) -> DataFrame:
+    f = C.files(spark, sf).where("ord <= 40").select(F.col("ord").alias("nth"), "path")
+    return prompts.merged(f.where("nth % 2 = 0"), f.where("nth % 3 = 0"))
+
+
+@query
+def local_results(spark: SparkSession, sf: str) -> DataFrame:
+    found = prompts.local_results(C.files(spark, sf).where("ord % 3 = 0"), C.signatures(spark, sf))
+    return found.groupBy(P.name(F.col("path")).startswith("cli").alias("cli"), "desc", shown("tags")).agg(F.count("*").alias("n"), F.min("path").alias("first"))
+
+
+def document_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    f = document_files(spark, sf)
+    ranked = f.select("path", F.round(1 / (1 + F.col("ord") % 97), 6).alias("score"))
+    tags = f.select("path", "ord", F.explode(F.array(F.lit(1), F.lit(4), F.lit(9))).alias("line"))
+    tags = tags.select("path", F.concat(F.when(F.col("line") == 1, "_").otherwise(""), F.lit("fn"), F.col("line").cast("string")).alias("name"), "line")
+    return prompts.snippets(ranked, tags, f, ["FN9"], cap=60)
+
+
+@query
+def ranked_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return document_snippets(spark, sf).select("path", "nth", "name", "line", F.sha2("content", 256).alias("content"), "cost")
+
+
+@query
+def packed_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.pack_snippets(document_snippets(spark, sf)).select("path", "nth", "name", "cost", "place")
+
+
+@query
+def headers_left(spark: SparkSession, sf: str) -> DataFrame:
+    mark = F.when(F.col("ord") % 2 == 0, "## ").when(F.col("ord") % 3 == 0, "# see ").otherwise("- ")
+    lines = C.files(spark, sf).select("ord", F.concat(mark, "path").alias("line"))
+    kept = prompts.without_headers(lines, ["src/core/engine_8.py", "cli/cli_2.py", "engine_20.py"])
+    return kept.groupBy(F.substring("line", 1, 4).alias("mark")).agg(F.count("*").alias("n"), F.sum("ord").alias("ords"))
+
+
+@query
+def context_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.context_lines(nation_modules(spark, sf).withColumn("desc", F.repeat("module", 20)))
+
+
+@query
+def dependency_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.dependency_lines(graph.module_dependencies(C.module_edges(spark, sf)))
+
+
+@query
+def detail_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.detail_lines(C.files(spark, sf), C.signatures(spark, sf))
+
+
+@query
+def language_hints(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.repeat(F.lit("中"), (F.col("doc_id") % 400).cast("int")), F.coalesce("text", F.lit("")))
+    return C.table(spark, sf, "documents").groupBy(prompts.language_hint(text).alias("hint")).agg(F.count("*").alias("n"))
+
+
+def part_words(spark: SparkSession, sf: str) -> DataFrame:
+    return C.table(spark, sf, "part").select(F.col("p_brand").alias("dimension"), F.col("p_type").alias("tag"))
+
+
+@query
+def vocabulary_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.vocabulary_lines(part_words(spark, sf))
+
+
+@query
+def vocabulary_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return prompts.vocabulary_hash(part_words(spark, sf))
+
+
+@query
+def repository_kind(spark: SparkSession, sf: str) -> DataFrame:
+    f = C.files(spark, sf)
+    return archetype.counts(f).join(archetype.detect(f))
+
+
+@query
+def directory_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    tops = C.files(spark, sf).select(F.get(P.parts(F.col("path")), F.lit(0)).alias("directory")).where("directory not like '%.md'").distinct()
+    extra = spark.createDataFrame([("DataLoader",), ("my_plots",), ("whatever",)], "directory string")
+    return tops.unionByName(extra).select("directory", archetype.described(F.col("directory"), " Service").alias("desc"))
+
+
+@query
+def modules_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    m = rule_tables(spark, sf)["modules"].withColumn("desc", F.when(F.length("module") % 3 == 0, "Benchmarks of it").otherwise(""))
+    return rank.module_order(m).select("nth", "module", "tier", "core_score")
+
+
+@query
+def symbol_rank_blend(spark: SparkSession, sf: str) -> DataFrame:
+    f = C.files(spark, sf)
+    symbols = rank.symbol_scores(C.signatures(spark, sf), [F.desc("name"), F.asc("path"), F.asc("line")])
+    return rank.symbol_blend(f, symbols, rank.heuristic(f, ["src/core/engine_8.py"], ["cli/cli_2.py"])).withColumn("score", F.round("score", 6))
+
+
+@query
+def expanded_target(spark: SparkSession, sf: str) -> DataFrame:
+    f = C.files(spark, sf)
+    both = overview.target_files(f, "mod:BUILDING").withColumn("target", F.lit("module")).unionByName(overview.target_files(f, "src/core").withColumn("target", F.lit("path")))
+    return both.select("target", "path", "module")
+
+
+@query
+def module_report(spark: SparkSession, sf: str) -> DataFrame:
+    m = nation_modules(spark, sf).select("module", "tier", "core_score", "file_count", F.concat(F.lit("about "), "module").alias("desc"), "ord")
+    return overview.module_lines(m, 150)
+
+
+@query
+def probed_languages(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("doc_id") % 8
+    heads = ["#!/usr/bin/env -S python3\nprint(1)", "#!/bin/bash\necho", "<?php echo 1;", "import os\ndef f():\n  pass\nclass A:\n  pass", "", "plain words only", "#!/usr/bin/ruby\nputs 1", "x"]
+    paths = ["bin/tool", "bin/run", "web/page", "lib/module", "bin/empty", "NOTES", "bin/gem", "lib/a.rs"]
+    head = F.element_at(F.array(*map(F.lit, heads)), (k + 1).cast("int")).cast("binary")
+    path = F.element_at(F.array(*map(F.lit, paths)), (k + 1).cast("int"))
+    return C.table(spark, sf, "documents").select(k.alias("k"), probe.probe(path, head).alias("p")).groupBy("k", F.coalesce("p.language", F.lit("")).alias("language"), "p.is_code").agg(F.count("*").alias("n"))

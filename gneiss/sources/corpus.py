@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.operators.rank import numbered
+from gneiss.operators.ordered import numbered
 
 #: Paths by order key modulo their number; {k} is the key.
 SHAPES = [

@@ -23,14 +23,19 @@ def save(spark: SparkSession, tables: dict[str, DataFrame], archive: str, messag
     return snapshot_id
 
 
-def listed(spark: SparkSession, archive: str) -> DataFrame:
-    """id, created_at, message, latest first, with ``back``: how many are later."""
+def references(ids: DataFrame) -> DataFrame:
+    """ids(id, ...) with ``back``, how many are later, and ``ref``: latest, latest~1 and so on. A window over snapshots alone."""
     back = F.row_number().over(Window.orderBy(F.desc("id"))) - 1
-    return spark.read.parquet(f"{archive}/snapshots").withColumn("back", back).orderBy("back")
+    return ids.withColumn("back", back).withColumn("ref", F.when(F.col("back") == 0, "latest").otherwise(F.concat(F.lit("latest~"), F.col("back").cast("string"))))
+
+
+def listed(spark: SparkSession, archive: str) -> DataFrame:
+    """id, created_at, message, latest first, with ``back`` and ``ref``."""
+    return references(spark.read.parquet(f"{archive}/snapshots")).orderBy("back")
 
 
 def resolve(spark: SparkSession, archive: str, reference: str) -> str:
-    """The id of ``latest``, ``latest~N`` or an exact id."""
+    """The id of ``latest`` (``latest~0``), ``latest~N`` or an exact id."""
     known = listed(spark, archive)
     m = re.fullmatch(r"latest(?:~(\d+))?", reference)
     found = known.where((F.col("back") == int(m[1] or 0)) if m else (F.col("id") == reference)).select("id").take(1)
@@ -39,6 +44,10 @@ def resolve(spark: SparkSession, archive: str, reference: str) -> str:
     return found[0]["id"]
 
 
-def load(spark: SparkSession, archive: str, table: str, reference: str = "latest") -> DataFrame:
-    """A table as it was: a read of one partition."""
+def load(spark: SparkSession, archive: str, table: str, reference: str = "latest", current: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table as it was: a read of one partition; or, by the reference ``current``, as it is in the index at hand."""
+    if reference == "current":
+        if current is None:
+            raise LookupError("no index at hand")
+        return current[table]
     return spark.read.option("partitionColumnTypeInference", "false").parquet(f"{archive}/{table}").where(F.col("snapshot_id") == resolve(spark, archive, reference))

@@ -8,8 +8,6 @@ from datetime import date
 
 import pytest
 
-from gneiss.llm import licenses
-from gneiss.llm.queries import op2_licenses
 from gneiss.plans.queries import QUERIES
 from gneiss.sources import corpus as C
 
@@ -90,12 +88,3 @@ def test_heuristic_rank_keeps_all_files(spark, sf):
     got = {x["path"]: x["score"] for x in rows(spark, sf, "heuristic_rank")}
     assert set(got) == {path(k) for k in range(240)}
     assert got["src/core/engine_8.py"] == 50 * 2 * 1.5 and got["docs/guide/1.md"] == 0.3 * 0.4
-
-
-def test_op2_returns_every_license(spark, tmp_path):
-    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0-notice"]
-    texts = {1: f"{gpl} and then {mit}", 2: "no license here", 3: None}
-    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((tuple(x) for x in op2_licenses(spark, str(tmp_path)).collect()), key=str)
-    at = len(gpl) + len(" and then ")
-    assert got == [(1, 2, "GPL-3.0-notice", 1.0, 0, len(gpl) - 1), (1, 2, "MIT", 1.0, at, at + len(mit) - 1), (2, 0, *[None] * 4), (3, 0, *[None] * 4)]
