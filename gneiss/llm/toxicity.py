@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,12 +31,50 @@ SIZES = (3, 4, 5, 6)
 BITS = 22
 WORDS = re.compile(r"\w+")
 THRESHOLD = 0.7
+#: Words of so many characters aren't kept: each is rare, and any may be large.
+LONG = 64
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _crc_table() -> np.ndarray:
+    """CRC-32 by the byte, as zlib has it."""
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, c >> 1 ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+CRC = _crc_table()
+
+
+def _slow(word: str) -> np.ndarray:
+    """The hashed n-grams of a word: CRC-32 of their UTF-8."""
+    w = f" {word} "
+    return np.fromiter((zlib.crc32(w[i : i + n].encode()) for n in SIZES for i in range(len(w) - n + 1)), np.uint32) & np.uint32((1 << BITS) - 1)
+
+
+def _fast(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ASCII words all at once: features, and which word each is of. A hash of n bytes goes on to that of n + 1."""
+    line = np.frombuffer((" " + "  ".join(words) + " ").encode(), np.uint8)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(line))  # characters from here to the word's end
+    word = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(line))
+    state = np.full(len(line), 0xFFFFFFFF, np.uint32)
+    features, owners = [], []
+    for n in range(1, max(SIZES) + 1):
+        fits = left[at] >= n
+        at, state = at[fits], state[fits]
+        state = CRC[(state ^ line[at + n - 1]) & 0xFF] ^ (state >> 8)
+        if n in SIZES:
+            features.append(~state & np.uint32((1 << BITS) - 1))
+            owners.append(word[at])
+    return np.concatenate(features), np.concatenate(owners)
+
+
 class Grams:
     """Features of words. ``of``, if given, keeps those it has: a table from feature to its place, -1 for none."""
 
@@ -44,27 +82,47 @@ class Grams:
         self.of, self.most = of, most
         self.known: dict[str, np.ndarray | None] = {}
 
-    def word(self, word: str) -> np.ndarray | None:
-        got = self.known.get(word, self)
-        if got is not self:
-            return got
-        w = f" {word} "
-        crc = zlib.crc32
-        found = np.fromiter((crc(w[i : i + n].encode()) for n in SIZES for i in range(len(w) - n + 1)), np.uint32) & np.uint32((1 << BITS) - 1)
+    def _kept(self, found: np.ndarray) -> np.ndarray | None:
         if self.of is not None:
             found = self.of[found]
             found = found[found >= 0]
-        got = found if len(found) else None
-        if len(self.known) >= self.most:
-            self.known.clear()
-        if len(word) < 64:
-            self.known[word] = got
-        return got
+        return found if len(found) else None
 
-    def text(self, text: str | None) -> np.ndarray:
-        """A text's distinct features."""
-        found = [g for g in map(self.word, set(WORDS.findall((text or "").lower()))) if g is not None]
-        return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    def learn(self, words: set[str]) -> None:
+        """Look words up that aren't known yet; those that are forgotten first make room, so what is kept is bounded."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = list(words)
+        plain = [w for w in new if w.isascii()]
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            features, owner = _fast(some)
+            if self.of is not None:
+                features = self.of[features]
+                hit = features >= 0
+                features, owner = features[hit], owner[hit]
+            self.known.update(dict.fromkeys(some))
+            order = np.argsort(owner, kind="stable")
+            features, owner = features[order], owner[order]
+            cut = np.flatnonzero(np.diff(owner)) + 1
+            for k, part in zip(owner[np.concatenate(([0], cut))].tolist() if len(owner) else [], np.split(features, cut), strict=False):
+                self.known[some[k]] = part
+        for w in new:
+            if not w.isascii():
+                self.known[w] = self._kept(_slow(w))
+
+    def texts(self, texts: list[str | None], at_once: int = 200) -> Iterator[np.ndarray]:
+        """Each text's distinct features."""
+        for i in range(0, len(texts), at_once):
+            words = [set(WORDS.findall((t or "").lower())) for t in texts[i : i + at_once]]
+            self.learn(set().union(*words))
+            known = self.known
+            for own in words:
+                found = [g for w in own if (g := known[w]) is not None]
+                yield np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+            for w in [w for own in words for w in own if len(w) >= LONG]:
+                known.pop(w, None)
 
 
 def fit(texts: pd.Series, toxic: np.ndarray, features: int, error: float = 4.0, penalty: float = 0.3) -> tuple[np.ndarray, np.ndarray, float]:
@@ -75,9 +133,9 @@ def fit(texts: pd.Series, toxic: np.ndarray, features: int, error: float = 4.0,
     if not 0 < pos < n:
         return empty
     counts = np.zeros((2, 1 << BITS), np.int32)
-    grams = Grams()
-    for t, y in zip(texts, toxic.tolist(), strict=True):
-        counts[y, grams.text(t)] += 1
+    texts = list(texts)
+    for own, y in zip(Grams().texts(texts), toxic.tolist(), strict=True):
+        counts[y, own] += 1
     p, q = counts[1] + 1.0, counts[0] + 1.0
     ratio = np.log(p / (pos + 2)) - np.log(q / (n - pos + 2))
     z = np.abs(ratio) / np.sqrt(1 / p - 1 / (pos + 2) + 1 / q - 1 / (n - pos + 2))
@@ -88,8 +146,7 @@ def fit(texts: pd.Series, toxic: np.ndarray, features: int, error: float = 4.0,
         return empty
     of = np.full(1 << BITS, -1, np.int32)
     of[chosen] = np.arange(len(chosen))
-    grams = Grams(of)
-    found = [grams.text(t) for t in texts]
+    found = list(Grams(of).texts(texts))
     row = np.repeat(np.arange(n), [len(x) for x in found])
     col = np.concatenate(found)
     scale = ratio[chosen]
@@ -167,7 +224,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
         grams = Grams(of)
 
         def scored(texts: list) -> list[list]:
-            z = np.array([weights[grams.text(t)].sum() + bias for t in texts])
+            z = np.array([weights[own].sum() + bias for own in grams.texts(texts)])
             return [1 / (1 + np.exp(-np.clip(z, -500, 500)))]
 
         return scored
