@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -11,9 +12,11 @@ from test_text import PATH, fingerprint, grouped, repeats
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
-from gneiss.llm import chat  # noqa: F401  the package is there
+from gneiss.llm.common import shared_folder
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+#: Names that the stages, or the operators in them, have for columns of their own.
+OWN = "_nth _id _copy _text _words _whole _n _size _taken _toxicity _dedup_kept row nth toxicity dedup_kept dedup_n_removed said id n of words copy part all size taken target key bucket block own root first component_id fp score given c0 w0 n_words n_tokens".split()
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +89,38 @@ def test_stages_in_order(spark, sf_dir, tmp_path):
 
 
 def test_run_gives_the_last_stage(spark, sf_dir):
-    assert C.run(spark, sf_dir).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    got = C.run(spark, sf_dir)
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in C.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert sorted(str(r) for r in got.collect()) == sorted(str(r) for r in docs.collect())
+    assert not [p for p in Path(shared_folder(spark).removeprefix("file:")).glob("pipeline-*/[0-3]*")]
+
+
+def test_columns_of_any_name_pass_through(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 4 = 0 or doc_id is null or doc_id >= 500").drop("kept")
+    told = F.concat_ws("|", "doc_id", "source", "lang")
+    docs, bare = plain.select("*", *(F.concat(F.lit(f"{c} of "), told).alias(c) for c in OWN)), plain
+    for _, stage in C.STAGES[:-1]:
+        docs, bare = (stage(spark, x, sf_dir) for x in (docs, bare))
+        assert docs.columns == [*plain.columns, *OWN]
+        rows = docs.collect()
+        assert rows and sorted(str(r[:5]) for r in rows) == sorted(str(tuple(r)) for r in bare.collect())
+        for r in rows:
+            said = "|".join(str(x) for x in (r["doc_id"], r["source"], r["lang"]) if x is not None)
+            assert all(r[c] == f"{c} of {said}" for c in OWN)
+
+
+def test_of_a_group_one_row_stays(spark, sf_dir):
+    same = " ".join(f"w{i}" for i in range(60))
+    near = same.replace("w30", "other")
+    rows = [(None, same, "en", "a", 1), (None, same, "en", "b", 1), (9, near, "en", "a", 1), (7, same, "en", "a", 1), (7, near, "en", "a", 1), (7, same, "de", "a", 1), (None, "alone and apart from all others", "en", "a", 1), (None, "", "en", "a", 0), (None, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = C.near_copies_out(spark, docs, sf_dir).collect()
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:5]) for r in got) == [("7", same[:5]), ("None", ""), ("None", "alone")]
 
 
 def test_stages_take_empty_tables(spark, sf_dir):
