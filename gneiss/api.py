@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
 from gneiss.functions import roles as R
-from gneiss.operators import budget, diff as D, graph as G, mentions as M, overview as V, rank as K, rules as U, scoring, search as S, stats, tree
+from gneiss.functions import text as T_
+from gneiss.operators import budget, prompts as R_, diff as D, graph as G, mentions as M, overview as V, rank as K, rules as U, scoring, search as S, stats, tree
 from gneiss.sources import code, settings
 from gneiss.sources.tree_source import read_tree
 
@@ -19,7 +20,10 @@ Index = dict[str, DataFrame]
 
 
 def build(spark: SparkSession, root: str, enricher: settings.Enricher = settings.first_comment) -> Index:
-    """contents, files, signatures, modules, file_deps, module_deps of the tree's source and test files. A module is a top directory."""
+    """contents, files, signatures, modules, file_deps, module_deps of the tree's source and test files. A module is a top directory.
+
+    What is read is kept in memory, as all tables are made of it, until ``release``.
+    """
     raw = read_tree(spark, root).cache()
     kind = P.classify(F.col("path"), **settings.ignore_rules(root))
     kept = raw.withColumn("kind", kind["kind"]).where(F.col("kind").isin("source", "test", "infra", "generated")).select("path", "content", "kind")
@@ -38,7 +42,12 @@ def build(spark: SparkSession, root: str, enricher: settings.Enricher = settings
     owner = files.select("path", "module")
     across = deps.join(owner.select(F.col("path").alias("src"), F.col("module").alias("a")), "src").join(owner.select(F.col("path").alias("dst"), F.col("module").alias("b")), "dst")
     module_deps = G.module_dependencies(across.where("a <> '' and b <> ''").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("src").alias("src_file"), F.col("dst").alias("dst_file")))
-    return {"files": files, "signatures": signatures, "modules": modules, "file_deps": deps, "module_deps": module_deps}
+    return {"contents": raw, "files": files, "signatures": signatures, "modules": modules, "file_deps": deps, "module_deps": module_deps}
+
+
+def release(index: Index) -> None:
+    """Let go of what ``build`` keeps; the index can still be used, and reads the tree again."""
+    index["contents"].unpersist()
 
 
 def search(index: Index, tags: list[str] | None = None, pattern: str | None = None, limit: int = 10) -> DataFrame:
@@ -67,10 +76,20 @@ def findings(index: Index) -> DataFrame:
     return U.worst_first(U.run(index))
 
 
-def rank(index: Index, focus: list[str] | None = None, mentioned: list[str] | None = None) -> DataFrame:
-    """path, score: by imports and by path, or by path alone where imports are too few."""
+def rank(index: Index, focus: list[str] | None = None, mentioned: list[str] | None = None, method: str = "graph") -> DataFrame:
+    """path, score, best first. By ``method``: path alone (heuristic), imports and path (graph), symbols and path (symbol).
+
+    Where imports are too few the graph's ranking is that by path, and where there are no symbols theirs is the graph's.
+    """
     files = index["files"].select("path")
     by_path = K.heuristic(files, focus, mentioned)
+    if method == "heuristic":
+        return by_path.orderBy(F.desc("score"), "path")
+    if method == "symbol" and not index["signatures"].isEmpty():
+        near = F.when(F.col("path").isin(focus), 0).otherwise(1) if focus else F.lit(1)
+        tags = index["signatures"].select("path", "name", "line", near.alias("far"))
+        symbols = K.symbol_scores(tags, [F.asc("far"), F.col("name").startswith("_").cast("int"), F.asc("path"), F.asc("line"), F.asc("name")])
+        return K.symbol_blend(files, symbols, by_path).orderBy(F.desc("score"), "path")
     vertices = files.select(F.col("path").alias("id"))
     if G.density(vertices, index["file_deps"]).first()["too_sparse"]:
         return by_path.orderBy(F.desc("score"), "path")
@@ -86,11 +105,52 @@ def navigate(index: Index, text: str, focus: list[str] | None = None, tokens: in
     coarse = K.heuristic(index["files"].select("path"), focus, named)
     fine = rank(index, focus, named)
     best = K.cascade(coarse, fine, spark.createDataFrame([(p,) for p in {*(focus or []), *named}], "path string"))
-    from gneiss.functions import text as T
-
-    costs = index["files"].select("path", T.file_tokens(F.col("content")).alias("cost"))
+    costs = index["files"].select("path", T_.file_tokens(F.col("content")).alias("cost"))
     return budget.by_tier(best.join(costs, "path"), "path", tokens).select("path", "tier", "cost", "score", "rank")
 
 
 def structure(index: Index, per_dir: int = 20, deepest: int = 4) -> DataFrame:
     return tree.visible(tree.nodes(index["files"].where(P.in_tree(F.col("path")))), per_dir, deepest)
+
+
+def prompt(index: Index, tokens: int = 6000, mode: str = "auto") -> str:
+    """Modules, key files, tests and signatures, as many of each as the profile shows and the budget has room for."""
+    p = R_.profile(tokens, mode)
+    files = index["files"].join(index["modules"].select("module", "core_score"), "module", "left").withColumn("desc", F.coalesce("desc", F.lit("")))
+    best = K.source_files(index["files"], index["modules"]).join(files.select("path", "desc"), "path")
+    tests = K.test_files(index["files"]).join(files.select("path", "desc"), "path")
+    left = tokens - R_.tree_budget(tokens, True, p["tree_reserve_ratio"])
+    share = budget.role_budgets(int(left * p["prefer_l2_ratio"]), {r["role"] for r in index["files"].select("role").distinct().collect()})
+    order = [F.desc("score"), F.desc("n_sigs"), F.desc("path")]
+    modules = V.module_lines(index["modules"], tokens).where(F.col("nth") <= p["module_lines"]).orderBy("nth")
+    key = R_.key_file_lines(best, order, share["source"], p["key_files"]).orderBy("nth")
+    test = R_.key_file_lines(tests, [F.desc("n_sigs"), F.desc("path")], share.get("test", 0), p["test_files"]).orderBy("nth")
+    room = max(0, left - share["source"])
+    said = R_.signature_lines(best, order, index["signatures"], room, p["signature_files"], p["sigs_per_file"]).orderBy("nth")
+    parts = [("## Modules", modules), ("## Key Files", key), ("### Test Files", test), ("## Signatures", said)]
+    told = [(head, [r["line"] for r in rows.collect()]) for head, rows in parts]
+    return "\n".join(line for head, lines in told if lines for line in [head, "", *lines, ""])
+
+
+def context(index: Index, tier: str = "B", tokens: int = 0) -> str:
+    """A summary of tier A (modules), B (with dependencies) or C (with files), cut to its tokens."""
+    tier = tier.upper()
+    room = (tokens or {"A": 500, "B": 2000, "C": 4000}.get(tier, 2000)) * T_.CHARS_PER_TOKEN
+    totals = stats.totals(index["files"]).first()
+    lines = ["# Project Context", "", f"Scale: {totals['total_files']} files, {totals['total_modules']} modules, {totals['total_signatures']} signatures", "", "## Modules"]
+    # A line has a character at least, so no more of them can fit.
+    lines += [r["line"] for r in R_.context_lines(index["modules"], tier).orderBy("ord").limit(room).collect()]
+    if tier != "A":
+        lines += ["", "## Module Dependencies", *(r["line"] for r in R_.dependency_lines(index["module_deps"]).orderBy("src").limit(room).collect())]
+    if tier == "C":
+        lines += ["", "## File Details", *(r["line"] for r in R_.detail_lines(index["files"], index["signatures"]).orderBy("ord").collect())]
+    text = "\n".join(lines)
+    return text if len(text) <= room else text[: room - 20] + "\n... (truncated)"
+
+
+def snippets(index: Index, text: str, tokens: int = 2500) -> DataFrame:
+    """Lines around the symbols of the files that a request is about, as many as the budget has room for."""
+    ranked = navigate(index, text, tokens=4 * tokens).select("path", "score")
+    said = M.identifiers(index["files"].sparkSession.createDataFrame([(0, text)], "id long, text string"), index["signatures"].select("name"))
+    named = [r["ident"] for r in said.select("ident").distinct().limit(200).collect()]
+    return R_.pack_snippets(R_.snippets(ranked, index["signatures"].select("path", "name", "line"), index["files"].select("path", "content"), named), tokens)

@@ -13,7 +13,7 @@ from gneiss.sources import snapshots
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="gneiss", description=__doc__)
-    p.add_argument("command", choices=["overview", "expand", "search", "stats", "rules", "rank", "navigate", "tree", "snapshot"])
+    p.add_argument("command", choices=["overview", "expand", "search", "stats", "rules", "rank", "navigate", "tree", "prompt", "context", "snippets", "snapshot", "snapshots", "diff"])
     p.add_argument("root")
     p.add_argument("words", nargs="*", help="a target, a pattern, focus files or a request, by command")
     p.add_argument("--tags", nargs="*")
@@ -21,21 +21,34 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--level", type=int, default=2)
     p.add_argument("--limit", type=int, default=10)
     p.add_argument("--archive", default="snapshots")
+    p.add_argument("--method", default="graph", choices=["graph", "heuristic", "symbol"])
+    p.add_argument("--tier", default="B")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("gneiss").getOrCreate()
-    index = api.build(spark, a.root)
     said = " ".join(a.words)
+    if a.command == "snapshots":
+        for r in snapshots.listed(spark, a.archive).limit(a.limit).collect():
+            print(json.dumps(r.asDict(), default=str, ensure_ascii=False))
+        return
+    index = api.build(spark, a.root)
     if a.command in ("overview", "expand"):
         print((api.overview(index, a.tokens) if a.command == "overview" else api.expand(index, said, a.level, a.tokens))["content"])
+    elif a.command in ("prompt", "context"):
+        print(api.prompt(index, a.tokens, said) if a.command == "prompt" else api.context(index, a.tier))
+    elif a.command == "diff":
+        old = {name: snapshots.load(spark, a.archive, name, said or "latest") for name in ("files", "modules")}
+        for name, df in api.diff(old, index).items():
+            print(name, json.dumps([r.asDict(recursive=True) for r in df.limit(a.limit).collect()], ensure_ascii=False))
     elif a.command == "stats":
         for name, df in api.statistics(index).items():
             print(name, json.dumps([r.asDict() for r in df.limit(a.limit).collect()], ensure_ascii=False))
     elif a.command == "snapshot":
         print(snapshots.save(spark, {k: v for k, v in index.items() if k != "contents"}, a.archive, said))
     else:
-        df = {"search": lambda: api.search(index, a.tags, said or None, a.limit), "rules": lambda: api.findings(index), "rank": lambda: api.rank(index, a.words), "navigate": lambda: api.navigate(index, said, tokens=a.tokens), "tree": lambda: api.structure(index)}[a.command]()
+        df = {"search": lambda: api.search(index, a.tags, said or None, a.limit), "rules": lambda: api.findings(index), "rank": lambda: api.rank(index, a.words, method=a.method), "snippets": lambda: api.snippets(index, said, a.tokens), "navigate": lambda: api.navigate(index, said, tokens=a.tokens), "tree": lambda: api.structure(index)}[a.command]()
         for r in df.limit(a.limit if a.command != "tree" else 1000).collect():
             print(json.dumps(r.asDict(recursive=True), ensure_ascii=False))
+    api.release(index)
 
 
 if __name__ == "__main__":

@@ -4,8 +4,8 @@
     spark.read.format("source_tree").load("/path/to/tree")
 
 One row a file: path (relative, with slashes), size, head (the first bytes, for probes) and content (text, or null
-if it isn't UTF-8). Files are dealt into partitions by size; each is read where its task runs, so the tree
-has to be visible to the executors.
+if it isn't UTF-8). The driver lists the top folders alone; the others are walked, and files read, where their
+tasks run, so the tree has to be visible to the executors.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ SCHEMA = "path string, size long, head binary, content string"
 HEAD = 4096
 
 
-class Files(InputPartition):
-    def __init__(self, paths: list[str]):
+class Part(InputPartition):
+    """Some files, or a folder with all that is under it."""
+
+    def __init__(self, paths: list[str], folder: str | None = None):
         super().__init__(None)
-        self.paths = paths
+        self.paths, self.folder = paths, folder
 
 
 class SourceTree(DataSource):
@@ -41,32 +43,41 @@ class SourceTree(DataSource):
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
-        self.most = int(options.get("partitionbytes", 32 << 20))
+        self.most = int(options.get("partitionfiles", 2_000))
+        self.spread = int(options.get("spread", 256))
         self.content = options.get("content", "true").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        out: list[list[str]] = [[]]
-        held = 0
-        for folder, names, files in os.walk(self.root):
-            names.sort()
-            names[:] = [n for n in names if n != ".git"]
-            for f in sorted(files):
-                at = Path(folder, f)
-                if not at.is_file():
-                    continue
-                size = at.stat().st_size
-                if out[-1] and held + size > self.most:
-                    out.append([])
-                    held = 0
-                out[-1].append(str(at.relative_to(self.root).as_posix()))
-                held += size
-        return [Files(p) for p in out]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for path in partition.paths:
+        """The driver lists folders from the top until there are ``spread`` of them; what is under those is walked where their tasks run."""
+        folders, files, listed = [""], [], 0
+        while folders and len(folders) < self.spread and listed < self.spread:
+            here = folders.pop(0)
+            listed += 1
+            for e in sorted(os.scandir(Path(self.root, here)), key=lambda e: e.name):
+                path = f"{here}/{e.name}" if here else e.name
+                if e.is_dir(follow_symlinks=False):
+                    if e.name != ".git":
+                        folders.append(path)
+                elif e.is_file():
+                    files.append(path)
+        return [Part(files[i : i + self.most]) for i in range(0, len(files), self.most)] + [Part([], f) for f in folders] or [Part([])]
+
+    def under(self, part: Part) -> Iterator[str]:
+        yield from part.paths
+        if part.folder is not None:
+            for folder, names, files in os.walk(Path(self.root, part.folder)):
+                names[:] = sorted(n for n in names if n != ".git")
+                for f in sorted(files):
+                    at = Path(folder, f)
+                    if at.is_file():
+                        yield at.relative_to(self.root).as_posix()
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for path in self.under(partition):
             at = Path(self.root, path)
             try:
                 data = at.read_bytes() if self.content else at.open("rb").read(HEAD)
+                size = at.stat().st_size
             except OSError:
                 continue
             text = None
@@ -75,7 +86,7 @@ class TreeReader(DataSourceReader):
                     text = data.decode("utf-8")
                 except UnicodeDecodeError:
                     text = None
-            yield path, at.stat().st_size, data[:HEAD], text
+            yield path, size, data[:HEAD], text
 
 
 def read_tree(spark, root: str, content: bool = True):
