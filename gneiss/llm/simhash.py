@@ -13,8 +13,8 @@ other within radius + spare of it, so they meet there; what meets is compared on
 
 Copies share a fingerprint, which is replicated once for all of them. An anchor's distinct fingerprints
 meet in one task, 16 bytes each, and are compared on arrays; where many meet, each found component is
-taken out of the rest as it grows, so a group of near copies costs about its size. Only a spanning
-forest of the links leaves a task. Links are told in terms of the smallest doc_id of each fingerprint,
+taken out of the rest as it grows, so a group of near copies costs about its size. A task's links leave
+it as stars, one link a fingerprint at the most, however many were found. Links are told in terms of the smallest doc_id of each fingerprint,
 and components are found by rounds of large and small stars, cut by checkpoints, never on the driver.
 
 Defined results: null text is empty; a null doc_id is linked but is no component's id (null if a
@@ -149,30 +149,63 @@ def forest(rest: np.ndarray, words: list[np.ndarray], near: int) -> Iterator[tup
             front = np.concatenate(reached)
 
 
+#: How many linked fingerprints a task remembers before it tells of their links.
+MOST_LINKED = 500_000
+
+
+class Stars:
+    """The components of a task's links as they come: in the end each node has one link, to its component's smallest."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while (over := up.setdefault(x, x)) != x:
+            up[x] = over = up[over]
+            x = over
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        pairs = np.unique(np.stack((a, b), axis=1), axis=0)
+        for x, y in pairs.tolist():
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def told(self) -> pd.DataFrame:
+        nodes = list(self.up)
+        return pd.DataFrame({"a": np.array([self.root(x) for x in nodes], np.int64), "b": np.array(nodes, np.int64)})
+
+
 def _met(replicas: DataFrame, columns: list[str], near: int) -> DataFrame:
-    """(anchor, fingerprint words ``columns``) -> links (a, b) in terms of the first word, a < b."""
+    """(anchor, fingerprint words ``columns``) -> links (a, b) in terms of the first word, a < b: of each task's, what joins its components."""
     parts = int(replicas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["anchor", *columns]
 
-    def linked(pieces: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
+    def linked(pieces: list[list[np.ndarray]], known: Stars) -> None:
         anchor, *words = (np.concatenate(x) for x in zip(*pieces, strict=True))
         words = [w.view(np.uint64) for w in words]
         for a, b in links(anchor, words, near):
-            x, y = words[0][a].view(np.int64), words[0][b].view(np.int64)
-            yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+            known.add(words[0][a].view(np.int64), words[0][b].view(np.int64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[list[np.ndarray]] = []
+        known = Stars()
         for rows in batches:
             now = [rows[c].to_numpy() for c in names]
             full = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0  # whole anchors only
             if full or (held and len(now[0]) and held[-1][0][-1] != now[0][0]):
-                yield from linked([*held, [x[:full] for x in now]])
+                linked([*held, [x[:full] for x in now]], known)
                 held = []
             if len(now[0]):
                 held.append([x[full:] for x in now])
+            if len(known.up) > MOST_LINKED:
+                yield known.told()
+                known = Stars()
         if held:
-            yield from linked(held)
+            linked(held, known)
+        yield known.told()
         release()
 
     met = replicas.repartition(parts, "anchor").sortWithinPartitions("anchor")
