@@ -57,6 +57,11 @@ def release() -> None:
         trim(0)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, dots and backticks in it included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def derived(rows: DataFrame, keep: list[str], given: str | Column, added: dict[str, str], make: Callable[[], Callable[[list], list[list]]], at_once: int = 500) -> DataFrame:
     """Columns ``keep`` of ``rows`` as they are, then columns ``added`` (name to type).
 
@@ -65,7 +70,7 @@ def derived(rows: DataFrame, keep: list[str], given: str | Column, added: dict[s
     Kept columns stay in Arrow: pandas would turn a batch's whole numbers into doubles where one of them is
     null. They are known by place, so their names may be any. ``at_once`` rows are made into objects at a time.
     """
-    kept = rows.select(*keep).schema.fields
+    kept = rows.select(*map(quoted, keep)).schema.fields
     kinds = [f.dataType for f in kept] + [T._parse_datatype_string(k) for k in added.values()]
     names = [f"c{i}" for i in range(len(kinds))]
     new = [to_arrow_type(k) for k in kinds[len(kept) :]]
@@ -82,7 +87,7 @@ def derived(rows: DataFrame, keep: list[str], given: str | Column, added: dict[s
         del made
         release()
 
-    chosen = rows.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=False)), *([] if own else [(F.col(given) if isinstance(given, str) else given).alias("given")]))
+    chosen = rows.select(*(quoted(c).alias(n) for c, n in zip(keep, names, strict=False)), *([] if own else [(F.col(given) if isinstance(given, str) else given).alias("given")]))
     out = chosen.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
     return out.toDF(*(f.name for f in kept), *added)
 

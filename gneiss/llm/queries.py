@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, chat, html_extract, licenses, media, mixing, simhash, substrings, topk, toxicity
+from gneiss.llm import bpe, centroids, chat, html_extract, licenses, media, mixing, periodic, pii, simhash, substrings, topk, toxicity
 from gneiss.llm.common import table
 
 
@@ -61,6 +61,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pii.fit(pii.seed_labels(spark))
+    return pii.digest_pii(pii.find_pii(table(spark, sf_dir, "documents"), model, ["doc_id"]))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.with_planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digest_runs(periodic.find_runs(docs, ["doc_id"]))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, size=64, rounds=5)
+
+
 def tokenizer_path(spark: SparkSession) -> str:
     """The tokenizer's file: spark.gneiss.tokenizer names one, else the public vocabulary package's."""
     named = spark.conf.get("spark.gneiss.tokenizer", None)
@@ -85,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_pii": op11_pii,
+    "op12_runs": op12_runs,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLES: dict[str, str] = {}
@@ -142,3 +159,18 @@ covered as (select distinct doc_id, i + j as place from (select doc_id, i, unnes
 words as (select doc_id, unnest(range(1, len(w) + 1)) as place, unnest(w) as word from docs),
 kept as (select doc_id, string_agg(word, ' ' order by place) as kept, count(*) as n from words anti join covered using (doc_id, place) group by doc_id)
 select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join kept using (doc_id)"""
+
+#: A round a pair of tables: nearest centroids, then the floors of the means.
+_ASSIGNED = """a{r} as (select id, v, arg_min(c, (d, c)) as cluster, min(d) as distance from (select id, v, c, cast(list_sum(list_transform(list_zip(v, m), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as bigint) as d from whole cross join c{r}) group by id, v)"""
+_MOVED = """c{s} as (select c, coalesce(l, m) as m from c{r} left join (select cluster, list(cast(floor(total / n) as bigint) order by i) as l
+  from (select cluster, i, sum(x) as total, count(*) as n from (select cluster, unnest(v) as x, unnest(range(64)) as i from a{r}) group by cluster, i) group by cluster) on cluster = c)"""
+ORACLES["op13_centroids"] = (
+    """with whole as (select row_number() over () as id, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as c, v as m from whole qualify c < 40),
+"""
+    + ",\n".join(_ASSIGNED.format(r=r) + ("" if r == 5 else ",\n" + _MOVED.format(r=r, s=r + 1)) for r in range(6))
+    + """
+select vec_id, cast(cluster as int) as cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia, sha256(array_to_string(m, ',')) as centroid_sha256
+from a5 join whole using (id) join c5 on c = cluster"""
+)
