@@ -3,7 +3,7 @@
 A page becomes a tree (start tags that imply end tags, void elements, raw text of scripts and styles,
 unclosed ends of cut-off pages). Elements that hold no article by their kind go first: scripts, styles, menus,
 footers, sidebars, dialogs, forms. So do those whose role, or a whole word of whose class or id, says that they are
-a page's header, notices, adverts or reader comments (see ``says``), unless the page's text is in them. Over the
+a page's header, notices, adverts or reader comments (see ``clean``), however large they are. Over the
 rest each node has C characters, T tags, and LC, LT of them in links;
 
     density = C / T * log base ln(C / notLC * LC + LCb / Cb * C + e) of (C / LC * T / LT)
@@ -65,10 +65,19 @@ BESIDE = frozenset(
     "global local mobile desktop fixed sticky unit slot panel post posts article articles user users reader readers link links button buttons icon icons "
     "title heading text body form msg message policy center row col column group footer header small large wide js the and in on of by".split()
 )
+#: Of these: what always goes, and what inside an article goes only if its density says so too.
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+STRONG_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored sponsors promo promoted promotion promotions "
+    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay paywall disclaimer "
+    "newsletter subscribe subscription signup login signin register".split()
+)
+SOFT_WORDS = frozenset("related recommended recommendations teaser widget widgets".split())
+STRONG_ROLES = frozenset("dialog alertdialog alert".split())
+NONE, SOFT, WEAK, STRONG = range(4)
 #: What a page's header is called; where an article's begins is called so too, but with other words.
 TITLED, TITLED_BESIDE = frozenset("header masthead topbar".split()), frozenset("site global top main wrapper container inner bar outer".split())
 SAFE = frozenset("html body main".split())
-COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNITS = frozenset("article main".split())
 
@@ -79,7 +88,7 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
 class Node:
-    __slots__ = ("attributes", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "size", "sum", "tags", "top", "unit")
+    __slots__ = ("attributes", "chars", "children", "density", "link_chars", "link_tags", "name", "parent", "sum", "tags", "top", "unit")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = ""):
         self.name, self.parent, self.attributes = name, parent, attributes
@@ -182,24 +191,29 @@ def says(said: str, words: frozenset[str], beside: frozenset[str]) -> bool:
     return False
 
 
-def hinted(node: Node, in_article: bool) -> bool:
-    """Whether a node says that it holds no article."""
+def hinted(node: Node, in_article: bool) -> int:
+    """How strongly a node says that it holds no article: NONE, SOFT, WEAK or STRONG."""
     name = node.name
     if name in SAFE or name == "#root":
-        return False
+        return NONE
     if name == "header":
-        return not in_article
+        return NONE if in_article else WEAK
     if not node.attributes:
-        return False
+        return NONE
     got = attributes(node)
-    if got.get("role", "").lower() in ROLES and name != "form":
-        return True
+    role = got.get("role", "").lower() if name != "form" else ""
+    if role in ROLES:
+        return STRONG if role in STRONG_ROLES else WEAK
     said = got.get("class", "")
     if name not in TEXTS and name not in INLINE:  # headings and the like have ids after what they say
         said += " " + got.get("id", "")
     if name == "article":
-        return says(said, COMMENT_WORDS, BESIDE)
-    return says(said, NOISE, BESIDE) or (not in_article and says(said, TITLED, TITLED_BESIDE))
+        return STRONG if says(said, COMMENT_WORDS, BESIDE) else NONE
+    if says(said, STRONG_WORDS, BESIDE):
+        return STRONG
+    if says(said, NOISE - SOFT_WORDS, BESIDE) or (not in_article and says(said, TITLED, TITLED_BESIDE)):
+        return WEAK
+    return SOFT if says(said, NOISE, BESIDE) else NONE
 
 
 def in_order(root: Node) -> list[Node]:
@@ -210,28 +224,72 @@ def in_order(root: Node) -> list[Node]:
     return nodes
 
 
+def counted(root: Node) -> None:
+    """Characters and tags of all nodes, and of their links, as they stand; whether an article or main is inside."""
+    for n in reversed(in_order(root)):
+        n.chars, n.tags, n.link_chars, n.link_tags, n.unit = 0, 1, 0, 0, n.name in UNITS
+        if n.name in NEVER:
+            n.unit, n.tags = False, 0
+            continue
+        for c in n.children:
+            if isinstance(c, str):
+                n.chars += len(SPACE.sub(" ", c).strip())
+            else:
+                n.chars, n.tags, n.link_chars, n.unit = n.chars + c.chars, n.tags + c.tags, n.link_chars + c.link_chars, n.unit or c.unit
+        if n.name == "a":
+            n.link_chars = n.chars
+
+
+def agrees(node: Node, parent: Node) -> bool:
+    """Whether a node's density says so too: a third of its text is links, or it is thin against what is beside it."""
+    chars, tags = parent.chars - node.chars, parent.tags - node.tags
+    return 3 * node.link_chars > node.chars or 3 * node.chars * max(1, tags) < chars * max(1, node.tags)
+
+
+def goes(node: Node, parent: Node, in_article: bool) -> int:
+    """How strongly a node is to go. A form around an article or main is the page's, not the reader's."""
+    if node.name in NEVER:
+        return STRONG
+    if node.name == "form" and not node.unit:
+        return WEAK
+    hint = hinted(node, in_article)
+    return NONE if hint == SOFT and in_article and not agrees(node, parent) else hint
+
+
 def clean(root: Node) -> None:
-    """Take out what is no article by its kind. What a form, or a node that says so, holds stays if an article or main is in it, or, on pages without these, most of the text."""
-    nodes = in_order(root)
-    for n in reversed(nodes):
-        n.size = 0 if n.name in NEVER else sum(len(SPACE.sub(" ", c)) if isinstance(c, str) else c.size for c in n.children)
-        n.unit = n.name in UNITS or any(c.unit for c in n.children if isinstance(c, Node))
-    stack = [(root, False)]
-    while stack:
-        node, in_article = stack.pop()
+    """Take out what is no article by its kind, whatever its size.
+
+    What says it is comments, an advert or a notice always goes, with the articles in it. Other hints give way only where all else is
+    empty: a page whose articles all lie inside such nodes keeps these, and one without any other text keeps them all.
+    """
+    counted(root)
+    free_unit = held_unit = free_text = False
+    stack = [(root, False, False)]
+    while stack:  # what would be left, and what hints hold
+        node, in_article, held = stack.pop()
+        in_article = in_article or node.name in UNITS
+        free_unit, held_unit = free_unit or (node.name in UNITS and not held), held_unit or (node.name in UNITS and held)
+        for c in node.children:
+            if isinstance(c, str):
+                free_text = free_text or (not held and bool(c.strip()))
+            else:
+                hint = goes(c, node, in_article)
+                if hint != STRONG:
+                    stack.append((c, in_article, held or hint != NONE))
+    stack2 = [(root, False)]
+    while stack2:
+        node, in_article = stack2.pop()
         in_article = in_article or node.name in UNITS
         kept: list[Node | str] = []
         for c in node.children:
             if isinstance(c, str):
                 kept.append(c)
                 continue
-            out = c.name in NEVER
-            if not out and (c.name == "form" or hinted(c, in_article)):
-                inside = c.unit and c.name not in UNITS
-                out = not inside and (root.unit or 2 * c.size <= root.size)
-            if not out:
+            hint = goes(c, node, in_article)
+            stays = hint == NONE or (hint != STRONG and not free_unit and (c.unit if held_unit else not free_text))
+            if stays:
                 kept.append(c)
-                stack.append((c, in_article))
+                stack2.append((c, in_article))
             elif c.name not in INLINE:
                 kept.append(Node("#gap", node))  # the texts at either side are blocks of their own
         node.children = kept

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from gneiss.llm import centroids, periodic, pii, queries
+from gneiss.llm import centroids, html_extract, periodic, pii, queries
 
 # -- personal data
 
@@ -269,3 +269,34 @@ def test_vectors_that_take_no_part(spark):
     assert centroids.cluster_vectors(frame.limit(0), 40, 2, 5).count() == 0
     huge = spark.createDataFrame([("a", [1e300, -1e300]), ("b", [0.0, 0.0])], "vec_id string, embedding array<double>")
     assert {r["distance"] for r in centroids.cluster_vectors(huge, 2, 2, 3).collect()} == {0}
+
+
+# -- main text where names mislead
+
+STORY = "<p>" + "A story sentence goes here and tells of things. " * 3 + "</p>"
+TALK = "<p>" + "I think that this comment is rather long and says a lot. " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "html,stories",
+    [
+        (f'<div class="post"><h1>T</h1>{STORY}</div><div class="comments">{TALK}{TALK}</div>', 3),
+        (f'<div class="post"><h1>T</h1>{STORY}{STORY}</div><div class="ad">{TALK * 4}</div>', 6),
+        (f'<div class="cookie-notice">{TALK * 3}</div><div id="x"><h1>T</h1>{STORY}</div>', 3),
+        (f'<main><h1>T</h1>{STORY}{STORY}</main><section class="comments"><article>{TALK}</article><article>{TALK}</article></section>', 6),
+        (f'<article><h1>T</h1>{STORY}{STORY}<section class="comments"><article>{TALK}</article></section></article>', 6),
+        (f'<article><h1>T</h1>{STORY}{STORY}<section class="related"><ul><li><a href="1">I think so</a></li><li><a href="2">I think not</a></li></ul></section>{STORY}</article>', 9),
+        (f'<div class="comments"><article>{TALK}</article></div>', 0),
+        (f"<form><div>{STORY}{STORY}</div></form>", 6),
+        (f'<form><main><h1>T</h1>{STORY}</main></form><p>Made by us.</p>', 3),
+        (f'<div class="content sidebar-right"><article><h1>T</h1>{STORY}{STORY}</article></div><p>Made by us.</p>', 6),
+    ],
+)
+def test_what_names_itself_comment_or_advert_never_wins_by_size(html, stories):
+    text = html_extract.main_text(f"<html><body>{html}</body></html>")
+    assert text.count("A story sentence") == stories and "I think" not in text
+
+
+def test_related_section_of_an_article_stays_where_it_is_text():
+    text = html_extract.main_text(f'<body><article><h1>T</h1>{STORY}<section class="related">{TALK}</section>{STORY}</article></body>')
+    assert text.count("A story sentence") == 6 and text.count("I think") == 20
