@@ -178,6 +178,26 @@ class Stars:
         return pd.DataFrame({"a": np.array([self.root(x) for x in nodes], np.int64), "b": np.array(nodes, np.int64)})
 
 
+def folded(pairs: DataFrame) -> DataFrame:
+    """Links (a, b), a < b -> the same components by fewer links.
+
+    Links of one larger end meet in a task and leave as stars of what they join: a node then has one link a task, not one for
+    each task that knew it. Centers are smallest nodes, so it is leaves that are dealt, evenly however large a star is.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Stars()
+        for rows in batches:
+            known.add(rows["a"].to_numpy(), rows["b"].to_numpy())
+            if len(known.up) > MOST_LINKED:
+                yield known.told()
+                known = Stars()
+        yield known.told()
+        release()
+
+    return pairs.repartition("b").mapInPandas(run, "a long, b long").where("a <> b")
+
+
 def _met(replicas: DataFrame, columns: list[str], near: int) -> DataFrame:
     """(anchor, fingerprint words ``columns``) -> links (a, b) in terms of the first word, a < b: of each task's, what joins its components."""
     parts = int(replicas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -209,7 +229,8 @@ def _met(replicas: DataFrame, columns: list[str], near: int) -> DataFrame:
         release()
 
     met = replicas.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return met.mapInPandas(run, "a long, b long").where("a <> b").distinct()
+    # once for the leaves that several tasks know, once for the centers these leaves join
+    return folded(folded(met.mapInPandas(run, "a long, b long").where("a <> b")))
 
 
 def near_pairs(prints: DataFrame, near: int = NEAR) -> DataFrame:
@@ -416,7 +437,8 @@ def _verified(docs: DataFrame, members: DataFrame, text: str, id_column: str) ->
     mine = F.pmod("own", "tiles")
     dealt = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "own", "h")
-    return dealt.groupBy("root", "i", "j").applyInPandas(compared, "a long, b long")
+    found = dealt.groupBy("root", "i", "j").applyInPandas(compared, "a long, b long")
+    return folded(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def group_alike(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
