@@ -86,9 +86,7 @@ def rank(index: Index, focus: list[str] | None = None, mentioned: list[str] | No
     if method == "heuristic":
         return by_path.orderBy(F.desc("score"), "path")
     if method == "symbol" and not index["signatures"].isEmpty():
-        near = F.when(F.col("path").isin(focus), 0).otherwise(1) if focus else F.lit(1)
-        tags = index["signatures"].select("path", "name", "line", near.alias("far"))
-        symbols = K.symbol_scores(tags, [F.asc("far"), F.col("name").startswith("_").cast("int"), F.asc("path"), F.asc("line"), F.asc("name")])
+        symbols = K.symbol_scores(ranked_tags(index, focus, mentioned), K.tag_order())
         return K.symbol_blend(files, symbols, by_path).orderBy(F.desc("score"), "path")
     vertices = files.select(F.col("path").alias("id"))
     if G.density(vertices, index["file_deps"]).first()["too_sparse"]:
@@ -97,6 +95,20 @@ def rank(index: Index, focus: list[str] | None = None, mentioned: list[str] | No
     return G.blended(ranks, by_path.withColumnRenamed("path", "id")).withColumnRenamed("id", "path").orderBy(F.desc("score"), "path")
 
 
+def ranked_tags(index: Index, focus: list[str] | None = None, mentioned: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """path, name, line, rank, of_file of the definitions: each by what the ranks of files that refer to it give it. In the order of ``rank.tag_order``.
+
+    ``names`` are identifiers that a request mentions.
+    """
+    definitions = index["signatures"].select("path", "name", "line")
+    references = code.tags(index["files"].select("path", "content")).where("tag = 'ref'").select("path", "name")
+    edges = G.definition_edges(definitions, references, names, focus)
+    vertices = index["files"].select(F.col("path").alias("id"))
+    between = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    ranks = G.pagerank(vertices, between, G.focus_start(vertices, focus or [], mentioned or []), rounds=100, tolerance=1e-6)
+    return K.ranked_tags(definitions, G.ranked_definitions(edges, ranks), ranks)
+
+
 def navigate(index: Index, text: str, focus: list[str] | None = None, tokens: int = 5000) -> DataFrame:
     """The files that a request is about, ranked, tiered and cut to a budget: path, tier, cost, rank."""
     spark = index["files"].sparkSession
@@ -114,7 +126,7 @@ def structure(index: Index, per_dir: int = 20, deepest: int = 4) -> DataFrame:
 
 
 def prompt(index: Index, tokens: int = 6000, mode: str = "auto") -> str:
-    """Modules, key files, tests and signatures, as many of each as the profile shows and the budget has room for."""
+    """Modules, key files, tests, signatures and the tree, as many of each as the profile shows and the budget has room for."""
     p = R_.profile(tokens, mode)
     files = index["files"].join(index["modules"].select("module", "core_score"), "module", "left").withColumn("desc", F.coalesce("desc", F.lit("")))
     best = K.source_files(index["files"], index["modules"]).join(files.select("path", "desc"), "path")
@@ -127,7 +139,10 @@ def prompt(index: Index, tokens: int = 6000, mode: str = "auto") -> str:
     test = R_.key_file_lines(tests, [F.desc("n_sigs"), F.desc("path")], share.get("test", 0), p["test_files"]).orderBy("nth")
     room = max(0, left - share["source"])
     said = R_.signature_lines(best, order, index["signatures"], room, p["signature_files"], p["sigs_per_file"]).orderBy("nth")
-    parts = [("## Modules", modules), ("## Key Files", key), ("### Test Files", test), ("## Signatures", said)]
+    room_of_tree = R_.tree_budget(tokens, True, p["tree_reserve_ratio"]) * T_.CHARS_PER_TOKEN
+    nodes = tree.nodes(index["files"].select("path"))
+    shape = tree.tree_text(nodes, room_of_tree, p["files_per_dir"], p["dirs_per_dir"], p["tree_depth"], p["top_summary_dirs"]).orderBy("nth")
+    parts = [("## Modules", modules), ("## Key Files", key), ("### Test Files", test), ("## Signatures", said), ("## Directory Tree", shape)]
     told = [(head, [r["line"] for r in rows.collect()]) for head, rows in parts]
     return "\n".join(line for head, lines in told if lines for line in [head, "", *lines, ""])
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.plans.lineage import cut
+from gneiss.plans.lineage import cut, forget
 
 DAMPING = 0.85
 
@@ -51,16 +51,34 @@ def edge_weight(name: Column, references: Column, definitions: Column, mentioned
     return w * F.when(definitions > 5, 0.1).otherwise(1.0) * F.when(chat, 50.0).otherwise(1.0) * F.sqrt(references)
 
 
-def reference_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None) -> DataFrame:
-    """definitions(name, path), references(name, path) -> src, dst, weight of files that use names others define.
+def definition_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None) -> DataFrame:
+    """definitions(name, path), references(name, path) -> src, dst, name, weight: a file uses a name that another defines.
 
     References are counted by name and file before they meet definitions, so a hot name is one row a file.
     """
     counted = references.groupBy("name", F.col("path").alias("src")).agg(F.count("*").alias("n"))
-    spread = definitions.groupBy("name").agg(F.count("*").alias("defs"))
-    met = counted.join(spread, "name").join(definitions.select("name", F.col("path").alias("dst")), "name").where("src <> dst")
+    own = definitions.groupBy("name", F.col("path").alias("dst")).agg(F.count("*").alias("times"))
+    spread = own.groupBy("name").agg(F.sum("times").alias("defs"))
+    met = counted.join(spread, "name").join(own, "name").where("src <> dst")
     chat = F.col("src").isin(chat_files) if chat_files else F.lit(False)
-    return met.groupBy("src", "dst").agg(F.sum(edge_weight(F.col("name"), F.col("n"), F.col("defs"), mentioned or [], chat)).alias("weight"))
+    weight = edge_weight(F.col("name"), F.col("n"), F.col("defs"), mentioned or [], chat) * F.col("times")
+    return met.select("src", "dst", "name", weight.alias("weight"))
+
+
+def reference_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None) -> DataFrame:
+    """definitions(name, path), references(name, path) -> src, dst, weight of files that use names others define."""
+    return definition_edges(definitions, references, mentioned, chat_files).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def ranked_definitions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """edges(src, dst, name, weight), ranks(id, rank) -> path, name, rank: a file's rank goes to the definitions it refers to, by weight.
+
+    Edges are weighed against their file's total, and summed by (file, name) with partial sums: a hot name costs a row a task.
+    """
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    given = ranks.select(F.col("id").alias("src"), "rank").join(total, "src").select("src", (F.col("rank") / F.col("total")).alias("each"))
+    got = edges.join(given, "src").select("dst", "name", (F.col("weight") * F.col("each")).alias("part"))
+    return got.groupBy(F.col("dst").alias("path"), "name").agg(F.sum("part").alias("rank"))
 
 
 def density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,12 +87,12 @@ def density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return n.select("nodes", "edges", (F.col("edges") / F.greatest("nodes", F.lit(1))).alias("density")).withColumn("too_sparse", F.col("density") < 0.05)
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = None, rounds: int = 20, tolerance: float | None = None, every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = None, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
     """vertices(id), edges(src, dst, weight), start(id, p) -> id, rank.
 
-    Personalised, weighted; dangling mass goes where the start distribution says. Each round is one
-    join and one aggregation on ``src``; lineage is cut every few rounds. With a ``tolerance`` (a round's total
-    change per vertex) the walk ends at such a cut, for one number sent to the driver.
+    Personalised, weighted; dangling mass goes where the start distribution says. Each round is one join and one aggregation on
+    ``src``, and its lineage is cut: the next one reads the ranks three times. The ranks before are deleted then, so two rounds' are on disk at once. With a
+    ``tolerance`` (a round's total change per vertex) the walk ends when it is reached, for one number a round sent to the driver.
     """
     n = vertices.count()
     if not n:
@@ -89,16 +107,16 @@ def pagerank(vertices: DataFrame, edges: DataFrame, start: DataFrame | None = No
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     links = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     state = cut(base.join(out.select(F.col("src").alias("id"), F.lit(True).alias("links")), "id", "left").select("id", "p", F.col("p").alias("rank"), F.coalesce("links", F.lit(False)).alias("links")))
-    for i in range(1, rounds + 1):
+    for _ in range(rounds):
         got = links.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         loose = state.agg(F.coalesce(F.sum(F.when(~F.col("links"), F.col("rank"))), F.lit(0.0)).alias("loose"))
         rank = DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") * F.col("p")) + (1 - DAMPING) * F.col("p")
-        state = state.withColumnRenamed("rank", "was").join(got, "id", "left").join(F.broadcast(loose)).select("id", "p", rank.alias("rank"), "links", "was")
-        if i % every == 0:
-            state = cut(state)
-            if tolerance is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * tolerance:
-                break
-        state = state.drop("was")
+        before = state
+        state = cut(before.select("id", "p", F.col("rank").alias("was"), "links").join(got, "id", "left").join(F.broadcast(loose)).select("id", "p", rank.alias("rank"), "links", "was"))
+        forget(before)
+        if tolerance is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * tolerance:
+            break
+    forget(links)
     return state.select("id", "rank")
 
 
@@ -141,6 +159,29 @@ def neighbourhood(edges: DataFrame, center: str, weights: DataFrame, most: int =
     return ways.join(weights, "id", "left").fillna(0, ["weight"]).orderBy(F.desc("weight"), "id").limit(most - 1).select("id", named.alias("direction"), "weight")
 
 
+def function_neighbourhood(edges: DataFrame, focus: str, hops: int = 1, most: int = 200) -> DataFrame:
+    """edges(caller, callee, weight) of functions, ``path:name`` -> id, hop, weight: functions of the file ``focus`` that call or are called, and those within ``hops`` calls of them.
+
+    Breadth first, ``most`` functions at the most: of a hop that doesn't fit, those with most calls from and to the hop before stay,
+    the first by name of equals. What is reached is a frame of ``most`` rows, so each hop is a join with a small side.
+    """
+    calls = edges.groupBy("caller", "callee").agg(F.sum("weight").alias("weight"))
+    ends = calls.select(F.col("caller").alias("id"), "weight").unionByName(calls.select(F.col("callee").alias("id"), "weight"))
+    own = ends.where(F.substring_index("id", ":", 1) == focus).groupBy("id").agg(F.sum("weight").alias("weight"))
+    seen = cut(own.orderBy(F.desc("weight"), "id").limit(most).select("id", F.lit(0).alias("hop"), "weight"))
+    for hop in range(1, hops + 1):
+        room = most - seen.count()
+        if room <= 0:
+            break
+        last = F.broadcast(seen.where(F.col("hop") == hop - 1).select("id"))  # ``most`` rows
+        out = calls.join(last, calls["caller"] == last["id"]).select(F.col("callee").alias("to"), "weight")
+        into = calls.join(last, calls["callee"] == last["id"]).select(F.col("caller").alias("to"), "weight")
+        near = out.unionByName(into).groupBy(F.col("to").alias("id")).agg(F.sum("weight").alias("weight"))
+        new = near.join(F.broadcast(seen.select("id")), "id", "left_anti").orderBy(F.desc("weight"), "id").limit(room)
+        seen = cut(seen.unionByName(new.select("id", F.lit(hop).alias("hop"), "weight")))
+    return seen
+
+
 def subgraph(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges with both ends among ``members(id)``."""
     return edges.join(members.select(F.col("id").alias("src")), "src", "left_semi").join(members.select(F.col("id").alias("dst")), "dst", "left_semi")

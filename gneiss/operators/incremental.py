@@ -59,3 +59,25 @@ def input_hash(rows: DataFrame, parts: list[str], by: list[str] | None = None) -
 
     leaves = lines.groupBy(*(by or []), F.substring("_line", 1, 4).alias("_leaf")).agg(joined("_line").alias("_hash"))
     return leaves.withColumn("_hash", F.concat("_leaf", "_hash")).groupBy(*(by or [])).agg(joined("_hash").substr(1, 16).alias("hash"))
+
+
+def chain(files: DataFrame) -> DataFrame:
+    """files(path, module, hash) -> stage, key, hash: a file's hash, a module's over its files', the project's over its modules'.
+
+    Whatever a stage computes depends on what is hashed below it, and on nothing else.
+    """
+    of_files = files.select(F.lit("file").alias("stage"), F.col("path").alias("key"), "hash", "module")
+    modules = input_hash(files.where("module <> ''"), ["path", "hash"], ["module"])
+    project = input_hash(modules, ["module", "hash"])
+    return (
+        of_files.select("stage", "key", "hash")
+        .unionByName(modules.select(F.lit("module").alias("stage"), F.col("module").alias("key"), "hash"))
+        .unionByName(project.select(F.lit("project").alias("stage"), F.lit("").alias("key"), "hash"))
+    )
+
+
+def stale(now: DataFrame, cached: DataFrame) -> DataFrame:
+    """now(stage, key, hash), cached likewise -> stage, key, hash, verdict: reuse, recompute or drop."""
+    met = now.join(cached.select("stage", "key", F.col("hash").alias("was")), ["stage", "key"], "full_outer")
+    verdict = F.when(F.col("hash").isNull(), "drop").when(F.col("was") == F.col("hash"), "reuse").otherwise("recompute")
+    return met.select("stage", "key", "hash", verdict.alias("verdict"))

@@ -45,7 +45,7 @@ def module_blocks(modules: DataFrame, files: DataFrame, budget: int) -> DataFram
     line = F.concat(F.lit("    - `"), "path", F.lit("`"), count, F.lit(": "), F.coalesce("desc", F.lit("")))
     # A block is kept whole or not at all, so lines beyond the budget's tokens can't be part of one.
     order = Window.partitionBy("module").orderBy(F.desc("n_sigs"), "ord")
-    own = files.select("module", "n_sigs", "ord", line.alias("line")).join(F.broadcast(core), "module").withColumn("nth", F.row_number().over(order)).withColumn("run", F.sum(F.length("line") + 1).over(order))
+    own = files.select("module", "n_sigs", "ord", line.alias("line")).join(core, "module").withColumn("nth", F.row_number().over(order)).withColumn("run", F.sum(F.length("line") + 1).over(order))
     room = budget * T.CHARS_PER_TOKEN
     whole = own.groupBy("module", "core_score", "place").agg(F.sum(F.length("line") + 1).alias("chars"), F.array_sort(F.collect_list(F.when(F.col("run") <= room + 1, F.struct("nth", "line")))).alias("lines"))
     block = F.concat(F.lit("  **"), "module", F.lit("** files:\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))

@@ -260,7 +260,23 @@ def vocabulary_lines(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.groupBy("dimension").agg(F.concat(F.lit("  "), F.col("dimension"), F.lit(": "), F.array_join(F.array_sort(F.collect_set("tag")), ", ")).alias("line"))
 
 
+def vocabulary_snapshot(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary(dimension, tag, ord) -> one row, snapshot: a map of each dimension's tags in their order, new ones last. A vocabulary is small by its nature."""
+    listed = vocabulary.groupBy("dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tag"))), lambda x: x["tag"]).alias("tags"))
+    return listed.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "tags")))).alias("snapshot"))
+
+
 def vocabulary_hash(vocabulary: DataFrame) -> DataFrame:
-    """One row, hash: the same for the same dimensions and tags in any order."""
-    said = F.array_join(F.array_sort(F.collect_list("line")), "\n")
-    return vocabulary_lines(vocabulary).agg(F.sha2(said, 256).substr(1, 16).alias("hash"))
+    """One row, hash: of the canonical JSON of sorted dimensions, each with all its tags sorted, repeats included. The same in any order of rows."""
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    listed = vocabulary.groupBy("dimension").agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag")), text), ", ").alias("tags"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("dimension", "tags"))), lambda x: F.concat(text(x["dimension"]), F.lit(": ["), x["tags"], F.lit("]")))
+    said = F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    return listed.agg(F.sha2(escaped(said), 256).substr(1, 16).alias("hash"))
+
+
+def escaped(json: Column) -> Column:
+    """JSON text with all but ASCII as \\u escapes, in UTF-16 units as JSON has them."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    parts = F.regexp_extract_all(json, F.lit(r"([\x00-\x7F]+|[^\x00-\x7F]+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^[\x00-\x7F]"), p).otherwise(units(p))), "")

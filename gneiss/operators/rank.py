@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
+from gneiss.operators import archetype
 from gneiss.operators.ordered import numbered
 
 # File names and path marks and what they add.
@@ -73,18 +74,15 @@ def test_files(files: DataFrame) -> DataFrame:
     return files.where((F.col("role") == "test") & ~P.is_noise(F.col("path")) & ~vendored).select("path", "n_sigs")
 
 
-def entry_reason(path: Column, reasons: dict[str, str] | None = None) -> Column:
-    """struct<reason, points> of a file that a reader would start from."""
+def entry_reason(path: Column, known: Column | None = None) -> Column:
+    """struct<reason, points> of a file that a reader would start from. ``known``: why the file's very name makes it one, or null."""
     n = P.name(path)
     low = F.lower(n)
 
     def of(reason: Column | str, points: int) -> Column:
         return F.struct((F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), F.lit(points).alias("points"))
 
-    out = F
-    if reasons:
-        known = F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])
-        out = out.when(n.isin(*reasons), of(F.try_element_at(known, n), 5))
+    out = F if known is None else F.when(known.isNotNull(), of(known, 5))
     return (
         out.when(low.rlike(r"^main\.(py|ts|js)$"), of("main application entry", 4))
         .when(low.rlike(r"^app\.(py|ts|js)$"), of("application bootstrap", 4))
@@ -95,10 +93,21 @@ def entry_reason(path: Column, reasons: dict[str, str] | None = None) -> Column:
     )
 
 
-def entry_files(files: DataFrame, reasons: dict[str, str] | None = None) -> DataFrame:
-    """files(path, role, score) -> path, reason, score of entries; order (score, path) descending."""
-    told = files.where("role <> 'test'").withColumn("why", entry_reason(F.col("path"), reasons)).where("why.points > 0")
-    return told.select("path", F.col("why.reason").alias("reason"), (F.col("why.points") * 10 + F.coalesce("score", F.lit(0.0))).alias("score"))
+def entry_files(files: DataFrame, kinds: DataFrame | str | None = None, by: list[str] | None = None) -> DataFrame:
+    """files(path, role, score) -> path, reason, score of entries; order (score, path) descending.
+
+    ``kinds``: the repository's archetype, or a frame with one for each repository that the columns ``by`` tell apart. Names that an archetype's
+    table holds come first; the table is a fixed one, so it is sent to all tasks.
+    """
+    by = by or []
+    own = files.where("role <> 'test'")
+    if kinds is None:
+        told = own.withColumn("why", entry_reason(F.col("path")))
+    else:
+        known = F.broadcast(files.sparkSession.createDataFrame(archetype.reason_rows(), "archetype string, name string, known string"))
+        own = own.withColumn("archetype", F.lit(archetype.normal(kinds))) if isinstance(kinds, str) else own.join(kinds, by, "left").fillna("generic", ["archetype"])
+        told = own.withColumn("name", P.name(F.col("path"))).join(known, ["archetype", "name"], "left").withColumn("why", entry_reason(F.col("path"), F.col("known")))
+    return told.where("why.points > 0").select(*by, "path", F.col("why.reason").alias("reason"), (F.col("why.points") * 10 + F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 def module_order(modules: DataFrame) -> DataFrame:
@@ -108,6 +117,22 @@ def module_order(modules: DataFrame) -> DataFrame:
     return modules.withColumn("nth", F.row_number().over(order))
 
 
+def ranked_tags(definitions: DataFrame, spread: DataFrame, ranks: DataFrame, digits: int = 12) -> DataFrame:
+    """definitions(path, name, line), spread(path, name, rank) of ``graph.ranked_definitions``, ranks(id, rank) of files -> path, name, line, rank, of_file.
+
+    Best first by ``tag_order``: the definitions that others refer to, by what these references give them; then, with an empty name and no line, the files that have none,
+    by their own rank. Ranks are rounded, so sums in another order make no other places.
+    """
+    files = ranks.select(F.col("id").alias("path"), F.round("rank", digits).alias("of_file"))
+    told = definitions.select("path", "name", "line").join(spread, ["path", "name"]).withColumn("rank", F.round("rank", digits)).join(files, "path", "left").fillna(0.0, ["of_file"])
+    rest = files.join(spread.select("path"), "path", "left_anti").select("path", F.lit("").alias("name"), F.lit(None).cast(definitions.schema["line"].dataType).alias("line"), F.lit(0.0).alias("rank"), "of_file")
+    return told.select("path", "name", "line", "rank", "of_file").unionByName(rest)
+
+
+def tag_order() -> list[Column]:
+    return [F.desc("rank"), F.desc("of_file"), F.asc("path"), F.asc("name"), F.asc("line")]
+
+
 def symbol_scores(ranked: DataFrame, order: list[Column], rate: float = 0.95) -> DataFrame:
     """Ranked tags (path, ...) -> path, score: the sum of rate^position over all tags."""
     return numbered(ranked, order).groupBy("path").agg(F.sum(F.pow(F.lit(rate), F.col("place"))).alias("score"))

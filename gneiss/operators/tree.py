@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
+from gneiss.plans.lineage import cut
 
 
 def _prefix(parts: Column, n: Column) -> Column:
@@ -79,6 +80,114 @@ def visible(n: DataFrame, per_dir: int, deepest: int) -> DataFrame:
     return ranked.where(F.col("nth") <= per_dir).select("id", "type", "name", "parent_id", "depth", "nth", "hidden")
 
 
+# Directories and files that a tree's text leaves out, beside hidden ones.
+SKIPPED_DIRS = P.NOISE_SEGMENTS + ".aider.tags.cache.v4 .llmproxy .ccb .hippocampus tmp_hippo_llm_smoke".split()
+SHOWN_HIDDEN = {"dir": [".github", ".devcontainer"], "file": [".gitignore", ".env.example"]}
+
+
+def shown(n: DataFrame) -> DataFrame:
+    """The nodes that a tree's text may name; what lies below a directory that is left out is left out by its parent."""
+    low = F.lower("name")
+    noise = low.isin("history", "snapshots")
+    dirs = low.isin(SKIPPED_DIRS) | low.endswith(".egg-info") | (low.startswith(".") & ~low.isin(SHOWN_HIDDEN["dir"]))
+    files = low.isin(P.NOISE_NAMES) | P.any_of([low.endswith(s) for s in P.NOISE_SUFFIXES]) | (low.startswith(".") & ~low.isin(SHOWN_HIDDEN["file"]))
+    return n.where(F.col("parent_id").isNotNull() & ~(noise | F.when(F.col("type") == "dir", dirs).otherwise(files)))
+
+
+def _placed(n: DataFrame, files: int, dirs: int) -> DataFrame:
+    """Per directory its first files and directories, each kind in order of name, with places from 1."""
+    order = Window.partitionBy("parent_id", "type").orderBy(F.lower("name"), "name")
+    return n.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("type") == "file", files).otherwise(dirs))
+
+
+def _line(key: Column, depth: int, *said: Column | str) -> list[Column]:
+    return [key.alias("key"), F.concat(F.lit("  " * depth), *(F.lit(x) if isinstance(x, str) else x for x in said)).alias("line")]
+
+
+def tree_lines(n: DataFrame, files_per_dir: int = 10, dirs_per_dir: int = 12, deepest: int = 4) -> DataFrame:
+    """A node table as indented text, a row a line: key (a path of places: its order is the lines') and line.
+
+    A directory's files come first, then its directories, as many of each as the caps allow and then how many more there are; at ``deepest`` its children
+    are only counted. Walked from the root, a join a level with directories that are shown, of which there are dirs_per_dir ^ level at the most. Each
+    task passes on a directory's first children alone (a window's group limit), so no directory is sorted in one.
+    """
+    kids = shown(n)
+    counts = kids.groupBy(F.col("parent_id").alias("id")).agg(F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "dir").alias("dirs"))
+    placed = cut(_placed(kids, files_per_dir, dirs_per_dir))
+    level = n.where("parent_id is null").select("id", F.lit("").alias("key"), "name")
+    out = None
+    for depth in range(deepest + 1):
+        level = cut(level.join(counts, "id", "left").fillna(0, ["files", "dirs"]))
+        key = F.col("key")
+        parts = [level.select(*_line(key, depth, F.col("name"), "/"))]
+        if depth == deepest:
+            parts.append(level.select(*_line(F.concat(key, F.lit("0")), depth, "  ... (", F.col("files").cast("string"), " files, ", F.col("dirs").cast("string"), " dirs)")))
+        else:
+            below = placed.join(level.select(F.col("id").alias("parent_id"), "key"), "parent_id")
+            place = F.concat(key, F.when(F.col("type") == "file", "0").otherwise("1"), F.lpad(F.col("nth").cast("string"), 6, "0"))
+            parts.append(below.where("type = 'file'").select(*_line(place, depth, "  ", F.col("name"))))
+            for kind, cap, mark in (("files", files_per_dir, "0~"), ("dirs", dirs_per_dir, "1~")):
+                more = level.where(F.col(kind) > cap)
+                parts.append(more.select(*_line(F.concat(key, F.lit(mark)), depth, "  ... (+", (F.col(kind) - cap).cast("string"), f" more {kind})")))
+            level = below.where("type = 'dir'").select("id", place.alias("key"), "name")
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
+def tree_summary(n: DataFrame, files: int = 10, dirs: int = 18) -> DataFrame:
+    """The root's first files, and its first directories with what each holds: key, line."""
+    kids = shown(n)
+    root = n.where("parent_id is null").select("id", "name")
+    top = kids.join(root.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    counts = kids.groupBy(F.col("parent_id").alias("id")).agg(F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "dir").alias("dirs"))
+    said = _placed(top, files, dirs).join(counts, "id", "left").fillna(0, ["files", "dirs"])
+    place = F.concat(F.when(F.col("type") == "file", "0").otherwise("1"), F.lpad(F.col("nth").cast("string"), 6, "0"))
+    held = F.when(F.col("type") == "dir", F.concat(F.lit("/ ("), F.col("files").cast("string"), F.lit(" files, "), F.col("dirs").cast("string"), F.lit(" dirs)"))).otherwise("")
+    more = top.agg(F.count_if(F.col("type") == "dir").alias("n")).where(F.col("n") > dirs)
+    return (
+        root.select(*_line(F.lit(""), 0, F.col("name"), "/"))
+        .unionByName(said.select(*_line(place, 1, F.col("name"), held)))
+        .unionByName(more.select(*_line(F.lit("1~"), 1, "... (+", (F.col("n") - dirs).cast("string"), " more top-level dirs)")))
+    )
+
+
+def tree_text(n: DataFrame, most_chars: int, files_per_dir: int = 10, dirs_per_dir: int = 12, deepest: int = 4, top_dirs: int = 18) -> DataFrame:
+    """The lines of a tree's text in order, nth and line: whole if they have ``most_chars`` characters at the most, else the summary.
+
+    The lines' lengths are summed where they lie; one number reaches the driver.
+    """
+    whole = cut(tree_lines(n, files_per_dir, dirs_per_dir, deepest))
+    long = (whole.agg(F.sum(F.length("line") + 1).alias("n")).first()["n"] or 0) > most_chars
+    lines = tree_summary(n, files_per_dir, top_dirs) if long else whole
+    return lines.select((F.row_number().over(Window.orderBy("key"))).alias("nth"), "line")  # lines are bounded by the caps
+
+
+def nested(values: DataFrame, most: int = 10_000) -> DataFrame:
+    """values(id, name, parent_id, depth, value) -> one row, json: nodes folded into their parents from the deepest level up.
+
+    Children are sorted by falling value, then name. More than ``most`` nodes are an error: a drawing has no use for them, and one value can't hold any number.
+    """
+    if values.limit(most + 1).count() > most:
+        raise ValueError(f"a nested document takes {most} nodes at the most; cut the tree first")
+    rows = cut(values.select("id", "name", "parent_id", "depth", "value"))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    below = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        own = F.to_json(F.struct("name", "value"))
+        if below is None:
+            said = own
+        else:
+            kids = below.groupBy("parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("less"), "name", "json"))), lambda k: k["json"]), ",").alias("kids"))
+            level = level.join(kids.withColumnRenamed("parent_id", "_of"), F.col("id") == F.col("_of"), "left")
+            said = F.when(F.col("kids").isNull(), own).otherwise(F.concat(F.expr("left(to_json(struct(name, value)), length(to_json(struct(name, value))) - 1)"), F.lit(',"children":['), "kids", F.lit("]}")))
+        below = level.select("parent_id", "name", "value", said.alias("json"))
+        if depth % 4 == 0:
+            below = cut(below)
+    return below.select("json") if below is not None else rows.select(F.lit("").alias("json"))
+
+
 def code_areas(files: DataFrame, most: int = 8) -> DataFrame:
     """files(path, role) -> area, n: source files by first and by first two parts of the path."""
     p = P.parts(F.col("path"))
@@ -91,7 +200,10 @@ def boundaries(files: DataFrame, entries: DataFrame, most: int = 8) -> DataFrame
     """files(path, role), entries(path, rank) -> project, source_files, test_files, entry, core_areas."""
     p = P.parts(F.col("path"))
     rooted = files.select(F.get(p, F.lit(0)).alias("project"), "role", F.when((F.col("role") == "source") & (F.size(p) >= 2), F.array_join(F.slice(p, 1, 2), "/")).alias("area"))
-    by = rooted.groupBy("project").agg(F.count_if(F.col("role") == "source").alias("source_files"), F.count_if(F.col("role") == "test").alias("test_files"), F.slice(F.array_sort(F.collect_set("area")), 1, 2).alias("core_areas"))
+    by = rooted.groupBy("project").agg(F.count_if(F.col("role") == "source").alias("source_files"), F.count_if(F.col("role") == "test").alias("test_files"))
+    # the two smallest areas of each project: a task passes on two a project
+    areas = rooted.where("area is not null").select("project", "area").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("project").orderBy("area"))).where("nth <= 2")
+    by = by.join(areas.groupBy("project").agg(F.array_sort(F.collect_list("area")).alias("core_areas")), "project", "left").withColumn("core_areas", F.coalesce("core_areas", F.array().cast("array<string>")))
     first = entries.groupBy(F.get(P.parts(F.col("path")), F.lit(0)).alias("project")).agg(F.min_by("path", "rank").alias("entry"))
     met = by.where("source_files > 0").join(first, "project", "left").fillna("", ["entry"])
     return met.orderBy(F.desc(F.col("entry") != ""), F.desc("source_files"), F.desc("test_files"), F.desc("project")).limit(most)

@@ -77,10 +77,48 @@ def frames(modules: DataFrame) -> DataFrame:
     Frames are numbered over the snapshots, not over rows; each meets the one before by a full outer join.
     """
     ids = modules.select("snapshot_id").distinct().withColumn("frame", F.row_number().over(Window.orderBy("snapshot_id")))
-    now = modules.join(F.broadcast(ids), "snapshot_id").drop("snapshot_id")
+    now = modules.join(ids, "snapshot_id").drop("snapshot_id")
     last = ids.agg(F.max("frame").alias("last"))
     before = now.select((F.col("frame") + 1).alias("frame"), "module", *[F.col(c).alias(f"was_{c}") for c in ("core_score", "tier", "role")]).join(F.broadcast(last)).where("frame <= last").drop("last")
     met = now.where("frame > 1").join(before, ["frame", "module"], "full_outer")
     moved = (F.abs(F.col("core_score") - F.col("was_core_score")) > 0.01) | (F.col("tier") != F.col("was_tier")) | (F.col("role") != F.col("was_role"))
     change = F.when(F.col("was_tier").isNull(), "added").when(F.col("tier").isNull(), "removed").when(moved, "changed")
     return met.withColumn("change", change).where("change is not null").select("frame", "module", "change")
+
+
+def frames_layout(modules: DataFrame) -> DataFrame:
+    """modules(snapshot_id, module, core_score, tier, role, file_count) -> frame, snapshot_id, module, present, core_score, tier, role, file_count, x, y.
+
+    All frames share one ring, laid over the modules of all snapshots, so a module never moves. A module that a frame lacks is carried over from the last that
+    has it, not present; before its first frame it has no row. Frames are numbered over snapshots, and gaps are filled by a window over a module's frames alone.
+    """
+    ids = modules.select("snapshot_id").distinct().withColumn("frame", F.row_number().over(Window.orderBy("snapshot_id")))
+    last = ids.agg(F.max("frame").alias("last"))
+    told = modules.join(ids, "snapshot_id").drop("snapshot_id").join(F.broadcast(last))  # one row
+    until = F.coalesce(F.lead("frame").over(Window.partitionBy("module").orderBy("frame")) - 1, F.col("last"))
+    shown = told.withColumn("until", until).withColumn("at", F.explode(F.sequence("frame", "until")))
+    shown = shown.withColumn("present", F.col("at") == F.col("frame")).drop("frame", "last", "until").withColumnRenamed("at", "frame")
+    places = ring(modules.select(F.col("module").alias("id")).distinct()).withColumnRenamed("id", "module")
+    return shown.join(places, "module").join(ids, "frame").select("frame", "snapshot_id", "module", "present", "core_score", "tier", "role", "file_count", "x", "y")
+
+
+def frame_links(links: DataFrame, modules: DataFrame) -> DataFrame:
+    """links(snapshot_id, src, dst, weight), modules(snapshot_id, module) -> those with both ends in their snapshot, with line width and opacity."""
+    here = modules.select("snapshot_id", "module").distinct()
+    kept = links.join(here.withColumnRenamed("module", "src"), ["snapshot_id", "src"], "left_semi").join(here.withColumnRenamed("module", "dst"), ["snapshot_id", "dst"], "left_semi")
+    return kept.select("snapshot_id", "src", "dst", "weight", F.round(F.least(1 + F.col("weight") / 5, F.lit(5.0)), 4).alias("width"), F.round(F.least(0.3 + F.col("weight") / 30, F.lit(0.8)), 4).alias("opacity"))
+
+
+def function_nodes(near: DataFrame, files: DataFrame, focus: str) -> DataFrame:
+    """near(id, hop, ...), files(path, module) -> id, name, file, module, hop, size, border of functions."""
+    of = near.withColumn("file", F.substring_index("id", ":", 1)).withColumn("name", F.expr("substring(id, instr(id, ':') + 1)"))
+    met = of.join(files.select(F.col("path").alias("file"), "module"), "file", "left").fillna("unknown", ["module"])
+    own = F.col("file") == focus
+    return met.select("id", "name", "file", "module", "hop", F.when(own, 25).otherwise(15).alias("size"), F.when(own, 2).otherwise(0).alias("border"))
+
+
+def function_links(edges: DataFrame, near: DataFrame) -> DataFrame:
+    """edges(caller, callee, weight), near(id) -> calls among these functions, with line width and opacity."""
+    ids = near.select("id")
+    kept = edges.join(ids.withColumnRenamed("id", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("id", "callee"), "callee", "left_semi")
+    return kept.select("caller", "callee", "weight", F.round(F.least(1 + F.col("weight") / 2, F.lit(4.0)), 4).alias("width"), F.round(F.least(0.4 + F.col("weight") / 10, F.lit(0.8)), 4).alias("opacity"))

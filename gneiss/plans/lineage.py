@@ -8,11 +8,20 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` under ``spark.checkpoint.dir``; unset, a local master gets a temporary folder, a cluster one in its warehouse."""
+    """A checkpoint of ``df`` under ``spark.checkpoint.dir``. Unset, a local master gets a temporary folder; on a cluster that is an error, as no other folder is known to be shared."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
-        local = sc.master.split("[")[0] == "local"
-        sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="lineage-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
+        if not named and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lineage-"))
     return df.checkpoint()
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that nothing reads any more."""
+    at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if at.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -245,8 +245,6 @@ SOURCE_SCORE = f"""(case when contains(lower(path), '/src/') or starts_with(lowe
   + coalesce(core_score, 0) * 5.0 + 1.5 + least(n_sigs, 40) * 0.25 - case when contains({LOW}, 'test') or len(list_filter(parts, lambda p: lower(p) in ('tests', 'test', '__tests__'))) > 0 then 12.0 else 0 end)"""
 O["source_rank"] = f"with {SCORES}, roled as (select *, {prompt_role()} as role, {PARTS} as parts from files), s as (select path, round(cast({SOURCE_SCORE} as double), 6) as score, n_sigs from roled left join (select module, core_score from scores) using (module) where role = 'source' and not {NOISE}) select * from s where score > 0"
 O["test_rank"] = f"with {ROLED} select path, n_sigs from roled where role = 'test' and not {NOISE} and not (contains(lower(path), '/vendor/') or starts_with(lower(path), 'vendor/'))"
-ENTRY_REASON = cases([(f"{NAME} = 'app_6.js'", "'web start'"), (f"contains({LOW}, 'cli')", "'CLI entry point'")], "''")
-O["entry_rank"] = f"with {ROLED}, e as (select path, {ENTRY_REASON} as reason, case when {NAME} = 'app_6.js' then 5 else {ENTRY_POINTS} end as points, ord % 7 / 10 as own from roled where role <> 'test') select path, reason, round(points * 10 + own, 6) as score from e where points > 0"
 O["snippet_tags"] = f"with {SIGS}, r as (select path, name, line, row_number() over (partition by path order by case when name in ('fn_1', 'fn_10') then 0 else 1 end, case when starts_with(name, '_') then 1 else 0 end, line, name) as nth from sigs) select * from r where nth <= 2"
 O["symbol_scores"] = f"with {SIGS}, r as (select path, row_number() over (order by name desc, path, line) - 1 as place from sigs) select path, round(sum(pow(0.95, place)), 9) as score from r group by path"
 O["rank_cascade"] = f"""with {FILES}, h as (select path, ord, {HEURISTIC.replace("path = 'src/core/engine_8.py'", "false").replace("path = 'cli/cli_2.py'", "false")} as s from files),
@@ -450,16 +448,44 @@ select ord, '- ' || path || ': ' || descr[1:80] || ' [' || array_to_string(tags,
 O["language_hints"] = "with t as (select (repeat('中', cast(doc_id % 400 as int)) || coalesce(text, ''))[1:500] as h from documents) select case when length(regexp_replace(h, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) / greatest(length(h), 1) > 0.3 then 'zh' else 'en' end as hint, count(*) as n from t group by 1"
 WORD_LINES = "wl as (select p_brand as dimension, '  ' || p_brand || ': ' || string_agg(distinct p_type, ', ' order by p_type) as line from part group by p_brand)"
 O["vocabulary_lines"] = f"with {WORD_LINES} select dimension, line from wl"
-O["vocabulary_hash"] = f"with {WORD_LINES} select sha256(string_agg(line, chr(10) order by line))[1:16] as hash from wl"
-KINDS = ", ".join(f"count(*) filter (where regexp_matches(lower(path), '{k}')) as {name}" for name, _, k in A.KINDS)
-DETECTED = cases([("projects >= 2", "'monorepo'"), *[(f"{name} >= {least}", f"'{name}'") for name, least, _ in A.KINDS]], "'generic'")
-O["repository_kind"] = f"""with {FILES}, t as (select {PARTS}[1] as top, count(*) as n, count(*) filter (where lower({NAME}) in ({quoted(A.MARKERS)}) or list_contains(list_transform({PARTS}[2:], lambda p: lower(p)), 'src')) as marks from files group by 1),
-k as (select {KINDS} from files), c as (select (select count(*) from t where n >= 8 and marks >= 1) as projects, k.* from k) select *, {DETECTED} as archetype from c"""
+O["vocabulary_hash"] = """with v as (select p_brand as dimension, string_agg(distinct '"' || p_type || '"', ', ' order by '"' || p_type || '"') as tags from part group by p_brand)
+select sha256('{' || string_agg('"' || dimension || '": [' || tags || ']', ', ' order by dimension) || '}')[1:16] as hash from v"""
+# The path kinds as SQL of their own, written out.
+KINDS = """count(*) filter (where regexp_matches(low, '\\.(tsx|jsx|vue|svelte|css|scss)$') or contains(low, 'vite.config') or contains(low, 'next.config')) as frontend,
+count(*) filter (where regexp_matches(low, '\\.(tf|hcl)$|docker-compose\\.ya?ml$') or contains(low, '/k8s/') or contains(low, '/helm/')) as infra,
+count(*) filter (where contains(low, '/server') or contains(low, '/gateway') or contains(low, '/api/') or contains(low, 'http') or contains(low, 'router')) as service,
+count(*) filter (where contains(low, '/src/') and not contains(low, '/tests/') and not contains(low, '/test/')) as library"""
+
+
+def kind_of(paths: str) -> str:
+    """Per grp of paths(grp, path): counts and the archetype that they make."""
+    return f"""pl as (select grp, path, lower(path) as low, string_split(path, '/') as parts from {paths}),
+pt as (select grp, parts[1] as top, count(*) as n, count(*) filter (where regexp_extract(low, '[^/]*$') in ('pyproject.toml', 'package.json', 'go.mod', 'cargo.toml', 'pom.xml', 'build.gradle') or list_contains(list_transform(parts[2:], lambda p: lower(p)), 'src')) as marks from pl group by all),
+pk as (select grp, count(*) as files, {KINDS} from pl group by grp),
+kinds as (select pk.*, (select count(*) from pt where pt.grp = pk.grp and n >= 8 and marks >= 1) as projects from pk),
+told_kinds as (select *, case when projects >= 2 then 'monorepo' when frontend >= 8 then 'frontend' when infra >= 6 then 'infra' when service >= 6 then 'service' when library >= 10 then 'library' else 'generic' end as archetype from kinds)"""
+
+
+O["repository_kind"] = f"with {FILES}, one as (select 1 as grp, path from files), {kind_of('one')} select files, projects, frontend, infra, service, library, archetype from told_kinds"
+NAMES = quoted([r for r, _, _ in C.REPOSITORIES])
+REPO_PATH = cases([(f"o_custkey % {len(C.REPOSITORIES)} = {i} and o_orderkey % 5 {sign} 0", "'{}' || o_orderkey || '{}'".format(*shape.split("{k}"))) for i, (_, usual, fifth) in enumerate(C.REPOSITORIES) for sign, shape in (("<>", usual), ("=", fifth))], "null")
+REPOS = f"""rp as (select [{NAMES}][o_custkey % {len(C.REPOSITORIES)} + 1] as grp, o_orderkey as ord, {REPO_PATH} as path from orders), {kind_of("rp")},
+rm as (select [{NAMES}][n_nationkey % {len(C.REPOSITORIES)} + 1] as grp, n_nationkey as ord, lower(n_name) as name from nation),
+rw as (select grp, string_agg('about ' || name || case grp when 'handbook' then ' sdk and parser' when 'tool' then ' a proxy' else '' end, ' ') as said from (select *, row_number() over (partition by grp order by ord) as nth from rm) where nth <= 16 group by grp),
+rk as (select grp, case when archetype <> 'generic' then archetype when regexp_matches(coalesce(said, ''), 'gateway|proxy|router|server') then 'service' when regexp_matches(coalesce(said, ''), 'indexing|parser|library|sdk') then 'library' when lower(grp) in ('infra', 'infrastructure', 'ops') then 'infra' else 'generic' end as archetype from told_kinds left join rw using (grp))"""
+O["repository_kinds"] = f"with {REPOS} select grp as repo, archetype from rk"
+# The names as the archetypes have them, written out.
+ENTRY_WHY = """case when name = 'main.py' then 'Main process entry' when name = 'cli.py' then 'Command-line entry'
+  when archetype in ('service', 'monorepo') and name = 'api.py' then 'API entry/handler surface' when archetype in ('service', 'monorepo') and name = 'gateway.py' then 'Gateway or edge orchestration'
+  when archetype in ('frontend', 'monorepo') and name in ('app.tsx', 'main.tsx') then 'Frontend application entry' when archetype = 'infra' and name = 'main.tf' then 'Infrastructure root module entry' end"""
+O["entry_rank"] = f"""with {REPOS}, rf as (select grp as repo, ord, path, []::varchar[] as tags, {PARTS} as parts from rp), rr as (select *, {prompt_role()} as role, {NAME} as name from rf),
+rt as (select rr.*, archetype, {ENTRY_WHY} as known from rr join rk on grp = repo where role <> 'test'),
+rs as (select *, coalesce(known, case when name = 'app.py' then 'application bootstrap' when contains(lower(name), 'cli') then 'CLI entry point' else '' end) as reason,
+  case when known is not null then 5 when name = 'app.py' then 4 when contains(lower(name), 'cli') then 3 else 0 end as points from rt)
+select repo, path, reason, round(points * 10 + ord % 7 / 10, 6) as score from rs where points > 0"""
 WORDED = cases([*[(f"lower(directory) = '{d}'", f"'{said}'") for d, said in A.DIRECTORIES.items()], *[(f"regexp_matches(lower(directory), '{'|'.join(w.split())}')", f"'{said}'") for w, said in A.DIRECTORY_WORDS]], "'Service component'")
 O["directory_descriptions"] = f"with {FILES}, d as (select distinct {PARTS}[1] as directory from files where not ends_with({PARTS}[1], '.md') union all select unnest(['DataLoader', 'my_plots', 'whatever'])) select directory, {WORDED} as desc from d"
 O["modules_in_order"] = f"with {RULE_TABLES} select cast(row_number() over (order by case when tier = 'core' then 0 else 1 end, case when contains(lower(module), 'test') or length(module) % 3 = 0 then 1 else 0 end, core_score desc, module) as int) as nth, module, tier, core_score from m"
-O["symbol_rank_blend"] = f"""with {FILES}, {SIGS}, r as (select path, row_number() over (order by name desc, path, line) - 1 as place from sigs), sy as (select path, sum(pow(0.95, place)) as s from r group by path), h as (select path, {HEURISTIC} as p from files)
-select path, round(0.6 * coalesce(s / (select max(s) from sy), 0) + 0.4 * p / (select max(p) from h), 6) as score from h left join sy using (path)"""
 O["expanded_target"] = f"with {FILES} select 'module' as target, path, module from files where module in ('mod:BUILDING', 'BUILDING') union all select 'path', path, module from files where starts_with(path, 'src/core')"
 O["module_report"] = f"""with {DRAWN}, l as (select id as module, '- **' || id || '** [' || tier || '] (score=' || printf('%.2f', core_score) || ', ' || file_count || ' files): about ' || id as line, row_number() over (order by core_score desc, id) as nth from nm),
 c as (select *, greatest(1, (length(line) + 1) // 4) as cost from l), u as (select *, cast(sum(cost) over (order by nth) as bigint) as used from c) select nth, module, line, cost, used from u where used <= 150"""

@@ -319,10 +319,20 @@ def test_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rank.test_files(with_roles(C.counted_files(spark, sf)))
 
 
+def repository_kinds_of(spark: SparkSession, sf: str) -> DataFrame:
+    return archetype.detect(C.repositories(spark, sf), C.repository_modules(spark, sf), F.col("repo"), ["repo"])
+
+
+@query
+def repository_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return repository_kinds_of(spark, sf)
+
+
 @query
 def entry_rank(spark: SparkSession, sf: str) -> DataFrame:
-    f = with_roles(C.files(spark, sf)).withColumn("score", F.col("ord") % 7 / 10)
-    return rank.entry_files(f, {"app_6.js": "web start"}).withColumn("score", F.round("score", 6))
+    f = C.repositories(spark, sf).withColumn("tags", F.array().cast("array<string>"))
+    scored = with_roles(f).withColumn("score", F.col("ord") % 7 / 10)
+    return rank.entry_files(scored, repository_kinds_of(spark, sf), ["repo"]).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -628,7 +638,7 @@ def yearly(spark: SparkSession, sf: str) -> DataFrame:
     by = C.counted_files(spark, sf).where("module <> ''").groupBy(F.date_format("day", "yyyy").alias("snapshot_id"), "module").agg(F.count("*").alias("n"), F.sum("n_sigs").alias("sigs"))
     score = F.round(F.col("n") % 50 / 50, 4)
     kept = by.where("(n + sigs) % 7 <> 0")
-    return kept.select("snapshot_id", "module", score.alias("core_score"), R.tier(score, F.lit(0.0)).alias("tier"), F.when(F.col("sigs") % 2 == 0, "core").otherwise("infra").alias("role"))
+    return kept.select("snapshot_id", "module", score.alias("core_score"), R.tier(score, F.lit(0.0)).alias("tier"), F.when(F.col("sigs") % 2 == 0, "core").otherwise("infra").alias("role"), F.col("n").alias("file_count"))
 
 
 @query
@@ -834,7 +844,7 @@ def language_hints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_words(spark: SparkSession, sf: str) -> DataFrame:
-    return C.table(spark, sf, "part").select(F.col("p_brand").alias("dimension"), F.col("p_type").alias("tag"))
+    return C.table(spark, sf, "part").select(F.col("p_brand").alias("dimension"), F.col("p_type").alias("tag")).distinct()
 
 
 @query
@@ -866,13 +876,6 @@ def modules_in_order(spark: SparkSession, sf: str) -> DataFrame:
     return rank.module_order(m).select("nth", "module", "tier", "core_score")
 
 
-@query
-def symbol_rank_blend(spark: SparkSession, sf: str) -> DataFrame:
-    f = C.files(spark, sf)
-    symbols = rank.symbol_scores(C.signatures(spark, sf), [F.desc("name"), F.asc("path"), F.asc("line")])
-    return rank.symbol_blend(f, symbols, rank.heuristic(f, ["src/core/engine_8.py"], ["cli/cli_2.py"])).withColumn("score", F.round("score", 6))
-
-
 @query
 def expanded_target(spark: SparkSession, sf: str) -> DataFrame:
     f = C.files(spark, sf)

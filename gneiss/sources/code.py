@@ -1,13 +1,12 @@
 """Symbols in source files: definitions, references, signatures and spans of functions.
 
-Python files are parsed by their own grammar; other languages by patterns for their definition lines.
+Python files are parsed by their own grammar; other languages are read by their blocks (``spans``).
 Lines of tags are 0-based, lines of spans 1-based. Files that don't parse, are empty or of an unknown language give no rows.
 """
 
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,23 +15,9 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
 from gneiss.operators import deps
+from gneiss.sources import spans
 
 TAGS = "path string, ord long, name string, kind string, tag string, line long"
-SPANS = "path string, name string, start long, end long"
-
-# Definition lines of languages without a parser here: (kind, pattern with the name in group 1).
-PATTERNS = {
-    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")],
-    "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("type", r"^type\s+(\w+)")],
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)")],
-    "java": [("class", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s(\w+)\s*\(")],
-    "ruby": [("class", r"^\s*(?:class|module)\s+([A-Z]\w*)"), ("method", r"^\s*def\s+(?:self\.)?(\w+[?!]?)")],
-    "c": [("class", r"^\s*(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)"), ("function", r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;]*$")],
-    "php": [("class", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|static)\s+)*function\s+&?(\w+)")],
-}
-PATTERNS |= {"typescript": [*PATTERNS["javascript"], ("interface", r"^\s*(?:export\s+)?(?:interface|type)\s+(\w+)")], "cpp": [*PATTERNS["c"], ("class", r"^\s*class\s+(\w+)")], "kotlin": [("class", r"^\s*(?:\w+\s+)*(?:class|interface|object)\s+(\w+)"), ("function", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(\w+)")], "c_sharp": PATTERNS["java"], "scala": [("class", r"^\s*(?:\w+\s+)*(?:class|object|trait)\s+(\w+)"), ("function", r"^\s*(?:\w+\s+)*def\s+(\w+)")]}
-CODE = {lang: [(kind, re.compile(p)) for kind, p in ps] for lang, ps in PATTERNS.items()}
-
 
 def python_tree(content: str | None) -> ast.AST | None:
     try:
@@ -59,15 +44,6 @@ def python_tags(content: str | None) -> Iterator[tuple[str, str, str, int]]:
         yield name, kind, tag, line - 1
 
 
-def pattern_tags(language: str, content: str | None) -> Iterator[tuple[str, str, str, int]]:
-    for line, text in enumerate((content or "").split("\n")):
-        for kind, pattern in CODE.get(language, ()):
-            m = pattern.match(text)
-            if m and m[1] not in ("if", "for", "while", "switch", "return", "else"):
-                yield m[1], kind, "def", line
-                break
-
-
 def tags(contents: DataFrame) -> DataFrame:
     """contents(path, content) -> path, ord, name, kind, tag (def or ref), line (0-based)."""
 
@@ -75,26 +51,35 @@ def tags(contents: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for path, language, content in zip(b["path"], b["language"], b["content"], strict=True):
-                found = python_tags(content) if language == "python" else pattern_tags(language, content)
-                rows += [(path, i, *x[:3], x[3]) for i, x in enumerate(found)]
+                found = python_tags(content) if language == "python" else (t[:4] for t in spans.tags_of(content, language))
+                rows += [(path, i, *x) for i, x in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "ord", "name", "kind", "tag", "line"])
 
     told = contents.select("path", "content", P.language(F.col("path")).alias("language")).where("language is not null and content is not null")
     return told.mapInPandas(run, TAGS)
 
 
-def functions(contents: DataFrame) -> DataFrame:
-    """contents(path, content) -> path, name, start, end of Python functions, lines 1-based."""
+def definition_spans(contents: DataFrame) -> DataFrame:
+    """contents(path, content) -> path, name, kind, start, end of definitions, lines 1-based: Python by its grammar, other languages by their blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                tree = python_tree(content)
-                rows += [(path, n.name, n.lineno, n.end_lineno) for n in (ast.walk(tree) if tree else ()) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            yield pd.DataFrame(rows, columns=["path", "name", "start", "end"])
+            for path, language, content in zip(b["path"], b["language"], b["content"], strict=True):
+                if language == "python":
+                    tree = python_tree(content)
+                    rows += [(path, n.name, "class" if isinstance(n, ast.ClassDef) else "function", n.lineno, n.end_lineno) for n in (ast.walk(tree) if tree else ()) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+                else:
+                    rows += [(path, t.name, t.kind, t.line + 1, t.end + 1) for t in spans.tags_of(content, language) if t.tag == "def"]
+            yield pd.DataFrame(rows, columns=["path", "name", "kind", "start", "end"])
+
+    told = contents.select("path", "content", P.language(F.col("path")).alias("language")).where("language is not null and content is not null")
+    return told.mapInPandas(run, "path string, name string, kind string, start long, end long")
 
-    return contents.where(P.language(F.col("path")) == "python").select("path", "content").mapInPandas(run, SPANS)
+
+def functions(contents: DataFrame) -> DataFrame:
+    """contents(path, content) -> path, name, start, end of functions and methods, lines 1-based."""
+    return definition_spans(contents).where("kind in ('function', 'method')").select("path", "name", "start", "end")
 
 
 def python_imports(contents: DataFrame) -> DataFrame:

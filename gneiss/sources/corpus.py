@@ -24,6 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+#: Repositories, and what an order's path looks like in each: its usual file, and that of every fifth order.
+REPOSITORIES = [
+    ("infra", "notes/{k}.md", "notes/{k}/readme.txt"), ("ops", "m/main_{k}.tf", "m/{k}/main.tf"), ("Infrastructure", "x/{k}.txt", "x/{k}/main.tf.bak"), ("shop", "back/src/api/h_{k}.py", "back/{k}/api.py"),
+    ("ui", "pages/{k}.svelte", "w/{k}/app.tsx"), ("svc", "x/router_{k}.py", "r/{k}/gateway.py"), ("lib", "pkg/src/m_{k}.py", "pkg/{k}/main.py"), ("mono", "a/src/f_{k}.py", "b/src/{k}/main.tsx"),
+    ("handbook", "guide/{k}.md", "guide/{k}/index.js"), ("tool", "t/{k}.sh", "t/{k}/cli.py"), ("trial", "x/tests/src/t_{k}.py", "x/{k}/app.py"), ("misc", "misc/{k}.c", "misc/{k}/api.py"),
+]
+
+
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as files of twelve repositories: repo, ord, path."""
+    k = F.col("o_orderkey")
+    out = F
+    for i, (_, usual, fifth) in enumerate(REPOSITORIES):
+        made = [F.concat(F.lit(x.split("{k}")[0]), k.cast("string"), F.lit(x.split("{k}")[1])) for x in (usual, fifth)]
+        out = out.when(F.col("o_custkey") % len(REPOSITORIES) == i, F.when(k % 5 == 0, made[1]).otherwise(made[0]))
+    name = F.element_at(F.array(*[F.lit(r) for r, _, _ in REPOSITORIES]), (F.col("o_custkey") % len(REPOSITORIES) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(name.alias("repo"), k.alias("ord"), out.alias("path"))
+
+
+def repository_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as modules of these repositories: repo, ord, desc."""
+    name = F.element_at(F.array(*[F.lit(r) for r, _, _ in REPOSITORIES]), (F.col("n_nationkey") % len(REPOSITORIES) + 1).cast("int"))
+    said = F.when(name == "handbook", " SDK and Parser").when(name == "tool", " a Proxy").otherwise("")
+    return table(spark, sf_dir, "nation").select(name.alias("repo"), F.col("n_nationkey").alias("ord"), F.concat(F.lit("about "), F.col("n_name"), said).alias("desc"))
+
+
 def order_path(key: Column) -> Column:
     out = F
     for i, shape in enumerate(SHAPES):
