@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.plans.lineage import cut
+
 ALIKE = 0.3
 
 
@@ -34,12 +36,23 @@ def tag_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("path", added.alias("added"), removed.alias("removed")).where((F.size("added") > 0) | (F.size("removed") > 0))
 
 
+def module_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old_module, new_module, in_old, in_new, n, tagged: all file changes by pair of modules, from one full outer join of the files."""
+    met = both(old, new)
+    differs = F.col("in_old") & F.col("in_new") & ((F.size(F.array_except("new_tags", "old_tags")) > 0) | (F.size(F.array_except("old_tags", "new_tags")) > 0))
+    return met.groupBy("old_module", "new_module", "in_old", "in_new").agg(F.count("*").alias("n"), F.count_if(differs).alias("tagged"))
+
+
+def pair_likeness(pairs: DataFrame) -> DataFrame:
+    """``module_pairs`` -> old_id, new_id, shared, jaccard of modules that share a file."""
+    named = lambda side: pairs.where(f"in_{side} and {side}_module <> ''").groupBy(F.col(f"{side}_module").alias(f"{side}_id")).agg(F.sum("n").alias(f"n_{side}"))
+    shared = pairs.where("in_old and in_new and old_module <> '' and new_module <> ''").select(F.col("old_module").alias("old_id"), F.col("new_module").alias("new_id"), F.col("n").alias("shared"))
+    return shared.join(named("old"), "old_id").join(named("new"), "new_id").select("old_id", "new_id", "shared", (F.col("shared") / (F.col("n_old") + F.col("n_new") - F.col("shared"))).alias("jaccard"))
+
+
 def module_likeness(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old_id, new_id, shared, jaccard of modules that share a file. Sizes are aggregated apart, so the join is by path alone."""
-    a, b = old.where("module <> ''").select("path", F.col("module").alias("old_id")), new.where("module <> ''").select("path", F.col("module").alias("new_id"))
-    shared = a.join(b, "path").groupBy("old_id", "new_id").agg(F.count("*").alias("shared"))
-    sizes_a, sizes_b = a.groupBy("old_id").agg(F.count("*").alias("n_old")), b.groupBy("new_id").agg(F.count("*").alias("n_new"))
-    return shared.join(sizes_a, "old_id").join(sizes_b, "new_id").select("old_id", "new_id", "shared", (F.col("shared") / (F.col("n_old") + F.col("n_new") - F.col("shared"))).alias("jaccard"))
+    """old_id, new_id, shared, jaccard of modules that share a file. Files meet once, by path; all else is on pairs of modules."""
+    return pair_likeness(module_pairs(old, new))
 
 
 def module_matches(old_modules: DataFrame, new_modules: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
@@ -48,7 +61,11 @@ def module_matches(old_modules: DataFrame, new_modules: DataFrame, old: DataFram
     Old modules choose in order, each the likest new one that none has chosen, from ``ALIKE`` on. A module has
     at most three that alike, so the pairs that the choice folds over are few; it runs on one group.
     """
-    pairs = module_likeness(old, new).where(F.col("jaccard") >= ALIKE)
+    return chosen_matches(module_likeness(old, new), old_modules, new_modules)
+
+
+def chosen_matches(likeness: DataFrame, old_modules: DataFrame, new_modules: DataFrame) -> DataFrame:
+    pairs = likeness.where(F.col("jaccard") >= ALIKE)
     pairs = pairs.join(old_modules.select(F.col("module").alias("old_id"), F.col("ord").alias("a")), "old_id").join(new_modules.select(F.col("module").alias("new_id"), F.col("ord").alias("b")), "new_id")
     listed = pairs.agg(F.array_sort(F.collect_list(F.struct("a", (-F.col("jaccard")).alias("unlike"), "b", "old_id", "new_id"))).alias("pairs"))
     none = F.lit(None).cast("array<struct<old_id: string, new_id: string, jaccard: double>>")
@@ -77,3 +94,20 @@ def stats_delta(old: DataFrame, new: DataFrame) -> DataFrame:
 def magnitude(files: DataFrame, tags: DataFrame, modules: DataFrame) -> DataFrame:
     parts = files.select(F.lit(1).alias("one")).unionByName(tags.select(F.lit(1).alias("one"))).unionByName(modules.select(F.lit(1).alias("one")))
     return parts.agg(F.count("*").alias("change_magnitude"))
+
+
+def change_magnitude(old: DataFrame, new: DataFrame, old_modules: DataFrame | None = None, new_modules: DataFrame | None = None) -> DataFrame:
+    """One row, change_magnitude of two versions of files(path, module, tags): files added, removed and moved, files with other tags, modules added and removed.
+
+    The files meet in one join; what is counted and matched afterwards is a row a pair of modules, kept once. Without their own order modules choose by name.
+    """
+    pairs = cut(module_pairs(old, new))
+    named = lambda side: pairs.where(f"in_{side} and {side}_module <> ''").select(F.col(f"{side}_module").alias("module")).distinct()
+    placed = lambda m: m.withColumn("ord", F.row_number().over(Window.orderBy("module")))
+    om, nm = (placed(named("old")) if old_modules is None else old_modules), (placed(named("new")) if new_modules is None else new_modules)
+    matches = cut(chosen_matches(pair_likeness(pairs), om, nm))
+    renamed = matches.select(F.col("old_id").alias("old_module"), F.col("new_id").alias("renamed"))
+    moved = F.when(~F.col("in_old") | ~F.col("in_new") | (F.coalesce("renamed", "old_module") != F.col("new_module")), F.col("n")).otherwise(0)
+    files = pairs.join(renamed, "old_module", "left").agg(F.coalesce(F.sum(moved + F.col("tagged")), F.lit(0)).alias("n"))
+    modules = module_changes(om, nm, matches).agg(F.count("*").alias("n"))
+    return files.unionByName(modules).agg(F.sum("n").alias("change_magnitude"))

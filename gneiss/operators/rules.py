@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
 from gneiss.operators import graph as G
+from gneiss.plans.lineage import cut
 
 # Extensions of files that aren't code, names that run without being imported.
 NON_CODE = ".md .txt .rst .adoc .json .yaml .yml .toml .cfg .ini .env .sh .bash .zsh .fish .bat .ps1 .html .css .svg .xml .xsl .png .jpg .jpeg .gif .ico .webp .lock .sum .mod .scm".split()
@@ -21,6 +23,11 @@ def findings(df: DataFrame, rule: str, severity: str, subject: Column, **detail:
     return df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), subject.alias("subject"), F.to_json(F.struct(*[v.alias(k) for k, v in detail.items()])).alias("detail"))
 
 
+def fan_in(t: dict[str, DataFrame]) -> DataFrame:
+    """How often each file is imported: counted once for all rules, if ``run`` has."""
+    return t["fan_in"] if "fan_in" in t else G.fan_in(t["file_deps"])
+
+
 def layer_violation(t: dict[str, DataFrame]) -> DataFrame:
     m = t["modules"].select("module", "tier", "role")
     src = m.where("tier = 'core' and role <> 'interface'").select(F.col("module").alias("src"))
@@ -36,7 +43,7 @@ def circular_dependency(t: dict[str, DataFrame]) -> DataFrame:
 
 def core_score_anomaly(t: dict[str, DataFrame]) -> DataFrame:
     low = t["modules"].where("tier = 'peripheral'").select("module")
-    hit = G.fan_in(t["file_deps"]).where("fan_in >= 5").join(t["files"].select("path", "module"), "path").join(low, "module")
+    hit = fan_in(t).where("fan_in >= 5").join(t["files"].select("path", "module"), "path").join(low, "module")
     return findings(hit, "core-score-anomaly", "warning", F.col("path"), fan_in=F.col("fan_in"), module=F.col("module"))
 
 
@@ -65,7 +72,7 @@ def zombie_files(t: dict[str, DataFrame]) -> DataFrame:
     runs = n.isin(RUN_DIRECTLY) | n.startswith("test_") | n.endswith("_test.py")
     code = t["files"].where((P.suffix(F.col("path")) != "") & ~P.suffix(F.col("path")).isin(NON_CODE) & ~runs).select("path", "module")
     scores = t["modules"].select("module", "core_score")
-    return code.join(G.fan_in(t["file_deps"]), "path", "left_anti").join(scores, "module", "left").where(F.coalesce("core_score", F.lit(0.0)) < 0.1).select("path", "module")
+    return code.join(fan_in(t), "path", "left_anti").join(scores, "module", "left").where(F.coalesce("core_score", F.lit(0.0)) < 0.1).select("path", "module")
 
 
 def zombie_code(t: dict[str, DataFrame]) -> DataFrame:
@@ -87,12 +94,10 @@ RULES: dict[str, Rule] = {
 
 def run(tables: dict[str, DataFrame], only: list[str] | None = None) -> DataFrame:
     """files(path, module), modules(module, tier, role, core_score, file_count), module_deps(src, dst), file_deps(src, dst) -> all findings."""
-    out = None
-    for name, rule in RULES.items():
-        if only is None or name in only:
-            found = rule(tables)
-            out = found if out is None else out.unionByName(found)
-    return out
+    names = [n for n in RULES if only is None or n in only]
+    if {"core-score-anomaly", "zombie-code"} <= {*names}:
+        tables = tables | {"fan_in": cut(G.fan_in(tables["file_deps"]))}  # two rules read it
+    return reduce(DataFrame.unionByName, [RULES[n](tables) for n in names])
 
 
 def score(found: DataFrame) -> DataFrame:

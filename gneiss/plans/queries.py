@@ -174,12 +174,12 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 # Differences: orders with keys not divisible by 10 against those that aren't 1 modulo 10
 
 
-def old_files(spark: SparkSession, sf: str) -> DataFrame:
-    return C.counted_files(spark, sf).where("ord % 10 <> 0")
+def old_files(spark: SparkSession, sf: str, counted: bool = False) -> DataFrame:
+    return (C.counted_files if counted else C.files)(spark, sf).where("ord % 10 <> 0")
 
 
-def new_files(spark: SparkSession, sf: str) -> DataFrame:
-    f = C.counted_files(spark, sf).where("ord % 10 <> 1")
+def new_files(spark: SparkSession, sf: str, counted: bool = False) -> DataFrame:
+    f = (C.counted_files if counted else C.files)(spark, sf).where("ord % 10 <> 1")
     module = F.when(F.col("ord") % 4 == 0, F.concat(F.lit("split-"), "module")).otherwise(F.concat(F.lit("new-"), "module"))
     return f.withColumn("module", module).withColumn("tags", F.when(F.col("ord") % 3 == 0, F.array(F.get("tags", F.lit(0)), F.lit("changed"))).otherwise(F.col("tags")))
 
@@ -221,13 +221,12 @@ def module_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stats_delta(spark: SparkSession, sf: str) -> DataFrame:
-    return diff.stats_delta(stats.totals(old_files(spark, sf)), stats.totals(new_files(spark, sf)))
+    return diff.stats_delta(stats.totals(old_files(spark, sf, True)), stats.totals(new_files(spark, sf, True)))
 
 
 @query
 def change_magnitude(spark: SparkSession, sf: str) -> DataFrame:
-    old, new, m = old_files(spark, sf), new_files(spark, sf), matches(spark, sf)
-    return diff.magnitude(diff.file_changes(old, new, m), diff.tag_changes(old, new), diff.module_changes(modules_of(old), modules_of(new), m))
+    return diff.change_magnitude(old_files(spark, sf), new_files(spark, sf))
 
 
 # Trees
@@ -524,7 +523,7 @@ def cycles_within_three(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    f = C.counted_files(spark, sf)
+    f = C.files(spark, sf)
     nations = C.table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("module"))
     m = nations.select(
         "module",
