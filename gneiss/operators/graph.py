@@ -52,16 +52,15 @@ def edge_weight(name: Column, references: Column, definitions: Column, mentioned
 
 
 def definition_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None) -> DataFrame:
-    """definitions(name, path), references(name, path) -> src, dst, name, weight: a file uses a name that another defines.
+    """definitions(name, path), references(name, path) -> src, dst, name, weight: a file uses a name that another defines; a row for each definition of it.
 
     References are counted by name and file before they meet definitions, so a hot name is one row a file.
     """
     counted = references.groupBy("name", F.col("path").alias("src")).agg(F.count("*").alias("n"))
-    own = definitions.groupBy("name", F.col("path").alias("dst")).agg(F.count("*").alias("times"))
-    spread = own.groupBy("name").agg(F.sum("times").alias("defs"))
-    met = counted.join(spread, "name").join(own, "name").where("src <> dst")
+    spread = definitions.groupBy("name").agg(F.count("*").alias("defs"))
+    met = counted.join(spread, "name").join(definitions.select("name", F.col("path").alias("dst")), "name").where("src <> dst")
     chat = F.col("src").isin(chat_files) if chat_files else F.lit(False)
-    weight = edge_weight(F.col("name"), F.col("n"), F.col("defs"), mentioned or [], chat) * F.col("times")
+    weight = edge_weight(F.col("name"), F.col("n"), F.col("defs"), mentioned or [], chat)
     return met.select("src", "dst", "name", weight.alias("weight"))
 
 
