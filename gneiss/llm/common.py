@@ -23,17 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, by ``spark.checkpoint.dir``.
 
-    Where that is unset, a local master gets a temporary folder and a cluster a folder in its
-    warehouse, which its executors share too.
+    Where that is unset a local master gets a temporary folder. On a cluster that is an error: no other folder is known to be shared.
     """
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if not named.isEmpty():
         return named.get()
     at = sc.getConf().get("spark.checkpoint.dir")
-    if not at and sc.master.startswith(("local[", "local")) and not sc.master.startswith("local-cluster"):
-        at = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    if not at and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
