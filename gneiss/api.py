@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import paths as P
 from gneiss.functions import roles as R
 from gneiss.functions import text as T_
-from gneiss.operators import budget, prompts as R_, diff as D, graph as G, mentions as M, overview as V, rank as K, rules as U, scoring, search as S, stats, tree
+from gneiss.operators import archetype, budget, project_map as PM, prompts as R_, diff as D, graph as G, mentions as M, overview as V, rank as K, rules as U, scoring, search as S, stats, tree
 from gneiss.sources import code, settings
 from gneiss.sources.tree_source import read_tree
 
@@ -147,6 +147,13 @@ def prompt(index: Index, tokens: int = 6000, mode: str = "auto") -> str:
     return "\n".join(line for head, lines in told if lines for line in [head, "", *lines, ""])
 
 
+def project_map(index: Index, root: str = "", tokens: int = 6000) -> str:
+    """The project's map: layout, entries, projects, a reading path and code areas, as the repository's kind has them."""
+    kind = archetype.detect(index["files"].select("path"), index["modules"].select("ord", "desc"), root).first()["archetype"]
+    files = index["files"].withColumn("score", F.lit(0.0))
+    return PM.text(PM.project_map(files, kind, R_.profile(tokens)))
+
+
 def context(index: Index, tier: str = "B", tokens: int = 0) -> str:
     """A summary of tier A (modules), B (with dependencies) or C (with files), cut to its tokens."""
     tier = tier.upper()

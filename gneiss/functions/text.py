@@ -85,6 +85,31 @@ def bar(value: Column, most: Column, width: int = 30) -> Column:
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled))
 
 
+def progress_line(label: Column, done: Column, total: Column, width: int = 24) -> Column:
+    """``label: [####....] done/total ( 50.0%)``; nothing of nothing is an empty bar. Halves round to even."""
+    width = max(8, width)
+    of = F.greatest(total, F.lit(0))
+    n = F.when(of > 0, F.least(F.greatest(done, F.lit(0)), of)).otherwise(0)
+    share = F.when(of > 0, n / F.when(of > 0, of)).otherwise(0.0)
+    filled = F.least(F.lit(width), F.bround(share * width).cast("int"))
+    percent = F.lpad(F.format_string("%.1f", share * 100), 5, " ")
+    return F.concat(label, F.lit(": ["), F.repeat(F.lit("#"), filled), F.repeat(F.lit("."), F.lit(width) - filled), F.lit("] "), n.cast("string"), F.lit("/"), of.cast("string"), F.lit(" ("), percent, F.lit("%)"))
+
+
+def duration(seconds: Column) -> Column:
+    """``120ms``, ``4.5s`` or ``2m03.0s``."""
+    minutes = F.floor(seconds / 60)
+    rest = F.lpad(F.format_string("%.1f", seconds - minutes * 60), 4, "0")
+    return F.when(seconds < 1, F.concat(F.format_string("%.0f", seconds * 1000), F.lit("ms"))).when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit("s"))).otherwise(F.concat(minutes.cast("string"), F.lit("m"), rest, F.lit("s")))
+
+
+def date_label(timestamp: Column, otherwise: Column) -> Column:
+    """``2024-01-31 10:20`` of an ISO time, in its own zone; of anything else the first 15 characters of ``otherwise``."""
+    iso = F.regexp_extract(timestamp, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2})(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$", 0)
+    good = (iso != "") & F.try_to_timestamp(F.substring(F.replace(iso, F.lit("T"), F.lit(" ")), 1, 16), F.lit("yyyy-MM-dd HH:mm")).isNotNull()
+    return F.when(good, F.concat(F.substring(iso, 1, 10), F.lit(" "), F.substring(iso, 12, 5))).otherwise(F.substring(otherwise, 1, 15))
+
+
 def spark_cell(value: Column, low: Column, high: Column) -> Column:
     """One cell of a sparkline; a flat series stands in the middle."""
     cells = "▁▂▃▄▅▆▇█"

@@ -43,6 +43,15 @@ def call_dependencies(edges: DataFrame, samples: int = 5) -> DataFrame:
     return weights.join(lines, ["caller", "callee"], "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{edges.schema['line'].dataType.simpleString()}>")))
 
 
+def callers(edges: DataFrame, most: int = 10) -> DataFrame:
+    """edges(caller, callee, weight) -> callee, n_callers, calls, callers: who calls a function, most calls first, ``most`` by name (a window's group limit)."""
+    pairs = edges.groupBy("callee", "caller").agg(F.sum("weight").alias("weight"))
+    counts = pairs.groupBy("callee").agg(F.count("*").alias("n_callers"), F.sum("weight").alias("calls"))
+    first = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("callee").orderBy(F.desc("weight"), "caller"))).where(F.col("nth") <= most)
+    named = first.groupBy("callee").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "caller"))), lambda x: x["caller"]).alias("callers"))
+    return counts.join(named, "callee").select("callee", "n_callers", "calls", "callers")
+
+
 def edge_weight(name: Column, references: Column, definitions: Column, mentioned: list[str], chat: Column) -> Column:
     """Weight of a reference edge by what its identifier is like."""
     private = F.substring(name, 1, 1) == "_"

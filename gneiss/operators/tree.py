@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import paths as P
+from gneiss.operators.ordered import ranges
 from gneiss.plans.lineage import cut
 
 
 def _prefix(parts: Column, n: Column) -> Column:
-    return F.array_join(F.slice(parts, F.lit(1), n), "/")
+    return F.array_join(F.slice(parts, F.lit(1), F.greatest(n, F.lit(0))), "/")
 
 
 def nodes(paths: DataFrame) -> DataFrame:
@@ -30,19 +31,24 @@ def nodes(paths: DataFrame) -> DataFrame:
 
 
 def from_listing(lines: DataFrame) -> DataFrame:
-    """lines(ord, line), a listing indented by two spaces with a slash behind directories -> path, type.
+    """lines(ord, line), a listing indented by two spaces with a slash behind directories -> ord, path, type.
 
-    A line's parent at each depth is the last line of that depth above it: one window of maxima a depth
-    of the listing, over its lines alone.
+    A line's parent at each depth is the last line of that depth above it. Lines are dealt into sorted ranges; what a range doesn't
+    hold comes from the ends of those before, a row a range, so no task reads the whole listing.
     """
     level = F.floor((F.length("line") - F.length(F.ltrim("line"))) / 2).cast("int")
     told = lines.where(F.trim("line") != "").select("ord", level.alias("depth"), F.regexp_replace(F.trim("line"), "/$", "").alias("name"), F.trim("line").endswith("/").alias("is_dir"))
-    deepest = told.agg(F.max("depth")).first()[0] or 0
-    above = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = ranges(told, [F.asc("ord")])
+    deepest = dealt.agg(F.max("depth")).first()[0] or 0
+    here = Window.partitionBy("_part").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy("_part").agg(*[F.max_by("name", F.when(F.col("depth") == d, F.col("_nth"))).alias(f"_end{d}") for d in range(deepest + 1)])
+    carried = ends.select("_part", *[F.last(f"_end{d}", ignorenulls=True).over(before).alias(f"_old{d}") for d in range(deepest + 1)])
+    met = dealt.join(F.broadcast(carried), "_part")  # a row a range
     for d in range(deepest + 1):
-        told = told.withColumn(f"_{d}", F.last(F.when(F.col("depth") == d, F.col("name")), ignorenulls=True).over(above))
+        met = met.withColumn(f"_{d}", F.coalesce(F.last(F.when(F.col("depth") == d, F.col("name")), ignorenulls=True).over(here), F.col(f"_old{d}")))
     path = F.concat_ws("/", *[F.when(F.col("depth") >= d, F.col(f"_{d}")) for d in range(deepest + 1)])
-    return told.select("ord", path.alias("path"), F.when(F.col("is_dir"), "dir").otherwise("file").alias("type"))
+    return met.select("ord", path.alias("path"), F.when(F.col("is_dir"), "dir").otherwise("file").alias("type"))
 
 
 def tree_changes(old: DataFrame, new: DataFrame) -> DataFrame:

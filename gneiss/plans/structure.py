@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.operators import graph, incremental, rank, tree, viz
+from gneiss.functions import text as T
+from gneiss.operators import graph, incremental, project_map, prompts, rank, tree, viz
+from gneiss.operators.ordered import numbered
 from gneiss.plans import oracles as S
 from gneiss.plans import queries as Q
 from gneiss.sources import corpus as C
+from gneiss.sources import settings
 
 QUERIES: dict[str, Q.Query] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +223,85 @@ def hashed_documents(spark: SparkSession, sf: str, salt: int) -> DataFrame:
 def reuse_chain(spark: SparkSession, sf: str) -> DataFrame:
     now, cached = (incremental.chain(hashed_documents(spark, sf, salt)) for salt in (70, 500))
     return incremental.stale(now, cached).select("stage", "key", "verdict")
+
+
+# Maps, listings, callers, reports
+
+
+PROFILE = prompts.profile(5000)
+MAP = f"""{S.ROLED}, ent as (select path, 'CLI entry point' as reason, 30.0 as score from roled where role <> 'test' and {S.ENTRY_POINTS} > 0),
+pb as ({S.O["project_boundaries"]}), pn as (select *, row_number() over (order by entry <> '' desc, source_files desc, test_files desc, project desc) as nth from pb),
+ar as ({S.O["code_areas"]}), an as (select *, row_number() over (order by n desc, area desc) as nth from ar), en as (select *, row_number() over (order by score desc, path desc) as nth from ent),
+td as (select distinct parts[1] as directory from roled where len(parts) > 1 and lower(parts[1]) not in ({S.quoted(tree.SKIPPED_DIRS)})), tn as (select directory, row_number() over (order by lower(directory), directory) as nth, {S.WORDED} as described from td),
+st as (select 1 as kind, nth, entry as target, 'Read `' || entry || '` to understand `' || project || '` runtime entry.' as step from pn where nth <= 2
+  union all select 2, nth, string_split(core_areas, ',')[1], 'Expand `' || string_split(core_areas, ',')[1] || '` for core implementation details.' from pn where nth <= 2
+  union all select 4, nth, area, 'Expand `' || area || '` for dense implementation coverage (~' || n || ' source files).' from an where nth <= 2),
+so as (select *, row_number() over (partition by target order by kind, nth) as again from st where coalesce(target, '') <> ''), sn as (select step, row_number() over (order by kind, nth) as nth from so where again = 1),
+lines as (select 0 as part, 'Workspace Layout' as section, nth, '- `' || directory || '/`: ' || described as line from tn where nth <= 10
+  union all select 0, 'Workspace Layout', 11, '- `...`: +' || (count(*) - 10) || ' additional workspace directories' from td having count(*) > 10
+  union all select 1, 'Entry Points', nth, '- `' || path || '`: ' || reason from en where nth <= 8 union all select 1, 'Entry Points', 9, '- `...`: +' || (count(*) - 8) || ' more entry candidates' from ent having count(*) > 8
+  union all select 2, 'Project Boundaries', nth, '- `' || project || '/`: ' || source_files || ' source files, ' || test_files || ' tests; entry `' || case when entry = '' then 'n/a' else entry end || '`; core `' || case when core_areas = '' then 'n/a' else replace(core_areas, ',', ', ') end || '`' from pn where nth <= 6
+  union all select 2, 'Project Boundaries', 7, '- `...`: +' || (count(*) - 6) || ' additional project boundaries' from pb having count(*) > 6
+  union all select 3, 'Fast Navigation Path', nth, nth || '. ' || step from sn where nth <= 5 union all select 4, 'Core Code Areas', nth, '- `' || area || '`: ~' || n || ' source files' from an)"""
+
+
+@query(f"with {MAP} select part, section, cast(nth as int) as nth, line from lines")
+def project_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return project_map.project_map(Q.with_roles(C.files(spark, sf)).withColumn("score", F.lit(0.0)), "service", PROFILE)
+
+
+@query(
+    """with d as (select doc_id, row_number() over (order by doc_id) - 1 as i from documents), n as (select doc_id, i, cast(i % 4 as int) as depth, 'n' || i as name from d)
+select doc_id as ord, array_to_string(list_transform(range(0, depth + 1), lambda k: 'n' || (i - depth + k)), '/') as path, case when depth < 3 then 'dir' else 'file' end as type from n"""
+)
+def listed_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing of as many lines as there are documents, four levels deep."""
+    d = numbered(C.table(spark, sf, "documents").select("doc_id"), [F.asc("doc_id")])
+    depth = (F.col("place") % 4).cast("int")
+    line = F.concat(F.repeat(F.lit("  "), depth), F.lit("n"), F.col("place").cast("string"), F.when(depth < 3, "/").otherwise(""))
+    return tree.from_listing(d.select(F.col("doc_id").alias("ord"), line.alias("line")))
+
+
+@query(f"with {CALLS}, r as (select *, row_number() over (partition by callee order by weight desc, caller) as nth from cw) select callee, count(*) as n_callers, cast(sum(weight) as bigint) as calls, string_agg(caller, ',' order by nth) filter (where nth <= 10) as callers from r group by callee")
+def function_callers(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.callers(Q.call_edges(spark, sf).select("caller", "callee", "weight")).select("callee", "n_callers", "calls", Q.shown("callers"))
+
+
+@query(
+    f"""with {S.DOCUMENT_FILES}, l as (select case when contains(path, '/') then string_split(path, '/')[1] else '.' end as dir, len(string_split(coalesce(content, ''), chr(10))) as lines from df)
+select dir, cast(sum(lines) as bigint) as lines, count(*) as files from l group by dir"""
+)
+def directory_lines(spark: SparkSession, sf: str) -> DataFrame:
+    f = Q.document_files(spark, sf)
+    top = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)).otherwise(".")
+    return f.groupBy(top.alias("dir")).agg(F.sum(T.line_count(F.coalesce("content", F.lit("")))).cast("long").alias("lines"), F.count("*").alias("files"))
+
+
+@query(
+    """with e as (select event_type, count(*) as n, count(*) filter (where value > 50) as done, sum(value) as seconds from events group by 1)
+select event_type, event_type || ': [' || repeat('#', cast(round_even(done / n * 24, 0) as int)) || repeat('.', 24 - cast(round_even(done / n * 24, 0) as int)) || '] ' || done || '/' || n || ' (' || lpad(printf('%.1f', done / n * 100), 5, ' ') || '%)' as line,
+  case when done < 60 then printf('%.1f', done + 0.5) || 's' else (done // 60) || 'm' || lpad(printf('%.1f', done + 0.5 - done // 60 * 60), 4, '0') || 's' end as took from e"""
+)
+def progress_lines(spark: SparkSession, sf: str) -> DataFrame:
+    e = C.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("done"))
+    return e.select("event_type", T.progress_line(F.col("event_type"), F.col("done"), F.col("n")).alias("line"), T.duration(F.col("done") + 0.5).alias("took"))
+
+
+@query(
+    """select o_orderkey as id, case when o_orderkey % 3 = 0 then 'order-' || left(cast(o_orderkey as varchar), 9) else strftime(o_orderdate, '%Y-%m-%d %H:%M') end as label from orders"""
+)
+def date_labels(spark: SparkSession, sf: str) -> DataFrame:
+    o = C.table(spark, sf, "orders")
+    said = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    told = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("on "), said)).when(F.col("o_orderkey") % 3 == 1, F.concat(said, F.lit("Z"))).otherwise(F.concat(said, F.lit(".250+02:00")))
+    return o.select(F.col("o_orderkey").alias("id"), T.date_label(told, F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))).alias("label"))
+
+
+@query(
+    """with p as (select o_custkey as name, case when o_custkey % 4 = 0 then 0 else count(distinct o_orderkey) end as n from orders group by 1) select name, cast(n as int) as n from p"""
+)
+def bundle_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's orders as a bundle's part; some list their files wrongly."""
+    rows = C.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), "o_orderstatus"))).alias("files"))
+    wrong = F.when(F.col("name") % 8 == 0, '{"files": [1, 2]}').otherwise("not JSON")
+    return settings.bundle_counts(rows.select("name", F.when(F.col("name") % 4 == 0, wrong).otherwise(F.to_json(F.struct("files"))).alias("document")))

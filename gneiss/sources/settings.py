@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RULES_FILE = ".architecture-rules.toml"
 EMPTY = {"paths": (), "globs": (), "extensions": ()}
@@ -70,6 +71,13 @@ def fingerprint(files: list[str]) -> str:
     return h.hexdigest() if n else ""
 
 
+def bundle_counts(documents: DataFrame) -> DataFrame:
+    """documents(name, document), JSON texts of a bundle's parts -> name, n: how many files each lists; none where it is no object or lists none."""
+    files = F.try_variant_get(F.try_parse_json("document"), "$.files", "variant")
+    keys = F.json_object_keys(F.when(F.schema_of_variant(files).startswith("OBJECT"), F.to_json(files)))
+    return documents.select("name", F.coalesce(F.size(keys), F.lit(0)).alias("n"))
+
+
 def changed_files(spark: SparkSession, root: str) -> DataFrame | None:
     """path of files that differ from the last commit; None without git."""
     try:

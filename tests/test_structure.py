@@ -353,3 +353,40 @@ def test_vocabulary_hash_is_that_of_canonical_json(spark):
     assert prompts.vocabulary_hash(frame).first()["hash"] == want
     snap = prompts.vocabulary_snapshot(frame.withColumn("ord", F.monotonically_increasing_id())).first()["snapshot"]
     assert sorted(snap) == ["domain", "role"] and snap["role"] == ["lib", "test", "lib"]
+
+
+# -- maps, listings, reports
+
+
+def test_project_map_of_a_tree(spark, tmp_path):
+    for p in ("shop/main.py", "shop/core/a.py", "shop/core/b.py", "shop/tests/test_a.py", "docs/x.md", "tools/mycli.py", "node_modules/z.js"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("def f():\n    pass\n")
+    index = api.build(spark, str(tmp_path))
+    text = api.project_map(index, "shop")
+    api.release(index)
+    assert text.startswith("## Project Map\n\n### Workspace Layout\n\n- `shop/`: ") and "- `tools/`: Engineering tooling and utilities" in text and "node_modules" not in text
+    assert "### Entry Points\n\n- `shop/main.py`: Main process entry\n- `tools/mycli.py`: CLI entry point" in text
+    assert "- `shop/`: 3 source files, 1 tests; entry `shop/main.py`; core `shop/core, shop/main.py`" in text
+    assert "1. Read `shop/main.py` to understand `shop` runtime entry." in text and "- `shop`: ~3 source files" in text
+
+
+def test_listings_cross_ranges(spark):
+    lines = ["a/", "  b/", "    c.py", "", "  d.py", "e/", "  f/", "    g/", "      h.py", "i.py"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "ord int, line string").repartition(5)
+    got = [(r["path"], r["type"]) for r in tree.from_listing(frame).orderBy("ord").collect()]
+    assert got == [("a", "dir"), ("a/b", "dir"), ("a/b/c.py", "file"), ("a/d.py", "file"), ("e", "dir"), ("e/f", "dir"), ("e/f/g", "dir"), ("e/f/g/h.py", "file"), ("i.py", "file")]
+    assert tree.from_listing(frame.limit(0)).count() == 0
+
+
+def test_callers_and_report_lines(spark):
+    edges = spark.createDataFrame([("a", "z", 2), ("b", "z", 5), ("a", "z", 4), ("c", "y", 1)], "caller string, callee string, weight int")
+    assert rows(graph.callers(edges, 1), "callee", "n_callers", "calls", "callers") == [("y", 1, 1, ["c"]), ("z", 2, 11, ["a"])]
+    from gneiss.functions import text as T
+
+    told = spark.createDataFrame([("p", 3, 6), ("p", 9, 6), ("p", 1, 0)], "label string, done int, total int")
+    assert [r[0] for r in told.select(T.progress_line(F.col("label"), F.col("done"), F.col("total"), 10)).collect()] == ["p: [#####.....] 3/6 ( 50.0%)", "p: [##########] 6/6 (100.0%)", "p: [..........] 0/0 (  0.0%)"]
+    times = spark.createDataFrame([(0.25,), (5.26,), (123.0,), (3600.5,)], "s double")
+    assert [r[0] for r in times.select(T.duration(F.col("s"))).collect()] == ["250ms", "5.3s", "2m03.0s", "60m00.5s"]
+    stamps = spark.createDataFrame([("2024-01-31T10:20:30Z",), ("2024-01-31T10:20:30.5+02:00",), ("2024-13-31T10:20:30Z",), ("soon",), (None,)], "t string")
+    assert [r[0] for r in stamps.select(T.date_label(F.col("t"), F.lit("20240131T102030_000001Z"))).collect()] == ["2024-01-31 10:20", "2024-01-31 10:20", "20240131T102030", "20240131T102030", "20240131T102030"]
