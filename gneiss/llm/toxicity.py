@@ -202,6 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     rows = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(chosen), "doc_id").select(F.lit("all").alias("task"), "t", "y")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "y"], kind="stable")  # sums, and so scores, don't depend on the order in which rows arrive
         which, weights, bias = fit(rows["t"], rows["y"].to_numpy(np.int64), features)
         release()
         return pd.DataFrame({"feature": np.append(which, -1), "weight": np.append(weights, bias)})
