@@ -93,8 +93,8 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, most: int = 3, block: int = 128) -> DataFrame:
-    """(doc_id, source, text) -> doc_id, size, source_size, target, taken, and source for joins. One row a document."""
-    spelled = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    """(doc_id, source, text) -> doc_id, size, source_size, target, taken, and source for joins. One row a document; those without an id are shuffled by their text."""
+    spelled = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))
     sized = cut(
         docs.select(
             "doc_id",

@@ -122,7 +122,7 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from placed group by conv_id"""
 
 ORACLES["op4_mix_sources"] = r"""
-with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '')) as ord from documents),
+with sized as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), 'text ' || coalesce(text, ''))) as ord from documents),
 by_source as (select source, sum(size) as n, 3 * sum(size) as cap, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from sized group by source),
 levels as (
   select *, ((select sum(n) from by_source) - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (w rows between current row and unbounded following) as level
