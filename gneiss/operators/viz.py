@@ -71,6 +71,15 @@ def extensions(files: DataFrame) -> DataFrame:
     return files.groupBy(ext.alias("extension")).agg(F.count("*").alias("n"))
 
 
+def distributions(files: DataFrame) -> DataFrame:
+    """files(path, role, tier) -> dimension (role, tier or extension), value, n: three histograms by grouping sets, in one pass over the files."""
+    ext = F.when(F.contains(P.name(F.col("path")), F.lit(".")), F.substring_index("path", ".", -1)).otherwise("none")
+    told = files.select(F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("tier", F.lit("unknown")).alias("tier"), ext.alias("extension"))
+    names = ["role", "tier", "extension"]
+    sets = told.groupingSets([[F.col(n)] for n in names], *map(F.col, names)).agg(F.count("*").alias("n"))
+    return sets.select(F.when(F.col("role").isNotNull(), "role").when(F.col("tier").isNotNull(), "tier").otherwise("extension").alias("dimension"), F.coalesce(*names).alias("value"), "n")
+
+
 def frames(modules: DataFrame) -> DataFrame:
     """modules(snapshot_id, module, core_score, tier, role) -> frame, module, change against the frame before.
 

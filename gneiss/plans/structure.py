@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import roles as R
 from gneiss.functions import text as T
 from gneiss.operators import graph, incremental, project_map, prompts, rank, tree, viz
 from gneiss.operators.ordered import numbered
@@ -305,3 +306,12 @@ def bundle_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), "o_orderstatus"))).alias("files"))
     wrong = F.when(F.col("name") % 8 == 0, '{"files": [1, 2]}').otherwise("not JSON")
     return settings.bundle_counts(rows.select("name", F.when(F.col("name") % 4 == 0, wrong).otherwise(F.to_json(F.struct("files"))).alias("document")))
+
+
+@query(
+    f"""with {S.ROLED}, s as (select *, least(n_sigs / 10, 1) as score, 0.0 as test_ratio from roled), t as (select role, {S.TIER} as tier, case when contains({S.NAME}, '.') then regexp_extract(path, '[^.]*$') else 'none' end as extension from s)
+select 'role' as dimension, role as value, count(*) as n from t group by role union all select 'tier', tier, count(*) from t group by tier union all select 'extension', extension, count(*) from t group by extension"""
+)
+def distributions(spark: SparkSession, sf: str) -> DataFrame:
+    f = Q.with_roles(C.counted_files(spark, sf))
+    return viz.distributions(f.withColumn("tier", R.tier(F.least(F.col("n_sigs") / 10, F.lit(1.0)), F.lit(0.0))))
