@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import paths as P
 from gneiss.functions import text as T
 from gneiss.operators import budget as B
+from gneiss.operators.ordered import numbered
 
 # By tokens (up to), a profile's name and what it shows.
 SIZES = "files_per_dir dirs_per_dir top_summary_dirs tree_depth module_lines key_files test_files signature_files sigs_per_file llm_reading_items llm_axes_items llm_hotspots_items".split()
@@ -141,13 +142,13 @@ def candidate_paths(*sources: DataFrame) -> DataFrame:
 
 
 def merged(*sources: DataFrame) -> DataFrame:
-    """Frames (nth, path) -> place, path: in the order of sources, each path where it comes first. Requests' files: a few rows."""
+    """Frames (nth, path) -> place, path: in the order of sources, each path where it comes first. Places are counted in sorted ranges."""
     every = None
     for k, s in enumerate(sources):
         part = s.select(F.lit(k).alias("source"), "nth", "path")
         every = part if every is None else every.unionByName(part)
-    once = every.groupBy("path").agg(F.min(F.struct("source", "nth")).alias("at"))
-    return once.select(F.row_number().over(Window.orderBy("at", "path")).alias("place"), "path")
+    once = every.groupBy("path").agg(F.min(F.struct("source", "nth")).alias("at")).select("at.source", "at.nth", "path")
+    return numbered(once, [F.asc("source"), F.asc("nth"), F.asc("path")]).select((F.col("place") + 1).alias("place"), "path")
 
 
 def local_results(compressed: DataFrame, signatures: DataFrame, **rules) -> DataFrame:

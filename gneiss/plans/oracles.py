@@ -418,7 +418,7 @@ every as (select 1 as kind, nth, low || '/main.py' as target, 'Read `' || low ||
 once as (select *, row_number() over (partition by target order by kind, nth) as again from every)
 select cast(row_number() over (order by kind, nth) as int) as nth, target, step from once where again = 1"""
 O["candidate_paths"] = f"with {FILES} select path from files where ord % 4 = 0 union select path from files where ord % 6 = 0 union select module from files where module <> ''"
-O["merged_focus"] = f"with {FILES}, m as (select path, min(case when ord % 2 = 0 then ord else 1000 + ord end) as spot from files where ord <= 40 and (ord % 2 = 0 or ord % 3 = 0) group by path) select cast(row_number() over (order by spot) as int) as place, path from m"
+O["merged_focus"] = f"with {FILES}, m as (select path, min(struct_pack(s := case when ord % 2 = 0 then 0 else 1 end, n := ord)) as spot from files where ord % 2 = 0 or ord % 3 = 0 group by path) select row_number() over (order by spot, path) as place, path from m"
 O["local_results"] = f"""with {FILES}, {SIGS}, b as (select path from files where ord % 3 = 0 union select path from sigs)
 select starts_with({NAME}, 'cli') as cli, '' as desc, '' as tags, count(*) as n, min(path) as first from b where {classified('false')} = 'source' group by all"""
 SNIPPETS = f"""{DOCUMENT_FILES}, tg as (select path, round(1 / (1 + ord % 97), 6) as score, content, unnest([1, 4, 9]) as line from df),

@@ -785,7 +785,7 @@ def candidate_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def merged_focus(spark: SparkSession, sf: str) -> DataFrame:
-    f = C.files(spark, sf).where("ord <= 40").select(F.col("ord").alias("nth"), "path")
+    f = C.files(spark, sf).select(F.col("ord").alias("nth"), "path")
     return prompts.merged(f.where("nth % 2 = 0"), f.where("nth % 3 = 0"))
 
 
