@@ -20,8 +20,8 @@ def stop_at_overflow(rows: DataFrame, order: Iterable[Column], cost: str, budget
 
 def capped(rows: DataFrame, order: Iterable[Column], cost: str, budget: int, cap: int) -> DataFrame:
     """The first ``cap`` rows, up to the first that doesn't fit: with ``used`` and ``nth``. What is summed is the distributed top ``cap``."""
-    w = Window.orderBy(*order)
-    first = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
+    order = list(order)
+    first = rows.orderBy(*order).limit(max(cap, 0)).withColumn("nth", F.row_number().over(Window.orderBy(*order)))
     return first.withColumn("used", F.sum(cost).over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= budget)
 
 

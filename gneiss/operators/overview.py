@@ -35,7 +35,8 @@ def module_line() -> Column:
 def module_lines(modules: DataFrame, budget: int) -> DataFrame:
     """modules(ord, module, desc, tier, core_score, file_count) -> the lines that fit, best module first, and what they use."""
     told = modules.withColumn("line", module_line()).withColumn("cost", T.tokens(F.concat("line", F.lit("\n"))))
-    return B.stop_at_overflow(told, [F.desc("core_score"), F.asc("ord")], "cost", budget).select("nth", "module", "line", "cost", "used")
+    # A line costs one at least, so no more lines than the budget can fit.
+    return B.capped(told, [F.desc("core_score"), F.asc("ord")], "cost", budget, budget).select("nth", "module", "line", "cost", "used")
 
 
 def module_blocks(modules: DataFrame, files: DataFrame, budget: int) -> DataFrame:
@@ -50,7 +51,8 @@ def module_blocks(modules: DataFrame, files: DataFrame, budget: int) -> DataFram
     whole = own.groupBy("module", "core_score", "place").agg(F.sum(F.length("line") + 1).alias("chars"), F.array_sort(F.collect_list(F.when(F.col("run") <= room + 1, F.struct("nth", "line")))).alias("lines"))
     block = F.concat(F.lit("  **"), "module", F.lit("** files:\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
     cost = F.greatest(F.lit(1), F.floor((F.length("module") + 14 + F.col("chars")) / T.CHARS_PER_TOKEN))
-    return B.stop_at_overflow(whole.select("module", "core_score", "place", block.alias("block"), cost.cast("long").alias("cost")), [F.desc("core_score"), F.asc("place")], "cost", budget).select("nth", "module", "block", "cost", "used")
+    blocks = whole.select("module", "core_score", "place", block.alias("block"), cost.cast("long").alias("cost"))
+    return B.capped(blocks, [F.desc("core_score"), F.asc("place")], "cost", budget, budget).select("nth", "module", "block", "cost", "used")
 
 
 def overview(project: dict, modules: DataFrame, files: DataFrame, budget: int = 4000) -> dict:
