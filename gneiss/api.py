@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from gneiss.functions import paths as P
 from gneiss.functions import roles as R
 from gneiss.functions import text as T_
-from gneiss.operators import archetype, budget, project_map as PM, prompts as R_, diff as D, graph as G, mentions as M, overview as V, rank as K, rules as U, scoring, search as S, stats, tree
+from gneiss.operators import archetype, budget, project_map as PM, prompts as R_, diff as D, graph as G, mentions as M, overview as V, rank as K, rules as U, scoring, search as S, stats, tree, viz
+from gneiss.plans.lineage import cut
 from gneiss.sources import code, settings
-from gneiss.sources.tree_source import read_tree
+from gneiss.sources.cache_store import CacheStore
+from gneiss.sources.tree_source import changed_since, read_tree
 
 Index = dict[str, DataFrame]
 
@@ -147,6 +149,26 @@ def prompt(index: Index, tokens: int = 6000, mode: str = "auto") -> str:
     return "\n".join(line for head, lines in told if lines for line in [head, "", *lines, ""])
 
 
+def calls(index: Index, focus: str, hops: int = 1, most: int = 200) -> dict[str, DataFrame]:
+    """nodes and links of the functions of a file and those within some calls of them."""
+    made = code.call_dependencies(index["files"].select("path", "content"))
+    edges = made.where("caller <> callee").groupBy("caller", "callee").agg(F.count("*").alias("weight"))
+    near = G.function_neighbourhood(edges, focus, hops, most)
+    return {"nodes": viz.function_nodes(near, index["files"], focus), "links": viz.function_links(edges, near)}
+
+
+def changed(spark: SparkSession, root: str, listing: str) -> DataFrame:
+    """What changed in a tree since its listing was kept at ``listing``, which is brought up to date: path, change, was. Only files that look changed are read."""
+    store = CacheStore(spark, listing)
+    before = store.load("listing")
+    old = spark.createDataFrame([], "path string, size long, changed long, hash string") if before is None else before.select(F.col("key").alias("path"), "size", "changed", "hash")
+    found = cut(changed_since(spark, root, old).select("path", "size", "changed", "hash", "change", "was"))
+    gone = found.where("change = 'removed'").select(F.col("path").alias("key")).unionByName(found.where("change = 'renamed'").select(F.col("was").alias("key")))
+    kept = found.where("change <> 'removed'").join(old.select("path", F.col("changed").alias("old_changed")), "path", "left").where("change <> 'same' or changed <> old_changed")
+    store.commit({"listing": kept.select(F.col("path").alias("key"), "size", "changed", "hash")}, {"listing": gone})
+    return found.where("change <> 'same'").select("path", "change", "was")
+
+
 def project_map(index: Index, root: str = "", tokens: int = 6000) -> str:
     """The project's map: layout, entries, projects, a reading path and code areas, as the repository's kind has them."""
     kind = archetype.detect(index["files"].select("path"), index["modules"].select("ord", "desc"), root).first()["archetype"]

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import argparse
 import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from gneiss import api
+from gneiss.operators.rank import tag_order
 from gneiss.sources import snapshots
+from gneiss.sources.cache_store import CacheStore
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="gneiss", description=__doc__)
-    p.add_argument("command", choices=["overview", "expand", "search", "stats", "rules", "rank", "navigate", "tree", "prompt", "context", "snippets", "snapshot", "snapshots", "diff"])
+    p.add_argument("command", choices=["overview", "expand", "search", "stats", "rules", "rank", "navigate", "tree", "prompt", "context", "snippets", "snapshot", "snapshots", "diff", "map", "tags", "calls", "changed", "clear"])
     p.add_argument("root")
     p.add_argument("words", nargs="*", help="a target, a pattern, focus files or a request, by command")
     p.add_argument("--tags", nargs="*")
@@ -23,6 +26,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--archive", default="snapshots")
     p.add_argument("--method", default="graph", choices=["graph", "heuristic", "symbol"])
     p.add_argument("--tier", default="B")
+    p.add_argument("--hops", type=int, default=1)
+    p.add_argument("--cache", default="cache")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("gneiss").getOrCreate()
     said = " ".join(a.words)
@@ -30,8 +35,23 @@ def main(argv: list[str] | None = None) -> None:
         for r in snapshots.listed(spark, a.archive).limit(a.limit).collect():
             print(json.dumps(r.asDict(), default=str, ensure_ascii=False))
         return
+    if a.command == "clear":
+        CacheStore(spark, a.cache).clear()
+        return
+    if a.command == "changed":
+        for r in api.changed(spark, a.root, a.cache).orderBy("path").limit(a.limit).collect():
+            print(json.dumps(r.asDict(), ensure_ascii=False))
+        return
     index = api.build(spark, a.root)
-    if a.command in ("overview", "expand"):
+    if a.command == "map":
+        print(api.project_map(index, Path(a.root).name, a.tokens))
+    elif a.command == "calls":
+        for name, df in api.calls(index, said, a.hops).items():
+            print(name, json.dumps([r.asDict() for r in df.collect()], ensure_ascii=False))
+    elif a.command == "tags":
+        for r in api.ranked_tags(index, a.words).orderBy(*tag_order()).limit(a.limit).collect():
+            print(json.dumps(r.asDict(), ensure_ascii=False))
+    elif a.command in ("overview", "expand"):
         print((api.overview(index, a.tokens) if a.command == "overview" else api.expand(index, said, a.level, a.tokens))["content"])
     elif a.command in ("prompt", "context"):
         print(api.prompt(index, a.tokens, said) if a.command == "prompt" else api.context(index, a.tier))

@@ -390,3 +390,28 @@ def test_callers_and_report_lines(spark):
     assert [r[0] for r in times.select(T.duration(F.col("s"))).collect()] == ["250ms", "5.3s", "2m03.0s", "60m00.5s"]
     stamps = spark.createDataFrame([("2024-01-31T10:20:30Z",), ("2024-01-31T10:20:30.5+02:00",), ("2024-13-31T10:20:30Z",), ("soon",), (None,)], "t string")
     assert [r[0] for r in stamps.select(T.date_label(F.col("t"), F.lit("20240131T102030_000001Z"))).collect()] == ["2024-01-31 10:20", "2024-01-31 10:20", "20240131T102030", "20240131T102030", "20240131T102030"]
+
+
+def test_calls_and_changes_of_a_tree(spark, tmp_path, capsys):
+    from gneiss import cli
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("from b import helper\n\n\ndef run():\n    helper()\n")
+    (root / "b.py").write_text("def helper():\n    pass\n")
+    index = api.build(spark, str(root))
+    got = api.calls(index, "a.py")
+    assert rows(got["links"], "caller", "callee", "weight") == [("a.py:run", "b.py:helper", 1)]
+    assert rows(got["nodes"], "id", "hop", "size") == [("a.py:run", 0, 25), ("b.py:helper", 1, 15)]
+    api.release(index)
+    kept = f"{tmp_path}/listing"
+    assert rows(api.changed(spark, str(root), kept), "path", "change") == [("a.py", "added"), ("b.py", "added")]
+    assert api.changed(spark, str(root), kept).count() == 0
+    (root / "b.py").rename(root / "c.py")
+    (root / "a.py").write_text("x = 1\n")
+    assert rows(api.changed(spark, str(root), kept), "path", "change", "was") == [("a.py", "changed", ""), ("c.py", "renamed", "b.py")]
+    assert api.changed(spark, str(root), kept).count() == 0
+    cli.main(["clear", str(root), "--cache", kept])
+    assert not os.path.exists(kept)
+    cli.main(["map", str(root)])
+    assert "## Project Map" in capsys.readouterr().out
