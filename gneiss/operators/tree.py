@@ -87,7 +87,7 @@ def visible(n: DataFrame, per_dir: int, deepest: int) -> DataFrame:
 
 
 # Directories and files that a tree's text leaves out, beside hidden ones.
-SKIPPED_DIRS = P.NOISE_SEGMENTS + ".aider.tags.cache.v4 .llmproxy .ccb .hippocampus tmp_hippo_llm_smoke".split()
+SKIPPED_DIRS = P.NOISE_SEGMENTS
 SHOWN_HIDDEN = {"dir": [".github", ".devcontainer"], "file": [".gitignore", ".env.example"]}
 
 
