@@ -88,7 +88,7 @@ def rank(index: Index, focus: list[str] | None = None, mentioned: list[str] | No
     if method == "heuristic":
         return by_path.orderBy(F.desc("score"), "path")
     if method == "symbol" and not index["signatures"].isEmpty():
-        symbols = K.symbol_scores(ranked_tags(index, focus, mentioned), K.tag_order())
+        symbols = K.best_symbols(ranked_tags(index, focus, mentioned), K.tag_order())
         return K.symbol_blend(files, symbols, by_path).orderBy(F.desc("score"), "path")
     vertices = files.select(F.col("path").alias("id"))
     if G.density(vertices, index["file_deps"]).first()["too_sparse"]:
@@ -104,11 +104,8 @@ def ranked_tags(index: Index, focus: list[str] | None = None, mentioned: list[st
     """
     definitions = index["signatures"].select("path", "name", "line")
     references = code.tags(index["files"].select("path", "content")).where("tag = 'ref'").select("path", "name")
-    edges = G.definition_edges(definitions, references, names, focus)
     vertices = index["files"].select(F.col("path").alias("id"))
-    between = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    ranks = G.pagerank(vertices, between, G.focus_start(vertices, focus or [], mentioned or []), rounds=100, tolerance=1e-6)
-    return K.ranked_tags(definitions, G.ranked_definitions(edges, ranks), ranks)
+    return K.tags_of_definitions(vertices, definitions, references, names, focus, G.focus_start(vertices, focus or [], mentioned or []), rounds=100, tolerance=1e-6)
 
 
 def navigate(index: Index, text: str, focus: list[str] | None = None, tokens: int = 5000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,12 +54,16 @@ def callers(edges: DataFrame, most: int = 10) -> DataFrame:
     return counts.join(named, "callee").select("callee", "n_callers", "calls", "callers")
 
 
-def edge_weight(name: Column, references: Column, definitions: Column, mentioned: list[str], chat: Column) -> Column:
-    """Weight of a reference edge by what its identifier is like."""
+def name_weight(name: Column, mentioned: list[str], chat: Column) -> Column:
+    """The part of a reference edge's weight that its identifier and its file decide."""
     private = F.substring(name, 1, 1) == "_"
     w = F.when(name.isin(mentioned), 10.0).otherwise(1.0) if mentioned else F.lit(1.0)
-    w = w * F.when((F.length(name) >= 8) & ~private, 10.0).otherwise(1.0) * F.when(private, 0.1).otherwise(1.0)
-    return w * F.when(definitions > 5, 0.1).otherwise(1.0) * F.when(chat, 50.0).otherwise(1.0) * F.sqrt(references)
+    return w * F.when((F.length(name) >= 8) & ~private, 10.0).otherwise(1.0) * F.when(private, 0.1).otherwise(1.0) * F.when(chat, 50.0).otherwise(1.0)
+
+
+def edge_weight(name: Column, references: Column, definitions: Column, mentioned: list[str], chat: Column) -> Column:
+    """Weight of a reference edge by what its identifier is like."""
+    return name_weight(name, mentioned, chat) * F.when(definitions > 5, 0.1).otherwise(1.0) * F.sqrt(references)
 
 
 def definition_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None) -> DataFrame:
@@ -89,6 +95,74 @@ def ranked_definitions(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return got.groupBy(F.col("dst").alias("path"), "name").agg(F.sum("part").alias("rank"))
 
 
+def keys_of(values: DataFrame) -> Callable[[Column], Column]:
+    """What to know the distinct values of a column of strings by: a hash of 64 bits, or themselves, if two of these have the same hash (told by a second one)."""
+    v = F.col(values.columns[0])
+    sides = values.groupBy(F.xxhash64(v).alias("key")).agg(F.min(F.xxhash64(F.lit("check"), v)).alias("least"), F.max(F.xxhash64(F.lit("check"), v)).alias("most"))
+    return (lambda c: F.when(c.isNotNull(), F.xxhash64(c))) if sides.where("least <> most").isEmpty() else (lambda c: c)
+
+
+def name_links(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None, key: tuple[Callable[[Column], Column], Callable[[Column], Column]] = (lambda c: c, lambda c: c)) -> tuple[DataFrame, DataFrame]:
+    """definitions(name, path), references(name, path) -> uses(src, name, share, own), made(name, path, times): ``definition_edges`` before uses meet definitions.
+
+    A name with u uses and d definitions is u + d rows here and u * d edges there. ``share`` is what part of its file's weight an edge to one definition has, ``own`` how many
+    of the definitions lie in the file itself, to which there is no edge. ``key`` says what files and names are known by. Both are kept dealt, uses by file and definitions by name.
+    """
+    of_file, of_name = key
+    chat = F.col("path").isin(chat_files) if chat_files else F.lit(False)
+    made = definitions.groupBy(of_name(F.col("name")).alias("name"), of_file(F.col("path")).alias("path")).agg(F.count("*").alias("times")).where("name is not null")
+    counted = references.select(of_name(F.col("name")).alias("name"), of_file(F.col("path")).alias("src"), name_weight(F.col("name"), mentioned or [], chat).alias("weight"))
+    counted = counted.where("name is not null and src is not null").groupBy("name", "src", "weight").agg(F.count("*").alias("n"))
+    made = cut(made.repartition("name"), dealt=True)
+    met = counted.join(made.groupBy("name").agg(F.sum("times").alias("defs"), F.sum(F.when(F.col("path").isNotNull(), F.col("times"))).alias("placed")), "name").join(made.withColumnRenamed("path", "src"), ["name", "src"], "left").fillna(0, ["times"])
+    met = met.where("placed > times").select("src", "name", (F.col("weight") * F.when(F.col("defs") > 5, 0.1).otherwise(1.0) * F.sqrt("n")).alias("weight"), F.col("times").alias("own"), (F.col("placed") - F.col("times")).alias("others"))
+    met = cut(met.repartition("src"), dealt=True)
+    total = met.groupBy("src").agg(F.sum(F.col("weight") * F.col("others")).alias("total"))
+    uses = cut(met.join(total, "src").select("src", "name", (F.col("weight") / F.col("total")).alias("share"), "own"), dealt=True)
+    forget(met)
+    return uses, made
+
+
+def name_pagerank(vertices: DataFrame, uses: DataFrame, made: DataFrame, start: DataFrame | None = None, rounds: int = 20, tolerance: float | None = None) -> DataFrame:
+    """``pagerank`` of files over the links of ``name_links``: vertices(id), start(id, p) -> id, rank. What a name's users give it goes to each of its definitions, less what a file would give itself.
+
+    A round shuffles a row a use and a row a definition, not one an edge; uses, definitions and ranks stay where they are dealt.
+    """
+    n = vertices.count()
+    if not n:
+        return vertices.select("id", F.lit(0.0).alias("rank"))
+    base = vertices.select("id").distinct()
+    p = F.lit(1.0 / n)
+    total = start.agg(F.sum("p")).first()[0] or 0.0 if start is not None else 0.0
+    if total > 0:
+        base = base.join(start.groupBy("id").agg((F.sum("p") / total).alias("p")), "id", "left").fillna(0.0, ["p"])
+        p = F.col("p")
+    own = uses.groupBy(F.col("src").alias("id")).agg(F.sum(F.col("own") * F.col("share")).alias("own"))  # null: no links
+    kept = ["id", "own", *(["p"] if total > 0 else [])]
+    state = cut(base.join(own, "id", "left").select(*kept, p.alias("rank")), dealt=True)
+    for _ in range(rounds):
+        given = uses.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy("name").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
+        got = made.join(given, "name").groupBy(F.col("path").alias("id")).agg(F.sum(F.col("times") * F.col("given")).alias("got"))
+        loose = F.lit(state.where("own is null").agg(F.sum("rank")).first()[0] or 0.0)
+        others = F.greatest(F.coalesce("got", F.lit(0.0)) - F.coalesce("own", F.lit(0.0)) * F.col("rank"), F.lit(0.0))
+        rank = DAMPING * (others + loose * p) + (1 - DAMPING) * p
+        before = state
+        state = cut(before.join(got, "id", "left").select(*kept, rank.alias("rank"), *([F.col("rank").alias("was")] if tolerance is not None else [])), dealt=True)
+        forget(before)
+        if tolerance is not None and (state.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0) < n * tolerance:
+            break
+    return state.select("id", "rank")
+
+
+def name_definitions(uses: DataFrame, made: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``ranked_definitions`` over the links of ``name_links``: ranks(id, rank) -> path, name, rank of definitions that other files refer to."""
+    parts = uses.join(ranks.select(F.col("id").alias("src"), "rank"), "src").select("src", "name", (F.col("rank") * F.col("share")).alias("part"), "own")
+    given = parts.groupBy("name").agg(F.sum("part").alias("given"), F.count("*").alias("users"))
+    mine = parts.where("own > 0").select(F.col("src").alias("path"), "name", F.col("part").alias("mine"))
+    met = made.join(given, "name").join(mine, ["name", "path"], "left")
+    return met.where(F.col("users") > F.when(F.col("mine").isNull(), 0).otherwise(1)).select("path", "name", (F.col("times") * (F.col("given") - F.coalesce("mine", F.lit(0.0)))).alias("rank"))
+
+
 def density(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """edges per vertex and whether that is too few to rank by."""
     n = vertices.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")))

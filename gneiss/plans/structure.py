@@ -30,16 +30,11 @@ def query(sql: str):
 # Definitions by rank
 
 
-def ranks_of_files(files: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    return graph.pagerank(files.select(F.col("path").alias("id")), edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), rounds=rounds)
-
-
 def tags_by_rank(spark: SparkSession, sf: str) -> DataFrame:
     s = C.signatures(spark, sf)
     definitions, references = s.where("kind = 'A'").select("path", "name", "line"), s.where("kind = 'N'").select("path", "name")
-    edges = graph.definition_edges(definitions, references, ["fn_7"], ["src/core/engine_8.py"])
-    ranks = ranks_of_files(C.files(spark, sf), edges)
-    return rank.ranked_tags(definitions, graph.ranked_definitions(edges, ranks), ranks)
+    files = C.files(spark, sf).select(F.col("path").alias("id"))
+    return rank.tags_of_definitions(files, definitions, references, ["fn_7"], ["src/core/engine_8.py"], rounds=10)
 
 
 def page_rank(start: str, rounds: int = 10) -> str:
@@ -78,7 +73,7 @@ select path, round(0.6 * coalesce(s / (select max(s) from sy), 0) + 0.4 * p / (s
 )
 def symbol_rank_blend(spark: SparkSession, sf: str) -> DataFrame:
     f = C.files(spark, sf)
-    symbols = rank.symbol_scores(tags_by_rank(spark, sf), rank.tag_order())
+    symbols = rank.best_symbols(tags_by_rank(spark, sf), rank.tag_order())
     return rank.symbol_blend(f, symbols, rank.heuristic(f, ["src/core/engine_8.py"], ["cli/cli_2.py"])).withColumn("score", F.round("score", 6))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -415,3 +416,26 @@ def test_calls_and_changes_of_a_tree(spark, tmp_path, capsys):
     assert not os.path.exists(kept)
     cli.main(["map", str(root)])
     assert "## Project Map" in capsys.readouterr().out
+
+
+def test_ranks_over_names_are_those_over_edges(spark):
+    """Definitions that are repeated, used where they are, or used there alone; and ten times the uses and definitions of a name shuffle ten times the rows, not a hundred."""
+    r = random.Random(5)
+    files = [f"f{i}.py" for i in range(30)]
+    definitions = [(r.choice(files), f"name_{r.randrange(12)}", i) for i in range(60)] + [("f0.py", "alone", 1), ("f1.py", None, 2), (None, "name_1", 3)]
+    references = [(r.choice(files), f"name_{r.randrange(14)}") for _ in range(150)] + [("f0.py", "alone"), (None, "name_1"), ("f2.py", None)]
+    d, u = spark.createDataFrame(definitions, "path string, name string, line int"), spark.createDataFrame(references, "path string, name string")
+    vertices = spark.createDataFrame([(f,) for f in files], "id string")
+    edges = graph.definition_edges(d, u, ["name_3"], ["f4.py"])
+    for start in (None, graph.focus_start(vertices, ["f3.py"], ["f5.py"])):
+        ranks = graph.pagerank(vertices, edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), start, rounds=6)
+        want = rank.ranked_tags(d, graph.ranked_definitions(edges, ranks), ranks, 9)
+        got = rank.tags_of_definitions(vertices, d, u, ["name_3"], ["f4.py"], start, 6)
+        said = lambda df: sorted(map(str, df.select("path", "name", "line", F.round("rank", 9), F.round("of_file", 9)).collect()))
+        assert said(got) == said(want)
+
+    def kept(n: int) -> int:
+        one = spark.range(n).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("hot").alias("name"))
+        return sum(x.count() for x in graph.name_links(one, one))
+
+    assert kept(100) == 200 and kept(1000) == 2000
