@@ -51,13 +51,19 @@ def suffix_join(wanted: DataFrame, files: DataFrame) -> DataFrame:
 def enclosing(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """points(path, line, ...), spans(path, name, start, end) -> the point and the outermost span around it.
 
-    A range join as an equi join: spans are listed under each stretch of ``width`` lines that they touch,
-    points under their own. The first by start, then by end (longest), wins.
+    The first by start, then by end (longest), wins. Spans are told in each stretch of ``width`` lines that they touch, by where they end in it: of those that end at
+    a line there, one can win. Of the spans that end at a point or behind it the first to start is the one around it, if it has started by then: a running
+    minimum over a stretch's points and ends, from its last line to its first. So no point meets all the spans around it.
     """
-    listed = spans.select("path", F.col("name").alias("enclosing"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("stretch"))
-    met = points.withColumn("stretch", F.floor(F.col("line") / width)).join(listed, ["path", "stretch"]).where("line between start and end")
-    outer = F.min(F.struct("start", (-F.col("end")).alias("shorter"), "enclosing"))
-    return met.groupBy(*points.columns).agg(outer["enclosing"].alias("enclosing"))
+    touched = spans.where("start <= end").select("path", F.col("name").alias("enclosing"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("stretch"))
+    here = F.least(F.col("end"), (F.col("stretch") + 1) * width - 1)
+    outer = F.struct("start", (-F.col("end")).alias("shorter"), "enclosing")
+    ends = touched.groupBy("path", "stretch", here.alias("_at")).agg(F.min(outer).alias("_outer"))
+    placed = points.where("path is not null and line is not null").withColumn("stretch", F.floor(F.col("line") / width)).withColumn("_at", F.col("line")).withColumn("_point", F.lit(True))
+    both = placed.unionByName(ends, allowMissingColumns=True)
+    behind = Window.partitionBy("path", "stretch").orderBy(F.desc("_at"))  # with what ends at the line itself
+    met = both.withColumn("_outer", F.min("_outer").over(behind)).where("_point and _outer.start <= line")
+    return met.groupBy("stretch", *points.columns).agg(F.first("_outer.enclosing").alias("enclosing")).select(*points.columns, "enclosing")
 
 
 def parent_of(tags: DataFrame) -> DataFrame:
@@ -71,11 +77,19 @@ def parent_of(tags: DataFrame) -> DataFrame:
     return tags.withColumn("parent", F.when(found & F.col("kind").isin("method", "function"), near))
 
 
+def calls_by_name(references: DataFrame, spans: DataFrame) -> DataFrame:
+    """references(path, name, line), spans -> caller ("file:function"), name, line: what functions call, before names meet definitions."""
+    return enclosing(references, spans).select(F.concat_ws(":", "path", "enclosing").alias("caller"), "name", "line")
+
+
+def callees(definitions: DataFrame) -> DataFrame:
+    """definitions(path, name) -> name, callee ("file:function")."""
+    return definitions.select("name", F.concat_ws(":", "path", "name").alias("callee"))
+
+
 def call_edges(references: DataFrame, definitions: DataFrame, spans: DataFrame) -> DataFrame:
     """references(path, name, line), definitions(path, name), spans -> caller, callee ("file:function"), line."""
-    callers = enclosing(references, spans)
-    met = callers.join(definitions.select("name", F.col("path").alias("def_path")), "name")
-    return met.select(F.concat_ws(":", "path", "enclosing").alias("caller"), F.concat_ws(":", "def_path", "name").alias("callee"), "line")
+    return calls_by_name(references, spans).join(callees(definitions), "name").select("caller", "callee", "line")
 
 
 def symbol_graph(tags: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gneiss import api
-from gneiss.operators import archetype, graph, incremental, prompts, quality, rank, tree, viz
+from gneiss.operators import archetype, deps, graph, incremental, prompts, quality, rank, tree, viz
 from gneiss.sources import code, snapshots, spans, tree_source
 from gneiss.sources.cache_store import CacheStore
 
@@ -439,3 +439,17 @@ def test_ranks_over_names_are_those_over_edges(spark):
         return sum(x.count() for x in graph.name_links(one, one))
 
     assert kept(100) == 200 and kept(1000) == 2000
+
+
+def test_enclosing_spans_without_pairs(spark):
+    """Against all pairs, in long and short stretches; no join makes a row for each point and span."""
+    r = random.Random(6)
+    points = [(r.choice("ab"), r.randrange(-5, 300), i) for i in range(300)] + [(None, 3, 900), ("a", None, 901)]
+    spans = [(r.choice("ab"), f"s{i}", at, at + r.choice([-2, 0, 3, 40, 150])) for i, at in enumerate(r.randrange(300) for _ in range(60))]
+    p, s = spark.createDataFrame(points, "path string, line long, ord long"), spark.createDataFrame(spans, "path string, name string, start long, end long")
+    around = {o: min(((a, -b, n) for f, n, a, b in spans if f == path and a <= line <= b), default=None) for path, line, o in points if path and line is not None}
+    want = sorted((o, x[2]) for o, x in around.items() if x)
+    for width in (1, 7, 64, 1000):
+        got = deps.enclosing(p, s, width)
+        assert rows(got, "ord", "enclosing") == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
