@@ -33,16 +33,25 @@ def module_dependencies(edges: DataFrame, top: int = 10, samples: int = 5) -> Da
     return ranked.join(shown, ["src", "dst"]).select("src", "dst", "weight", "rank", "files")
 
 
-def call_dependencies(edges: DataFrame, samples: int = 5) -> DataFrame:
-    """edges(caller, callee, line) -> caller, callee, weight, lines: the first lines of the calls.
+def counted_calls(calls: DataFrame, by: list[str], samples: int = 5) -> DataFrame:
+    """calls(*by, line) -> by, weight, lines: the first lines of the calls.
 
     Calls are counted by partial sums; each task passes on the first lines of a pair alone (a window's group limit).
     """
-    calls = edges.where("caller <> callee")
-    weights = calls.groupBy("caller", "callee").agg(F.count("*").alias("weight"))
-    few = calls.withColumn("nth", F.row_number().over(Window.partitionBy("caller", "callee").orderBy("line"))).where(F.col("nth") <= samples)
-    lines = few.groupBy("caller", "callee").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return weights.join(lines, ["caller", "callee"], "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{edges.schema['line'].dataType.simpleString()}>")))
+    weights = calls.groupBy(*by).agg(F.count("*").alias("weight"))
+    few = calls.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("line"))).where(F.col("nth") <= samples)
+    lines = few.groupBy(*by).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return weights.join(lines, by, "left").withColumn("lines", F.coalesce("lines", F.array().cast(f"array<{calls.schema['line'].dataType.simpleString()}>")))
+
+
+def call_dependencies(edges: DataFrame, samples: int = 5) -> DataFrame:
+    """edges(caller, callee, line) -> caller, callee, weight, lines: the first lines of the calls."""
+    return counted_calls(edges.where("caller <> callee"), ["caller", "callee"], samples)
+
+
+def call_pairs(calls: DataFrame, callees: DataFrame) -> DataFrame:
+    """calls(caller, name, ...) counted by name, distinct callees(name, callee) -> caller, callee, ...: a row for each function of the name but the caller itself. Nothing is grouped or shuffled after they meet, if callees are few."""
+    return calls.join(callees, "name").where("caller <> callee").drop("name")
 
 
 def callers(edges: DataFrame, most: int = 10) -> DataFrame:
@@ -54,6 +63,19 @@ def callers(edges: DataFrame, most: int = 10) -> DataFrame:
     return counts.join(named, "callee").select("callee", "n_callers", "calls", "callers")
 
 
+def callers_by_name(calls: DataFrame, callees: DataFrame, most: int = 10) -> DataFrame:
+    """``callers`` of distinct callees(name, callee) from calls(caller, name, weight): a name's callers are ranked once for all its functions, then each is without itself."""
+    pairs = calls.groupBy("name", "caller").agg(F.sum("weight").alias("weight"))
+    counts = pairs.groupBy("name").agg(F.count("*").alias("n"), F.sum("weight").alias("all"))
+    first = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("weight"), "caller"))).where(F.col("nth") <= most + 1)
+    named = first.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "caller"))), lambda x: x["caller"]).alias("first"))
+    own = pairs.join(callees, "name").where("caller = callee").select("name", "callee", F.col("weight").alias("own"))
+    met = callees.join(counts, "name").join(named, "name").join(own, ["name", "callee"], "left")
+    n_callers = F.col("n") - F.when(F.col("own").isNull(), 0).otherwise(1)
+    told = met.select("callee", n_callers.alias("n_callers"), (F.col("all") - F.coalesce("own", F.lit(0))).alias("calls"), F.slice(F.filter("first", lambda c: c != F.col("callee")), 1, most).alias("callers"))
+    return told.where("n_callers > 0")
+
+
 def name_weight(name: Column, mentioned: list[str], chat: Column) -> Column:
     """The part of a reference edge's weight that its identifier and its file decide."""
     private = F.substring(name, 1, 1) == "_"
@@ -247,8 +269,7 @@ def function_neighbourhood(edges: DataFrame, focus: str, hops: int = 1, most: in
     Breadth first, ``most`` functions at the most: of a hop that doesn't fit, those with most calls from and to the hop before stay,
     the first by name of equals. What is reached is a frame of ``most`` rows, so each hop is a join with a small side.
     """
-    calls = edges.groupBy("caller", "callee").agg(F.sum("weight").alias("weight"))
-    ends = calls.select(F.col("caller").alias("id"), "weight").unionByName(calls.select(F.col("callee").alias("id"), "weight"))
+    ends = edges.select(F.col("caller").alias("id"), "weight").unionByName(edges.select(F.col("callee").alias("id"), "weight"))
     own = ends.where(F.substring_index("id", ":", 1) == focus).groupBy("id").agg(F.sum("weight").alias("weight"))
     seen = cut(own.orderBy(F.desc("weight"), "id").limit(most).select("id", F.lit(0).alias("hop"), "weight"))
     for hop in range(1, hops + 1):
@@ -256,8 +277,9 @@ def function_neighbourhood(edges: DataFrame, focus: str, hops: int = 1, most: in
         if room <= 0:
             break
         last = F.broadcast(seen.where(F.col("hop") == hop - 1).select("id"))  # ``most`` rows
-        out = calls.join(last, calls["caller"] == last["id"]).select(F.col("callee").alias("to"), "weight")
-        into = calls.join(last, calls["callee"] == last["id"]).select(F.col("caller").alias("to"), "weight")
+        # Semi joins, so they reach what the edges are made of.
+        out = edges.join(last.withColumnRenamed("id", "caller"), "caller", "left_semi").select(F.col("callee").alias("to"), "weight")
+        into = edges.join(last.withColumnRenamed("id", "callee"), "callee", "left_semi").select(F.col("caller").alias("to"), "weight")
         near = out.unionByName(into).groupBy(F.col("to").alias("id")).agg(F.sum("weight").alias("weight"))
         new = near.join(F.broadcast(seen.select("id")), "id", "left_anti").orderBy(F.desc("weight"), "id").limit(room)
         seen = cut(seen.unionByName(new.select("id", F.lit(hop).alias("hop"), "weight")))

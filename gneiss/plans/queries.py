@@ -379,10 +379,16 @@ def named_spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return e.where("event_id % 5 <> 0").select("path", "event_id", F.col("called").alias("name"), "line"), e.where("event_id % 5 = 0").select(F.col("called").alias("name"), "path").distinct(), spans
 
 
+def calls_and_callees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Calls counted by caller and name, and the functions of each name."""
+    references, definitions, spans = named_spans(spark, sf)
+    return graph.counted_calls(deps.calls_by_name(references, spans), ["caller", "name"]), deps.callees(definitions)
+
+
 @query
 def call_edges(spark: SparkSession, sf: str) -> DataFrame:
-    references, definitions, spans = named_spans(spark, sf)
-    return graph.call_dependencies(deps.call_edges(references, definitions, spans)).select("caller", "callee", "weight", shown("lines"))
+    calls, callees = calls_and_callees(spark, sf)
+    return graph.call_pairs(calls, callees).select("caller", "callee", "weight", shown("lines"))
 
 
 @query

@@ -11,6 +11,7 @@ from gneiss.operators import graph, incremental, project_map, prompts, rank, tre
 from gneiss.operators.ordered import numbered
 from gneiss.plans import oracles as S
 from gneiss.plans import queries as Q
+from gneiss.plans.lineage import cut
 from gneiss.sources import corpus as C
 from gneiss.sources import settings
 
@@ -153,7 +154,8 @@ NEAR = f"{CALLS}, {hop(1)}, {hop(2)}, near as (select * from h0 union all select
 
 
 def near_functions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    edges = Q.call_edges(spark, sf).select("caller", "callee", "weight")
+    calls, callees = Q.calls_and_callees(spark, sf)
+    edges = graph.call_pairs(cut(calls.select("caller", "name", "weight")), callees)
     return edges, graph.function_neighbourhood(edges, "u7", hops=2)
 
 
@@ -260,7 +262,7 @@ def listed_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {CALLS}, r as (select *, row_number() over (partition by callee order by weight desc, caller) as nth from cw) select callee, count(*) as n_callers, cast(sum(weight) as bigint) as calls, string_agg(caller, ',' order by nth) filter (where nth <= 10) as callers from r group by callee")
 def function_callers(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.callers(Q.call_edges(spark, sf).select("caller", "callee", "weight")).select("callee", "n_callers", "calls", Q.shown("callers"))
+    return graph.callers_by_name(*Q.calls_and_callees(spark, sf)).select("callee", "n_callers", "calls", Q.shown("callers"))
 
 
 @query(

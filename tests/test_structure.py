@@ -453,3 +453,18 @@ def test_enclosing_spans_without_pairs(spark):
         got = deps.enclosing(p, s, width)
         assert rows(got, "ord", "enclosing") == want
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_are_counted_before_they_meet_definitions(spark):
+    r = random.Random(7)
+    references = spark.createDataFrame([(r.choice("ab"), f"f{r.randrange(4)}", r.randrange(100)) for _ in range(400)], "path string, name string, line long").distinct()
+    definitions = spark.createDataFrame([(p, f"f{i}") for p in "abc" for i in range(4) if (p, i) != ("c", 1)], "path string, name string")
+    spans = spark.createDataFrame([(p, f"f{i}", 20 * i, 20 * i + 15) for p in "ab" for i in range(4)], "path string, name string, start long, end long")
+    want = graph.call_dependencies(deps.call_edges(references, definitions, spans))
+    calls, callees = graph.counted_calls(deps.calls_by_name(references, spans), ["caller", "name"]), deps.callees(definitions)
+    assert calls.count() <= 8 * 4 < want.count()
+    columns = ["caller", "callee", "weight", "lines"]
+    assert rows(graph.call_pairs(calls, callees), *columns) == rows(want, *columns)
+    columns = ["callee", "n_callers", "calls", "callers"]
+    for most in (2, 10):
+        assert rows(graph.callers_by_name(calls, callees, most), *columns) == rows(graph.callers(want, most), *columns)
