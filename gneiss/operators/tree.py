@@ -15,19 +15,21 @@ def _prefix(parts: Column, n: Column) -> Column:
 
 
 def nodes(paths: DataFrame) -> DataFrame:
-    """paths(path) -> every file and every directory above one; the root is ``dir:.``."""
+    """paths(path) -> every file and every directory above one; the root is ``dir:.``.
+
+    Files are made distinct by their paths alone, before their columns are told, and directories apart from them: of these a task passes on each of its own once.
+    """
     split = paths.select(P.parts(F.col("path")).alias("parts")).where(F.size("parts") > 0)
-    steps = split.select("parts", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"))
-    is_file = F.col("depth") == F.size("parts")
-    here = F.when(F.col("depth") == 0, ".").otherwise(_prefix(F.col("parts"), F.col("depth")))
-    up = F.when(F.col("depth") == 0, F.lit(None)).when(F.col("depth") == 1, "dir:.").otherwise(F.concat(F.lit("dir:"), _prefix(F.col("parts"), F.col("depth") - 1)))
-    return steps.select(
-        F.concat(F.when(is_file, "file:").otherwise("dir:"), here).alias("id"),
-        F.when(is_file, "file").otherwise("dir").alias("type"),
-        F.substring_index(here, "/", -1).alias("name"),
-        up.alias("parent_id"),
-        "depth",
-    ).distinct()
+    files = split.select(F.array_join("parts", "/").alias("here"), F.size("parts").alias("depth")).distinct()
+    above = split.select("parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth"))
+    dirs = above.select(F.when(F.col("depth") == 0, ".").otherwise(_prefix(F.col("parts"), F.col("depth"))).alias("here"), "depth").distinct()
+
+    def told(n: DataFrame, type: str) -> DataFrame:
+        name = F.substring_index("here", "/", -1)
+        up = F.when(F.col("depth") == 0, F.lit(None)).when(F.col("depth") == 1, "dir:.").otherwise(F.concat(F.lit("dir:"), F.left("here", F.length("here") - F.length(name) - 1)))
+        return n.select(F.concat(F.lit(f"{type}:"), "here").alias("id"), F.lit(type).alias("type"), name.alias("name"), up.alias("parent_id"), "depth")
+
+    return told(files, "file").unionByName(told(dirs, "dir"))
 
 
 def from_listing(lines: DataFrame) -> DataFrame:
@@ -103,7 +105,8 @@ def shown(n: DataFrame) -> DataFrame:
 def _placed(n: DataFrame, files: int, dirs: int) -> DataFrame:
     """Per directory its first files and directories, each kind in order of name, with places from 1."""
     order = Window.partitionBy("parent_id", "type").orderBy(F.lower("name"), "name")
-    return n.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.when(F.col("type") == "file", files).otherwise(dirs))
+    first = n.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(files, dirs))  # a number, so that tasks pass on no more
+    return first.where(F.col("nth") <= F.when(F.col("type") == "file", files).otherwise(dirs))
 
 
 def _line(key: Column, depth: int, *said: Column | str) -> list[Column]:
@@ -119,6 +122,7 @@ def tree_lines(n: DataFrame, files_per_dir: int = 10, dirs_per_dir: int = 12, de
     """
     kids = shown(n)
     counts = kids.groupBy(F.col("parent_id").alias("id")).agg(F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "dir").alias("dirs"))
+    counts = cut(counts)  # a row a directory, read at each level
     placed = cut(_placed(kids, files_per_dir, dirs_per_dir))
     level = n.where("parent_id is null").select("id", F.lit("").alias("key"), "name")
     out = None
