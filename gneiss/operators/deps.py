@@ -29,11 +29,23 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     return imports.select("path", "target", F.explode(F.when(dots > 0, relative).otherwise(absolute)).alias("candidate")).where("candidate <> ''")
 
 
+def resolved_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
+    """imports(path, target, ...), paths(path) of the corpus -> with ``candidate``, the other files that are meant.
+
+    What a module may mean is looked up once for all files that import it (of a directory, if it is relative), not once for each.
+    """
+    relative = F.when(F.col("target").startswith("."), F.array_join(P.dirs(F.col("path")), "/")).otherwise("")
+    asked = imports.withColumn("_from", relative)
+    wanted = asked.groupBy("target", "_from").agg(F.min("path").alias("path"))
+    found = import_candidates(wanted.select("path", "target")).join(paths.select(F.col("path").alias("candidate")), "candidate")
+    return asked.join(found.select("target", relative.alias("_from"), "candidate"), ["target", "_from"]).where("path <> candidate").drop("_from")
+
+
 def file_dependencies(contents: DataFrame) -> DataFrame:
     """contents(path, content) -> src, dst, weight: imports that name a file of the corpus. An equi join on candidates."""
-    known = contents.select(F.col("path").alias("candidate"))
-    met = import_candidates(import_lines(contents)).join(known, "candidate").where("path <> candidate")
-    return met.groupBy(F.col("path").alias("src"), F.col("candidate").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    counted = import_lines(contents).groupBy("path", "target").agg(F.count("*").alias("n"))
+    met = resolved_imports(counted, contents)
+    return met.groupBy(F.col("path").alias("src"), F.col("candidate").alias("dst")).agg(F.sum("n").cast("double").alias("weight"))
 
 
 def path_suffixes(files: DataFrame) -> DataFrame:

@@ -109,8 +109,7 @@ def signatures(contents: DataFrame) -> DataFrame:
 
 def import_dependencies(contents: DataFrame) -> DataFrame:
     """src, dst, weight of Python files that import others of the corpus."""
-    known = contents.select(F.col("path").alias("candidate"))
-    met = deps.import_candidates(python_imports(contents)).join(known, "candidate").where("path <> candidate")
+    met = deps.resolved_imports(python_imports(contents).distinct(), contents)
     return met.groupBy(F.col("path").alias("src"), F.col("candidate").alias("dst")).agg(F.count_distinct("target").cast("double").alias("weight"))
 
 
