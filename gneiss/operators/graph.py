@@ -101,9 +101,18 @@ def definition_edges(definitions: DataFrame, references: DataFrame, mentioned: l
     return met.select("src", "dst", "name", weight.alias("weight"))
 
 
-def reference_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None) -> DataFrame:
-    """definitions(name, path), references(name, path) -> src, dst, weight of files that use names others define."""
-    return definition_edges(definitions, references, mentioned, chat_files).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+def reference_edges(definitions: DataFrame, references: DataFrame, mentioned: list[str] | None = None, chat_files: list[str] | None = None, rows_a_task: int = 2_000_000) -> DataFrame:
+    """definitions(name, path), references(name, path) -> src, dst, weight of files that use names others define.
+
+    Nearly each edge of a name is a pair of its own, so a task holds all it is dealt: there are as many tasks as the edges need, counted by name before they are made.
+    """
+    edges = definition_edges(definitions, references, mentioned, chat_files)
+    uses, made = (x.groupBy("name").agg(F.count("*").alias(n)) for x, n in ((references, "uses"), (definitions, "made")))
+    most = uses.join(made, "name").agg(F.sum(F.col("uses") * F.col("made"))).first()[0] or 0
+    parts = -(-most // rows_a_task)
+    if parts > int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        edges = edges.repartition(int(parts), "src", "dst")
+    return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def ranked_definitions(edges: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -468,3 +468,34 @@ def test_calls_are_counted_before_they_meet_definitions(spark):
     columns = ["callee", "n_callers", "calls", "callers"]
     for most in (2, 10):
         assert rows(graph.callers_by_name(calls, callees, most), *columns) == rows(graph.callers(want, most), *columns)
+
+
+def test_first_children_are_cut_where_tasks_run(spark):
+    n = tree.nodes(spark.createDataFrame([(p,) for p in ["d/b", "d/a", "d//a", "d/c/x", "/d/e", "f"]], "path string"))
+    assert rows(n, "id", "name", "depth")[:2] == [("dir:.", ".", 0), ("dir:d", "d", 1)] and rows(n.where("name = 'x'"), "id", "parent_id") == [("file:d/c/x", "dir:d/c")]
+    assert n.count() == n.distinct().count()
+    placed = tree._placed(n, 2, 1)
+    assert "WindowGroupLimit" in placed._jdf.queryExecution().executedPlan().toString()
+    assert max(r["nth"] for r in placed.where("type = 'dir'").collect()) == 1
+
+
+def test_modules_are_looked_up_once(spark):
+    """Forty files that import one module and one beside them: two questions, not eighty."""
+    paths = [f"p/m{i}.py" for i in range(40)] + ["p/near.py", "src/far.py", "near.py"]
+    contents = spark.createDataFrame([(p, "import far\nfrom .near import x\nimport far") for p in paths], "path string, content string")
+    asked = []
+    real = deps.import_candidates
+    deps.import_candidates = lambda imports: asked.append(imports.count()) or real(imports)
+    try:
+        got = rows(deps.file_dependencies(contents), "src", "dst", "weight")
+    finally:
+        deps.import_candidates = real
+    assert asked == [4]  # far, and near from p, from src and from the top
+    want = [(p, "src/far.py", 2.0) for p in paths if p != "src/far.py"] + [(p, "p/near.py", 1.0) for p in paths if p.startswith("p/") and p != "p/near.py"]
+    assert got == sorted(want)
+
+
+def test_reference_edges_take_the_tasks_they_need(spark):
+    one = spark.range(50).select(F.concat(F.lit("f"), "id").alias("path"), F.lit("hot").alias("name"))
+    few, many = graph.reference_edges(one, one), graph.reference_edges(one, one, rows_a_task=100)
+    assert many.rdd.getNumPartitions() == 25 and rows(few, "src", "dst", "weight") == rows(many, "src", "dst", "weight")
